@@ -1,4 +1,9 @@
-"""Arithmetic on ``array<float>`` / ``array<double>`` columns, JVM-side."""
+"""Arithmetic on ``array<float>`` / ``array<double>`` columns, JVM-side.
+
+Scalars meet vectors as repeated arrays and never inside a lambda: there the
+optimiser may put the scalar's whole expression, to be worked out again for
+every element.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +30,15 @@ def norm(v: Column) -> Column:
 
 
 def divided(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / by)
+    return F.zip_with(v, F.array_repeat(by, F.size(v)), lambda x, s: x.cast("double") / s)
+
+
+def scaled(v: Column, by: Column) -> Column:
+    return F.zip_with(v, F.array_repeat(by, F.size(v)), lambda x, s: x.cast("double") * s)
+
+
+def added(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
 
 def l2_normalise(v: Column) -> Column:

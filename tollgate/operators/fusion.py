@@ -103,17 +103,14 @@ def adaptive_fusion(
     staged = staged.withColumn("_s", F.col("_et") + F.col("_ei") + EPS).withColumns(
         {"_wt": F.col("_et") / F.col("_s"), "_wi": F.col("_ei") / F.col("_s")}
     )
-    staged = staged.withColumn(
-        "_f",
-        F.zip_with(
-            "_t",
-            "_i",
-            lambda t, i: F.col("_wt") * t
-            + F.col("_wi") * i
-            + INTERACTION_WEIGHT * t * i
-            + INTERACTION_WEIGHT * F.abs(t - i),
-        ),
-    ).withColumn("_nf", v.norm(F.col("_f")) + EPS)
+    weighted = v.added(
+        v.scaled(F.col("_t"), F.col("_wt")), v.scaled(F.col("_i"), F.col("_wi"))
+    )
+    interaction = F.zip_with(
+        "_t", "_i", lambda t, i: INTERACTION_WEIGHT * t * i + INTERACTION_WEIGHT * F.abs(t - i)
+    )
+    staged = staged.withColumn("_f", v.added(weighted, interaction))
+    staged = staged.withColumn("_nf", v.norm(F.col("_f")) + EPS)
     return staged.withColumn(out, v.divided(F.col("_f"), F.col("_nf"))).drop(
         "_t", "_i", "_nt", "_ni", "_et", "_ei", "_s", "_wt", "_wi", "_f", "_nf"
     )
