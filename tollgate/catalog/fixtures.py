@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.operators.outcomes import Outcomes, from_long, impute_means, in_units
 from tollgate.plans.evaluate import Scales
+from tollgate.session import written
 
 PERF_SCALE = 1_000_000
 
@@ -51,8 +52,13 @@ def order_outcomes(spark: SparkSession, folder: str) -> Outcomes:
 
 
 def order_units(spark: SparkSession, folder: str) -> Outcomes:
-    """Imputed, in whole units: performance in millionths, cost in cents."""
-    return in_units(impute_means(order_outcomes(spark, folder)), PERF_SCALE, 1)
+    """Imputed, in whole units: performance in millionths, cost in cents.
+
+    The gathered items are written once; means, split and sweeps read from there.
+    """
+    outcomes = order_outcomes(spark, folder)
+    outcomes = outcomes.with_items(written(outcomes.items, "orders"))
+    return in_units(impute_means(outcomes), PERF_SCALE, 1)
 
 
 def vector_outcomes(spark: SparkSession, folder: str) -> Outcomes:

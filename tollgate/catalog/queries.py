@@ -290,9 +290,8 @@ def _order_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _points(points: DataFrame) -> DataFrame:
-    return _rounded(points, "threshold", "cost", "performance").withColumns(
-        {c: F.col(c).cast("bigint") for c in ("perf_sum", "cost_sum")}
-    )
+    sums = {c: F.col(c).cast("bigint") for c in ("perf_sum", "cost_sum")}
+    return _rounded(points.drop("bucket"), "threshold", "cost", "performance").withColumns(sums)
 
 
 def oracle_sweep(spark: SparkSession, folder: str) -> DataFrame:

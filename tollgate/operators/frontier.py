@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tollgate.operators.outcomes import Outcomes
-from tollgate.operators.scan import previous, range_buckets, running
+from tollgate.operators.scan import BUCKET, previous, range_buckets, running
 
 
 def pareto_frontier(points: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -15,7 +15,8 @@ def pareto_frontier(points: DataFrame, buckets: int | None = None) -> DataFrame:
 
     Points without cost or performance are dropped. Of points of equal cost only
     the best can stay, so they are reduced to it first; that also spreads a cost
-    shared by very many points.
+    shared by very many points. The points of a sweep come in ranges: those that
+    are beaten within their range go before anything is shuffled.
     """
     known = points.where(
         F.col("cost").isNotNull()
@@ -23,13 +24,22 @@ def pareto_frontier(points: DataFrame, buckets: int | None = None) -> DataFrame:
         & ~F.isnan("cost")
         & ~F.isnan("performance")
     )
+    if BUCKET in points.columns:
+        cheaper = (
+            Window.partitionBy(BUCKET)
+            .orderBy("cost", F.desc("performance"))
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        known = _unbeaten(known.withColumn("max_performance", F.max("performance").over(cheaper)))
     best = known.groupBy("cost").agg(F.max("performance").alias("performance"))
     ranged = range_buckets(best, "cost", "frontier", buckets)
-    scanned = running(ranged, "cost", maxima=("performance",), before=True)
-    kept = scanned.where(
-        F.col("max_performance").isNull() | (F.col("performance") > F.col("max_performance"))
-    ).drop("max_performance")
-    return previous(kept, "cost", ("cost", "performance")).drop("bucket")
+    kept = _unbeaten(running(ranged, "cost", maxima=("performance",), before=True))
+    return previous(kept, "cost", ("cost", "performance")).drop(BUCKET)
+
+
+def _unbeaten(scanned: DataFrame) -> DataFrame:
+    top = F.col("max_performance")
+    return scanned.where(top.isNull() | (F.col("performance") > top)).drop("max_performance")
 
 
 def single_models(outcomes: Outcomes, perf_scale: int = 1, cost_scale: int = 1) -> DataFrame:

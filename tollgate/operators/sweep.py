@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tollgate.functions.draws import draw_below
-from tollgate.operators.scan import range_buckets, running
+from tollgate.operators.scan import BUCKET, range_buckets, running
 
 
 def _options() -> Column:
@@ -82,7 +82,7 @@ def _start(options: Column, fallback: str) -> Column:
     cheapest = F.struct(
         low["model_idx"].alias("model_idx"), low["perf"].alias("perf"), low["cost"].alias("cost")
     )
-    return F.coalesce(cheapest, first)
+    return F.when(F.size(options) > 0, cheapest).otherwise(first)
 
 
 def choice_changes(
@@ -150,12 +150,13 @@ def budget_sweep(
     ``predictions`` has one row per item with the arrays ``perf_pred``,
     ``cost_pred`` and the true ``perf``, ``cost`` in model order. With true
     values in whole units (``in_units``) the sums are exact, and the scales turn
-    the means back.
+    the means back. ``bucket`` numbers the range of thresholds a point lies in.
     """
     changes = choice_changes(predictions, tie, fallback)
     ranged = range_buckets(changes, "threshold", "sweep", buckets)
     points = running(ranged, "threshold", sums=("n", "perf_sum", "cost_sum"))
     return points.where(F.col("threshold") > F.lit(float("-inf"))).select(
+        BUCKET,
         "threshold",
         "n",
         "perf_sum",

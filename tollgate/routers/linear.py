@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tollgate.operators.gram import moments
@@ -41,13 +44,14 @@ def with_predictions(test: DataFrame, function) -> DataFrame:
     The function's weights are as large as the features are wide and are sent to
     the workers once.
     """
-    shared = test.sparkSession.sparkContext.broadcast(function)
+    shared = test.sparkSession.sparkContext.broadcast(cloudpickle.dumps(function))
 
     @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        if x.empty:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(shared.value(np.vstack(x.to_numpy()).astype(float))))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = pickle.loads(shared.value)
+        for x in batches:
+            rows = predict(np.vstack(x.to_numpy()).astype(float)) if len(x) else []
+            yield pd.Series(list(rows), dtype=object)
 
     m = function.width // 2
     return (

@@ -38,9 +38,16 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 
 
 def image_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path)`` of all files below ``folder``; their contents are not read."""
+    """``(path)`` of the images below ``folder``; their contents are not read.
+
+    Spark leaves empty files out of a scan, so they count as absent.
+    """
+    endings = ",".join(e.removeprefix(".") for e in n.IMAGE_ENDINGS)
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", f"*.{{{endings}}}")
+        .load(folder)
     )
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
 
