@@ -112,8 +112,7 @@ curve as (
 
 
 CURVE = """
-select round(cast(threshold as double), 6) threshold, n, perf_sum, cost_sum,
-       round(cost, 6) cost, round(performance, 6) performance from curve"""
+select cast(threshold as double) threshold, n, perf_sum, cost_sum, cost, performance from curve"""
 
 ALL_ORDERS_CURVE = points(
     f"{ORDER_UNITS},\npred as (select *, perf perf_pred, cost cost_pred from opt)", OWN_POINTS, PERF_SCALE
@@ -420,7 +419,7 @@ from documents""",
     "oracle_sweep": f"with {ALL_ORDERS_CURVE} {CURVE}",
     "random_sweep": f"""
 with {RANDOM_CURVE}
-select cast(trial as integer) trial, round(cost, 6) cost, round(performance, 6) performance from curve""",
+select cast(trial as integer) trial, cost, performance from curve""",
     "argmax_under_budget": f"""
 with {ORDER_UNITS}
 select item_id, dataset, model_idx, perf, cost, cost <= {BUDGET_CENTS} feasible from opt
@@ -428,7 +427,7 @@ qualify row_number() over (partition by item_id, dataset
   order by case when cost <= {BUDGET_CENTS} then perf else -1 end desc, model_idx) = 1""",
     "pareto_frontier": f"""
 with {ALL_ORDERS_CURVE},{FRONTIER}
-select round(cost, 6) cost, round(performance, 6) performance from front""",
+select cost, performance from front""",
     "trapezoid_auc": f"""
 with {ALL_ORDERS_CURVE},{FRONTIER}
 select count(*) points, round(min(cost), 6) min_cost, round(max(cost), 6) max_cost,

@@ -290,8 +290,8 @@ def _order_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _points(points: DataFrame) -> DataFrame:
-    sums = {c: F.col(c).cast("bigint") for c in ("perf_sum", "cost_sum")}
-    return _rounded(points.drop("bucket"), "threshold", "cost", "performance").withColumns(sums)
+    # whole sums divided once: the means need no rounding to compare
+    return points.drop("bucket")
 
 
 def oracle_sweep(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,10 +300,9 @@ def oracle_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 def random_points(spark: SparkSession, folder: str) -> DataFrame:
     items = _test_orders(spark, folder)
-    points = random_sweep(
+    return random_sweep(
         items.items, len(items.models), perf_scale=fx.ORDER_SCALES.perf, cost_scale=fx.ORDER_SCALES.cost
     )
-    return _rounded(points, "cost", "performance")
 
 
 def argmax_under_budget(spark: SparkSession, folder: str) -> DataFrame:
@@ -314,8 +313,7 @@ def argmax_under_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def frontier_points(spark: SparkSession, folder: str) -> DataFrame:
-    frontier = pareto_frontier(_order_points(spark, folder))
-    return _rounded(frontier.select("cost", "performance"), "cost", "performance")
+    return pareto_frontier(_order_points(spark, folder)).select("cost", "performance")
 
 
 def trapezoid_auc(spark: SparkSession, folder: str) -> DataFrame:
@@ -409,7 +407,9 @@ def zero_modality(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_encoder(spark: SparkSession, folder: str) -> DataFrame:
     """Hashed word and word-pair counts of whole texts, unit length."""
-    encoded = encode(fx.questions(spark, folder), "question", hashed_terms(32), "x")
+    encoded = encode(
+        fx.questions(spark, folder), "question", hashed_terms(32), "x", spread_by="item_id"
+    )
     return _exploded(encoded, "x").where(F.col("value") > 0)
 
 

@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tollgate.functions.text import WORD
+from tollgate.session import shuffle_partitions
 
 Encoder = Callable[[Sequence], np.ndarray]
 
@@ -22,12 +23,17 @@ def encode(
     out: str,
     batch_size: int = 64,
     normalise: bool = True,
+    spread_by: str | None = None,
 ) -> DataFrame:
     """Add the vectors an encoder gives for ``column``.
 
     ``make_encoder`` runs once per worker task and loads the model; the encoder
     maps a batch of values to a matrix. Only the one column travels to Python.
+    Encoding outweighs a shuffle by far: ``spread_by`` names an id to deal the
+    rows out by where they come in fewer partitions than there are cores.
     """
+    if spread_by is not None:
+        df = df.repartition(shuffle_partitions(df.sparkSession), spread_by)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -88,8 +94,3 @@ def or_zero(encoder: Encoder, dim: int) -> Encoder:
         return out
 
     return run
-
-
-def slot_of(term: Column, dim: int) -> Column:
-    """The slot ``hashed_terms`` gives a term."""
-    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
