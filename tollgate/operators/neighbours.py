@@ -20,8 +20,9 @@ DECIMALS = 12
 # Largest number of distances held at once by a task.
 _MATRIX_CELLS = 4_000_000
 
-# Rows of a block in the shuffled search.
+# Size of a block in the shuffled search.
 BLOCK_ROWS = 50_000
+BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -78,8 +79,14 @@ class NeighbourIndex:
     k candidates per test row, never the pairs.
     """
 
-    def __init__(self, train: DataFrame, k: int, metric: str = "cosine", broadcast: bool | None = None,
-                 block_rows: int = BLOCK_ROWS):
+    def __init__(
+        self,
+        train: DataFrame,
+        k: int,
+        metric: str = "cosine",
+        broadcast: bool | None = None,
+        block_rows: int = BLOCK_ROWS,
+    ):
         _check_metric(metric)
         train = train.select(
             F.col("item_id").alias("train_id"),
@@ -96,8 +103,10 @@ class NeighbourIndex:
             raise ValueError("the neighbour search needs train rows")
         if k > self.rows:
             log.warning("k=%d is more than the %d train rows; all of them are taken", k, self.rows)
-        self.k, self.metric, self.block_rows = min(k, self.rows), metric, block_rows
-        fits = fits_broadcast(self.rows, 8 * (size[1] + 2 * size[2] + 1))
+        self.k, self.metric = min(k, self.rows), metric
+        row_bytes = 8 * (size[1] + 2 * size[2] + 1)
+        self.block_rows = max(1, min(block_rows, BLOCK_BYTES // row_bytes))
+        fits = fits_broadcast(self.rows, row_bytes)
         self.broadcast = fits if broadcast is None else broadcast
         self._shared = None
 

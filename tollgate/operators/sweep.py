@@ -157,7 +157,7 @@ def budget_sweep(
     points = running(ranged, "threshold", sums=("n", "perf_sum", "cost_sum"))
     return points.where(F.col("threshold") > F.lit(float("-inf"))).select(
         BUCKET,
-        "threshold",
+        (F.col("threshold") / F.lit(cost_scale)).alias("threshold"),
         "n",
         "perf_sum",
         "cost_sum",

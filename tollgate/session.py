@@ -31,26 +31,37 @@ def local_session(cpus: int | str = "*", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _named_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it.
 
     Only a local session may fall back to a temporary folder: on a cluster it
     would exist on one machine only.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_SETTING
-    )
+    folder = _named_folder(spark)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tollgate-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tollgate-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tollgate/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tollgate/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application has written; what reads them ends to work."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
