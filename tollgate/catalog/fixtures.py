@@ -47,18 +47,15 @@ def order_outcomes_long(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_outcomes(spark: SparkSession, folder: str) -> Outcomes:
+    """Orders gathered per item and written once; means, split and sweeps read from there."""
     long = order_outcomes_long(spark, folder).withColumnRenamed("cost_cents", "cost")
-    return from_long(long, ORDER_MODELS)
+    outcomes = from_long(long, ORDER_MODELS)
+    return outcomes.with_items(written(outcomes.items, "orders"))
 
 
 def order_units(spark: SparkSession, folder: str) -> Outcomes:
-    """Imputed, in whole units: performance in millionths, cost in cents.
-
-    The gathered items are written once; means, split and sweeps read from there.
-    """
-    outcomes = order_outcomes(spark, folder)
-    outcomes = outcomes.with_items(written(outcomes.items, "orders"))
-    return in_units(impute_means(outcomes), PERF_SCALE, 1)
+    """Imputed, in whole units: performance in millionths, cost in cents."""
+    return in_units(impute_means(order_outcomes(spark, folder)), PERF_SCALE, 1)
 
 
 def vector_outcomes(spark: SparkSession, folder: str) -> Outcomes:

@@ -353,7 +353,8 @@ def budget_sweep_given_predictions(spark: SparkSession, folder: str) -> DataFram
 
 
 def _exploded(df: DataFrame, column: str) -> DataFrame:
-    return df.select("item_id", F.posexplode(column).alias("pos", "value")).withColumn(
+    # the outer form adds no filter that works the vector out a second time
+    return df.select("item_id", F.posexplode_outer(column).alias("pos", "value")).withColumn(
         "value", F.round(F.col("value").cast("double"), 6)
     )
 
@@ -441,7 +442,7 @@ def _by_label(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def cluster_means(spark: SparkSession, folder: str) -> DataFrame:
     profile, _ = _by_label(spark, folder)
     return profile.select(
-        "cluster", F.posexplode(F.arrays_zip("perf_pred", "cost_pred")).alias("model_idx", "m")
+        "cluster", F.posexplode_outer(F.arrays_zip("perf_pred", "cost_pred")).alias("model_idx", "m")
     ).select(
         "cluster", "model_idx",
         F.round("m.perf_pred", 6).alias("perf_pred"), F.round("m.cost_pred", 6).alias("cost_pred"),
@@ -471,7 +472,7 @@ def knn_neighbours_euclidean(spark: SparkSession, folder: str) -> DataFrame:
 
 def _predictions(predicted: DataFrame, digits: int) -> DataFrame:
     return predicted.select(
-        "item_id", F.posexplode(F.arrays_zip("perf_pred", "cost_pred")).alias("model_idx", "p")
+        "item_id", F.posexplode_outer(F.arrays_zip("perf_pred", "cost_pred")).alias("model_idx", "p")
     ).select(
         "item_id", "model_idx",
         F.round("p.perf_pred", 6).alias("perf_pred"), F.round("p.cost_pred", digits).alias("cost_pred"),

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tollgate.functions.text import WORD
-from tollgate.session import shuffle_partitions
+from tollgate.session import once, shuffle_partitions
 
 Encoder = Callable[[Sequence], np.ndarray]
 
@@ -48,7 +48,7 @@ def encode(
                 rows += list(part.astype(np.float32))
             yield pd.Series(rows, index=batch.index)
 
-    return df.withColumn(out, run(F.col(column)))
+    return df.withColumn(out, once(run)(F.col(column)))
 
 
 def hashed_terms(dim: int = 64) -> Callable[[], Encoder]:

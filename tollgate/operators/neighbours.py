@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tollgate.session import fits_broadcast, written
+from tollgate.session import fits_broadcast, once, written
 
 log = logging.getLogger(__name__)
 
@@ -139,7 +139,7 @@ class NeighbourIndex:
             return pd.Series(found)
 
         return (
-            test.select("item_id", search(F.col("x").cast("array<double>")).alias("found"))
+            test.select("item_id", once(search)(F.col("x").cast("array<double>")).alias("found"))
             .select("item_id", F.posexplode("found").alias("pos", "n"))
             .select(
                 "item_id",
@@ -169,7 +169,7 @@ class NeighbourIndex:
 
         m = self.models
         return (
-            test.withColumn("_means", means(F.col("x").cast("array<double>")))
+            test.withColumn("_means", once(means)(F.col("x").cast("array<double>")))
             .withColumns(
                 {
                     "perf_pred": F.slice("_means", 1, m),

@@ -30,11 +30,15 @@ class Outcomes:
         return Outcomes(items, self.models)
 
     def long(self) -> DataFrame:
-        """One row per item and model."""
+        """One row per item and model.
+
+        The outer form of the generator keeps the optimiser from adding a filter
+        that would work the arrays out a second time; they are never empty.
+        """
         names = F.array(*[F.lit(m) for m in self.models])
         rest = [c for c in self.items.columns if c not in ("perf", "cost")]
         return self.items.select(
-            *rest, F.posexplode(F.arrays_zip("perf", "cost")).alias("model_idx", "outcome")
+            *rest, F.posexplode_outer(F.arrays_zip("perf", "cost")).alias("model_idx", "outcome")
         ).select(
             *rest,
             "model_idx",

@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tollgate.operators.gram import moments
+from tollgate.session import once
 
 
 @dataclass
@@ -55,7 +56,7 @@ def with_predictions(test: DataFrame, function) -> DataFrame:
 
     m = function.width // 2
     return (
-        test.withColumn("_pred", run(F.col("x").cast("array<double>")))
+        test.withColumn("_pred", once(run)(F.col("x").cast("array<double>")))
         .withColumns(
             {"perf_pred": F.slice("_pred", 1, m), "cost_pred": F.slice("_pred", m + 1, m)}
         )

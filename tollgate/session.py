@@ -87,3 +87,8 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def once(udf):
+    """Keep the optimiser from copying a costly Python function into filters."""
+    return udf.asNondeterministic()
