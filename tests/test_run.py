@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import naive
-from tollgate.plans.run import Features, TextTfidf, run
+from tollgate.plans.run import Features, TextTfidf, run, with_vectors
 from tollgate import session
 from tollgate.routers import NearestPolicy
 from tollgate.session import drop_scratch, scratch_path, written
@@ -87,6 +88,17 @@ def test_tfidf_features_and_data_set_split(spark, root):
         run(spark, root, "alpha", split="sideways")
 
 
+def test_tfidf_counts_every_row_of_a_shared_text(spark):
+    rows = [(i, "same words" if i < 8 else f"other words {i}0", i < 10) for i in range(12)]
+    items = spark.createDataFrame(rows, "row_id long, question string, is_train boolean")
+    got = with_vectors(items, F.col("is_train"), Features(text=TextTfidf(2)), "/")
+    vectors = {r.row_id: r.text_emb for r in got.collect()}
+    # kept terms: "words" in 10 of 10 train texts, "same" (or "same words") in 8
+    idf = np.array([np.log(11 / 9) + 1, np.log(11 / 11) + 1])
+    assert vectors[0] == pytest.approx(list(idf / np.linalg.norm(idf)), abs=1e-6)
+    assert vectors[9] == pytest.approx([0, 1]) and len(vectors) == 12
+
+
 def test_scratch_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     monkeypatch.setattr(session, "_named_folder", lambda s: f"{tmp_path}/")

@@ -37,16 +37,13 @@ class Features:
 
 
 def with_vectors(items: DataFrame, is_train: Column, features: Features, root: str) -> DataFrame:
-    """Add ``text_emb`` and ``img_emb``."""
+    """Add ``text_emb`` and ``img_emb``. TF-IDF needs a ``row_id`` of its own per
+    row: items that share a text, or even an id, are texts of their own."""
     if isinstance(features.text, TextTfidf):
-        # equal texts share a vector; items without a stable own id may share theirs
-        texts = items.select(
-            F.md5("question").alias("item_id"), "question", is_train.alias("is_train")
-        )
-        model = TfidfModel.fit(texts.where("is_train"), max_terms=features.text.max_terms)
-        dense = model.dense(texts.dropDuplicates(["item_id"]))
-        keyed = items.withColumn("doc", F.md5("question"))
-        items = keyed.join(dense.withColumnRenamed("vector", "text_emb"), "doc").drop("doc")
+        texts = items.select("row_id", "question", is_train.alias("is_train"))
+        model = TfidfModel.fit(texts.where("is_train"), "row_id", max_terms=features.text.max_terms)
+        dense = model.dense(texts, "row_id").withColumnsRenamed({"doc": "row_id", "vector": "text_emb"})
+        items = items.join(dense, "row_id")
     else:
         items = encode(items, "question", features.text, "text_emb", features.batch_size)
     if features.image is None:
@@ -82,7 +79,8 @@ def run(
         raise ValueError(f"split must be 'in' or 'out', not {split!r}")
     names = dataset_list(datasets)
     outcomes = read_outcomes(spark, root, names, **reading)
-    outcomes = outcomes.with_items(written(outcomes.items, "outcomes"))
+    numbered = outcomes.items.withColumn("row_id", F.monotonically_increasing_id())
+    outcomes = outcomes.with_items(written(numbered, "outcomes"))
     outcomes = in_units(impute_means(outcomes), scales.perf, scales.cost)
     is_train = in_domain(outcomes.items, train_share, seed) if split == "in" else out_of_domain(names, out_share)
     if router in LEARNED:
