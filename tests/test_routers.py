@@ -72,6 +72,25 @@ def test_neighbours(spark, metric, broadcast):
     assert got_cost == pytest.approx(np.array([cost[j].mean(axis=0) for j in expected]))
 
 
+def test_blocks_meet_whatever_the_partitions(spark):
+    x, perf, cost = case(17, 300)
+    train, test = items(spark, x[:120], perf[:120], cost[:120]), items(spark, x[120:], perf[120:], cost[120:])
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, value in settings.items():
+            spark.conf.set(k, value)
+        index = NeighbourIndex(train, 6, broadcast=False, block_rows=11)
+        got = predicted(index.predict(test))
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    expected = nearest_by_hand(x[120:], x[:120], range(120), 6, "cosine")
+    assert got[0].shape == (180, 3)
+    assert got[0] == pytest.approx(np.array([perf[j].mean(axis=0) for j in expected]))
+    assert got[1] == pytest.approx(np.array([cost[j].mean(axis=0) for j in expected]))
+
+
 def test_small_steps_give_the_same_neighbours(monkeypatch):
     x, _, _ = case(2, 60)
     whole = np.vstack([n for n, _ in nb.top_k(x, x[:40], 5, "cosine")])

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tollgate.session import fits_broadcast, once, written
 
@@ -65,6 +65,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
 
 
+def _block(row: str, blocks: int) -> Column:
+    # an integer like the exploded block numbers: both sides must hash alike
+    return F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int")
+
+
 def _check_metric(metric: str) -> None:
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"metric must be 'cosine' or 'euclidean', not {metric!r}")
@@ -188,7 +193,7 @@ class NeighbourIndex:
             "_row",
             "item_id",
             F.col("x").cast("array<double>").alias("x"),
-            F.pmod(F.xxhash64("_row"), F.lit(test_blocks)).alias("test_block"),
+            _block("_row", test_blocks).alias("test_block"),
             F.explode(F.sequence(F.lit(0), F.lit(train_blocks - 1))).alias("train_block"),
         )
         # salted by the whole row: copies of one id must not fill one block
@@ -199,7 +204,7 @@ class NeighbourIndex:
             "x",
             "perf",
             "cost",
-            F.pmod(F.xxhash64("_row"), F.lit(train_blocks)).alias("train_block"),
+            _block("_row", train_blocks).alias("train_block"),
             F.explode(F.sequence(F.lit(0), F.lit(test_blocks - 1))).alias("test_block"),
         )
         k, metric = self.k, self.metric
@@ -207,7 +212,7 @@ class NeighbourIndex:
         def search(test_pdf: pd.DataFrame, train_pdf: pd.DataFrame) -> pd.DataFrame:
             columns = ["_row", "item_id", "train_id", "distance", "perf", "cost"]
             if test_pdf.empty or train_pdf.empty:
-                return pd.DataFrame({c: [] for c in columns})
+                return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
             train_pdf = train_pdf.sort_values("train_id", kind="stable")
             found = list(top_k(_matrix(test_pdf["x"]), _matrix(train_pdf["x"]), k, metric))
             near = np.vstack([n for n, _ in found])
