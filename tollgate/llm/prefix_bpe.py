@@ -23,8 +23,8 @@ from tollgate.llm.common import map_batches, texts
 
 # Entries of a worker's caches before they are emptied; results do not depend on it.
 CACHE_ENTRIES = 700_000
-# Unicode's white space, spelled out because libraries differ on the separators 0x1C-0x1F.
-SPACE = r"\t-\r \x85\xa0  -     　"
+# Libraries differ on whether 0x1C-0x1F are white space; Unicode says they are not.
+SPACE = r"\p{White_Space}"
 
 
 def read_ranks(path: str) -> tuple[bytes, ...]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tollgate.llm.common import table
 from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.prefix_bpe import encode_documents
+from tollgate.llm.signature_join import near_duplicates
 from tollgate.session import scratch_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +25,10 @@ def op1_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_checksums(read_tokens(spark, path))
 
 
+def op3_signature_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(
         table(spark, folder, "documents"),
@@ -34,6 +39,7 @@ def op9_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_orc_tokens": op1_orc_tokens,
+    "op3_signature_join": op3_signature_join,
     "op9_prefix_bpe": op9_prefix_bpe,
 }
 
