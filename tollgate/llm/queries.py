@@ -6,10 +6,11 @@ The operators keep their own interfaces; the queries derive the columns asked fo
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.llm.common import table
 from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
+from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
 from tollgate.llm.prefix_bpe import encode_documents
 from tollgate.llm.signature_join import near_duplicates
 from tollgate.session import scratch_path
@@ -29,6 +30,12 @@ def op3_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = copies_by_row(mix_sources(table(spark, folder, "documents")))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
 def op9_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(
         table(spark, folder, "documents"),
@@ -40,6 +47,7 @@ def op9_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_orc_tokens": op1_orc_tokens,
     "op3_signature_join": op3_signature_join,
+    "op5_pivotal_mix": op5_pivotal_mix,
     "op9_prefix_bpe": op9_prefix_bpe,
 }
 
