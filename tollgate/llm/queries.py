@@ -13,6 +13,7 @@ from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
 from tollgate.llm.prefix_bpe import encode_documents
 from tollgate.llm.signature_join import near_duplicates
+from tollgate.llm.toxicity import scored_documents
 from tollgate.session import scratch_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -44,11 +45,16 @@ def op9_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_orc_tokens": op1_orc_tokens,
     "op3_signature_join": op3_signature_join,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op9_prefix_bpe": op9_prefix_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 # SQL for DuckDB where it can express a query; the others have brute-force tests.
