@@ -48,12 +48,26 @@ class WordCache:
             self.known = {"": b""}
         known = self.known
         words = [text.replace("\n", " ").split(" ") for text in batch]
-        fresh = list({w for ws in words for w in ws if w not in known})
-        for word, done in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[word] = np.asarray(done.ids, "<u4").tobytes()
+        parts = {w: _core(w) for ws in words for w in ws if w not in known}
+        fresh = list({p for pair in parts.values() for p in pair if p not in known})
+        for part, done in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            known[part] = np.asarray(done.ids, "<u4").tobytes()
+        for word, (core, end) in parts.items():
+            known[word] = known[core] + known[end]
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
+def _core(word: str) -> tuple[str, str]:
+    """A word's letters and the stops behind them, where the tokenizer parts them anyway.
+
+    It also lowers letters one by one, so plain ones may be lowered before.
+    """
+    core = word.rstrip(".,;:!?")
+    if not core.isalpha():
+        return word, ""
+    return core.lower() if core.isascii() else core, word[len(core) :]
+
+
 @lru_cache(maxsize=2)
 def _cache(spec: str) -> WordCache:
     return WordCache(spec)

@@ -13,6 +13,7 @@ from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
 from tollgate.llm.prefix_bpe import encode_documents
 from tollgate.llm.signature_join import near_duplicates
+from tollgate.llm.tiled_cosine import cosine_links
 from tollgate.llm.toxicity import scored_documents
 from tollgate.session import scratch_path
 
@@ -31,6 +32,10 @@ def op3_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_tiled_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    return cosine_links(table(spark, folder, "embeddings"))
+
+
 def op5_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = copies_by_row(mix_sources(table(spark, folder, "documents")))
     taken = (F.col("copies") * F.col("size")).alias("taken")
@@ -52,6 +57,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_orc_tokens": op1_orc_tokens,
     "op3_signature_join": op3_signature_join,
+    "op4_tiled_cosine": op4_tiled_cosine,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_toxicity": op10_toxicity,
