@@ -8,12 +8,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tollgate.llm.ball_topk import quantised, top_products
 from tollgate.llm.common import table
 from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
 from tollgate.llm.prefix_bpe import encode_documents
 from tollgate.llm.signature_join import near_duplicates
-from tollgate.llm.tiled_cosine import cosine_links
+from tollgate.llm.tiled_cosine import cosine_links, finite
 from tollgate.llm.toxicity import scored_documents
 from tollgate.session import scratch_path
 
@@ -42,6 +43,12 @@ def op5_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op8_ball_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").where(finite("embedding"))
+    vectors = rows.select(F.col("vec_id").cast("long"), quantised("embedding").alias("vector"))
+    return top_products(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(
         table(spark, folder, "documents"),
@@ -59,9 +66,25 @@ QUERIES = {
     "op3_signature_join": op3_signature_join,
     "op4_tiled_cosine": op4_tiled_cosine,
     "op5_pivotal_mix": op5_pivotal_mix,
+    "op8_ball_topk": op8_ball_topk,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
 # SQL for DuckDB where it can express a query; the others have brute-force tests.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_ball_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) q
+            from embeddings
+        ), s as (
+            select a.vec_id query_id, b.vec_id,
+                   cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as bigint) score
+            from v a join v b on a.vec_id <> b.vec_id
+            where a.vec_id % 50 = 0
+        ), r as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) n from s
+        )
+        select query_id, cast(n as integer) rank, vec_id, score from r where n <= 5
+    """,
+}
