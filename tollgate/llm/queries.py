@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.llm.ball_topk import quantised, top_products
 from tollgate.llm.common import table
+from tollgate.llm.license_scan import scan_licences
 from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
 from tollgate.llm.prefix_bpe import encode_documents
 from tollgate.llm.signature_join import near_duplicates
 from tollgate.llm.tiled_cosine import cosine_links, finite
 from tollgate.llm.toxicity import scored_documents
+from tollgate.llm.tree_extract import extract_pages
+from tollgate.llm.viterbi_count import count_tokens
 from tollgate.session import scratch_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 1
 
@@ -29,6 +33,10 @@ def op1_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_checksums(read_tokens(spark, path))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(table(spark, folder, "documents"))
+
+
 def op3_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -43,6 +51,14 @@ def op5_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op6_viterbi_count(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
+
+
+def op7_tree_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"))
+
+
 def op8_ball_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").where(finite("embedding"))
     vectors = rows.select(F.col("vec_id").cast("long"), quantised("embedding").alias("vector"))
@@ -63,9 +79,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_orc_tokens": op1_orc_tokens,
+    "op2_license_scan": op2_license_scan,
     "op3_signature_join": op3_signature_join,
     "op4_tiled_cosine": op4_tiled_cosine,
     "op5_pivotal_mix": op5_pivotal_mix,
+    "op6_viterbi_count": op6_viterbi_count,
+    "op7_tree_extract": op7_tree_extract,
     "op8_ball_topk": op8_ball_topk,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_toxicity": op10_toxicity,
