@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.llm.ball_topk import quantised, top_products
 from tollgate.llm.common import table
-from tollgate.llm.license_scan import scan_licences
+from tollgate.llm.license_scan import LINE_END, RULES, SENTENCE_END, SENTENCES, scan_licences
 from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
 from tollgate.llm.prefix_bpe import encode_documents
@@ -90,8 +90,91 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+def _licence_sql() -> str:
+    """The scan by joins and one step per rule; sentences and rules are given as values."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    known = ", ".join(
+        f"({quoted(name)}, trim(regexp_replace(lower({quoted(s)}), '[^a-z0-9]+', ' ', 'g')))" for name, s in SENTENCES.items()
+    )
+    steps = []
+    for kind, end in (("sentence", SENTENCE_END), ("line", LINE_END)):
+        steps.append(f"""{kind}_cut as (select doc_id, string_split_regex(coalesce(text, ''), {quoted(end)}) x from documents),
+            {kind}_parts as (select doc_id, unnest(x) s, unnest(range(1, len(x) + 1)) pos from {kind}_cut),
+            {kind}_0 as (
+                select doc_id, string_agg('|' || id || '|', '' order by pos) seq, count(*) n, cast([] as varchar[]) names
+                from {kind}_parts join known
+                  on trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^a-z0-9]+', ' ', 'g')) = sentence
+                group by doc_id)""")
+        for i, (name, ids) in enumerate(RULES):
+            rule = quoted("".join(f"|{x}|" for x in ids))
+            steps.append(f"""{kind}_{i + 1} as (
+                select doc_id, replace(seq, {rule}, '') seq, n,
+                       case when contains(seq, {rule}) then list_append(names, {quoted(name)}) else names end names
+                from {kind}_{i})""")
+    last = len(RULES)
+    return f"""
+        with known(id, sentence) as (values {known}), {", ".join(steps)}
+        select d.doc_id, coalesce(a.n, 0) n_known,
+               array_to_string(list_sort(list_distinct(list_concat(
+                   coalesce(a.names, cast([] as varchar[])), coalesce(b.names, cast([] as varchar[]))))), ',') licences
+        from documents d left join sentence_{last} a on a.doc_id = d.doc_id left join line_{last} b on b.doc_id = d.doc_id
+    """
+
+
 # SQL for DuckDB where it can express a query; the others have brute-force tests.
 SQL: dict[str, str] = {
+    "op2_license_scan": _licence_sql(),
+    "op3_signature_join": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') ws
+            from documents
+        ), g as (
+            select doc_id, case when len(ws) >= 5
+                then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end sh
+            from w
+        ), n as (
+            select doc_id, len(sh) n from g
+        ), s as (
+            select doc_id, unnest(sh) sh from g
+        ), o as (
+            select a.doc_id x, b.doc_id y, count(*) o from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id
+        ), l as (
+            select x, y from o join n a on a.doc_id = x join n b on b.doc_id = y where 100 * o >= 75 * (a.n + b.n - o)
+        ), r as (
+            select doc_id, doc_id reach from n
+            union
+            select r.doc_id, l.y from r join l on r.reach = l.x
+        )
+        select n.doc_id, n.n n_shingles, min(reach) component_id from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n
+    """,
+    "op4_tiled_cosine": """
+        with recursive v as (
+            select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings
+        ), u as (
+            select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) norm from v where label is not null
+        ), l as (
+            select a.vec_id x, b.vec_id y from u a join u b on a.label = b.label and a.vec_id <> b.vec_id
+            where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+        ), r as (
+            select vec_id, vec_id reach from v
+            union
+            select r.vec_id, l.y from r join l on r.reach = l.x
+        ), c as (
+            select vec_id, min(reach) component_id from r group by vec_id
+        ), d as (
+            select x, count(*) n from l group by x
+        )
+        select c.vec_id, coalesce(n, 0) n_links, component_id, c.vec_id = component_id kept
+        from c left join d on d.x = c.vec_id
+    """,
     "op8_ball_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) q

@@ -367,8 +367,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
     """Documents and their components under links of ``similarity`` per cent or more.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are not looked at. Returns one
-    row per row: ``row`` (a key of its contents), ``doc_id``, ``n_shingles`` and
-    ``component_id``, the least ``doc_id`` reachable by links. Texts that are null,
+    row per row: ``row`` (a key of its contents), ``doc_id``, ``n_shingles``,
+    ``component_id``, the least ``doc_id`` reachable by links, and ``group``, a key of the
+    component, null without shingles. Texts that are null,
     empty or blank have no shingles and link with nothing: their component is their own
     ``doc_id``. Copies have equal sets and are linked. A null ``doc_id`` is passed over
     as a component's name unless it is the only one. No rows give no rows.
@@ -388,10 +389,11 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
     joined = components(found, "document_links").select(F.col("node").alias("class"), "root")
     named = classes.join(joined, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(named.join(least, "root").select("class", "check", "n", "component_id"), "class_components")
+    of = written(named.join(least, "root").select("class", "check", "n", "root", "component_id"), "class_components")
     return digests.join(of, ["class", "check", "n"], "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("root").alias("group"),
     )
 
 
@@ -413,14 +415,14 @@ def _sets(docs: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, similarity: int = 75) -> DataFrame:
-    """``docs`` with one row of every component: its least ``doc_id``, nulls first.
+    """``docs`` with one row of every component: its least ``doc_id``, nulls last.
 
     Rows without shingles are all kept. Of rows that share the least ``doc_id`` the
     one with the least key stays. Columns of ``docs`` are unchanged, whatever their names.
     """
     found = near_duplicates(docs, similarity)
-    chosen = found.where("n_shingles > 0").groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id"), F.col("row"))).alias("first")
+    chosen = found.where("n_shingles > 0").groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")
     )
     kept = written(chosen.select(F.col("first.row").alias("__row")), "kept_rows")
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
