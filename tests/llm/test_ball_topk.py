@@ -14,7 +14,7 @@ def expected(rows, queries, k):
     for q, x in queries:
         if q is None or not x:
             continue
-        scored = [(-sum(a * b for a, b in zip(x, v)), i) for i, v in good if i != q and len(v) == len(x)]
+        scored = [(-max(-bt.LONG - 1, min(bt.LONG, sum(a * b for a, b in zip(x, v)))), i) for i, v in good if i != q and len(v) == len(x)]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k])]
     return sorted(out)
 

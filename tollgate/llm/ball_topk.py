@@ -186,7 +186,8 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     those with the query's own ``vec_id``; with fewer than ``k`` all are returned. Ties
     go to the smaller ``vec_id``. Vectors of another length than the query's take no
     part, nor do null ones and rows without an id; queries that repeat each other are
-    answered each. No rows give no rows.
+    answered each. A product beyond 64 bits counts as the nearest long. No rows give no
+    rows.
     """
     rows = vectors.where("vector is not null and vec_id is not null and size(vector) > 0")
     rows = rows.select("vec_id", "vector", F.size("vector").cast("long").alias("width"))

@@ -13,6 +13,9 @@ from tollgate.session import written
 # White space and words of the contracts: bytes 0x20 and 0x09 to 0x0D part words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+# Rows that a function of ``map_batches`` sees at once.
+BATCH_ROWS = 512
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -32,12 +35,13 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dic
     """``mapInArrow`` with a function from a batch to columns by name.
 
     The output columns may have any length. Spark's schema string fixes their types.
+    Batches are cut, so that a worker's memory does not follow the batch.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = make(batch)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                columns = make(batch.slice(at, BATCH_ROWS))
                 if len(next(iter(columns.values()))):
                     yield pa.RecordBatch.from_pydict(columns)
 

@@ -15,6 +15,7 @@ import hashlib
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -211,7 +212,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
             "decoded_sha256": [_digest(codec.decode(x)) for x in ids],
         }
         if keep_ids:
-            out["ids"] = pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32()))
+            parts = [np.fromstring(x, "i4", sep=" ") for x in ids]
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("i4")
+            out["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -7,7 +7,7 @@ import pyarrow as pa
 
 WORDS = 5
 # Bytes of text hashed at once, so that memory does not follow the batch; a longer text goes whole.
-CHUNK_BYTES = 4 * 1024 * 1024
+CHUNK_BYTES = 2 * 1024 * 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
