@@ -72,10 +72,10 @@ def test_modality_flags(spark, data):
     assert matrix(fusion.average_features(df, "3")) == pytest.approx(i)
     assert matrix(fusion.adaptive_features(df, "1")) == pytest.approx(t)
     assert matrix(fusion.adaptive_features(df, "3")) == pytest.approx(adaptive(*data), abs=1e-9)
-    i = i[:, :6]
-    crossed = np.hstack([t, i, t * i, np.abs(t - i)])
+    # both vectors whole; product and distance over the dimensions they share
+    crossed = np.hstack([t, i, t * i[:, :6], np.abs(t - i[:, :6])])
     assert matrix(fusion.cross_features(df, "3")) == pytest.approx(crossed)
-    assert matrix(fusion.cross_features(df, "1")) == pytest.approx(np.hstack([t, 0 * t, 0 * t, np.abs(t)]))
+    assert matrix(fusion.cross_features(df, "1")) == pytest.approx(np.hstack([t, 0 * i, 0 * t, np.abs(t)]))
 
 
 def test_absent_image_is_zero(spark):

@@ -30,6 +30,9 @@ IMAGE_ENDINGS = (".jpg", ".png", ".jpeg", ".webp")
 
 UNKNOWN_FOLDER = "unknown"
 
+# What begins a URI.
+SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
+
 
 def canonical_name(name: str) -> str:
     """``canonical`` for a driver-side name."""
@@ -47,6 +50,19 @@ def alias_table(prefixes: Mapping[str, str] = PREFIX_FOLDERS) -> dict[str, str]:
     return aliases
 
 
+def data_set_key(name: str, prefixes: Mapping[str, str] = PREFIX_FOLDERS) -> str:
+    """One spelling for all names of a data set: that of its folder, if it is known."""
+    known = canonical_name(name)
+    prefix = alias_table(prefixes).get(known)
+    return canonical_name(prefixes[prefix]) if prefix else known
+
+
+def data_set_keys(c: Column, prefixes: Mapping[str, str] = PREFIX_FOLDERS) -> Column:
+    """``data_set_key`` of a column."""
+    folders = {a: canonical_name(prefixes[p]) for a, p in alias_table(prefixes).items()}
+    return F.coalesce(_lookup(canonical(c), folders), canonical(c))
+
+
 def alias_prefix(c: Column, prefixes: Mapping[str, str] = PREFIX_FOLDERS) -> Column:
     """Prefix a data set name stands for; NULL if it is none of the known."""
     return _lookup(canonical(c), alias_table(prefixes))
@@ -90,22 +106,34 @@ def default_image_path(
 
 
 def resolve_path(path: Column, base: Column) -> Column:
-    """Relative path against ``base``; absolute and empty paths stay."""
+    """Relative path against ``base``; absolute and empty paths stay.
+
+    A path with a scheme (``s3a://``, ``file:``) is absolute. Of a base with one, scheme
+    and authority stay as they are and only what follows is cleaned; a relative base
+    gives a relative path.
+    """
     p = F.coalesce(path, F.lit(""))
+    absolute = p.startswith("/") | p.rlike(f"^{SCHEME}")
     joined = F.concat(base, F.lit("/"), p)
-    return F.when((p == "") | p.startswith("/"), p).otherwise(_without_dots(joined))
+    head = F.regexp_extract(joined, rf"^({SCHEME}(?://[^/]*)?)?", 0)
+    rest = F.substring(joined, F.length(head) + 1, F.length(joined))
+    root = F.when(rest.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    return F.when((p == "") | absolute, p).otherwise(F.concat(head, root, _without_dots(rest)))
 
 
 def _without_dots(path: Column) -> Column:
-    """Drop ``.`` and empty parts and let ``..`` take its parent away."""
+    """Parts without ``.`` and empty ones; ``..`` takes its parent away, if there is one."""
     parts = F.aggregate(
         F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda acc, part: F.when(part.isin("", "."), acc)
-        .when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(
+            (part == "..") & ((F.size(acc) > 0) & (F.element_at(acc, -1) != "..") | path.startswith("/")),
+            F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
+        )
         .otherwise(F.concat(acc, F.array(part))),
     )
-    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+    return F.array_join(parts, "/")
 
 
 def _lookup(key: Column, table: Mapping[str, str]) -> Column:

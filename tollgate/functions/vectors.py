@@ -63,11 +63,12 @@ def average(a: Column, b: Column) -> Column:
 
 
 def interaction(t: Column, i: Column) -> Column:
-    """``[t, i, t*i, |t-i|]`` as one vector."""
+    """``[t, i, t*i, |t-i|]`` as one vector; product and distance over shared dimensions."""
     t, i = widen(t), widen(i)
+    a, b = truncate_pair(t, i)
     return F.concat(
         t,
         i,
-        F.zip_with(t, i, lambda x, y: x * y),
-        F.zip_with(t, i, lambda x, y: F.abs(x - y)),
+        F.zip_with(a, b, lambda x, y: x * y),
+        F.zip_with(a, b, lambda x, y: F.abs(x - y)),
     )

@@ -144,7 +144,11 @@ def adaptive_features(
 def cross_features(
     df: DataFrame, flag: str = FUSED, text: str = "text_emb", img: str = "img_emb", out: str = "x"
 ) -> DataFrame:
-    """Both vectors with their product and distance; flag 1 sees a zero image."""
-    pair = _pair(df, text, img)
-    image = v.zeros_like(F.col("_t")) if flag == TEXT else F.col("_i")
-    return pair.withColumn(out, v.interaction(F.col("_t"), image)).drop("_t", "_i")
+    """Both vectors whole, with their product and distance; flag 1 sees a zero image.
+
+    Product and distance run over the dimensions that both have.
+    """
+    t = v.widen(F.col(text))
+    zero = v.zeros_like(t)
+    image = v.zeros_like(v.widen(F.col(img))) if flag == TEXT else v.widen(F.col(img))
+    return df.withColumn(out, v.interaction(t, F.coalesce(image, zero)))

@@ -69,10 +69,12 @@ def check_columns(columns: Iterable[str], required: Sequence[str] = ("question",
 
 
 def number(c: Column) -> Column:
-    """Cell as double; missing marks, NaN and unreadable text become NULL."""
+    """Cell as double; missing marks and NaN become NULL, any other text is an error."""
     text = F.trim(c.cast("string"))
     value = F.when(~text.isin(*MISSING_CELLS), text.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    unreadable = text.isNotNull() & ~text.isin(*MISSING_CELLS) & text.try_cast("double").isNull()
+    refused = F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double")
+    return F.when(unreadable, refused).when(~F.isnan(value), value)
 
 
 def from_wide(wide: DataFrame, item_id: Column | None = None) -> Outcomes:
@@ -107,14 +109,17 @@ def from_long(long: DataFrame, models: Sequence[str], keep: Sequence[str] = ("da
     """Gather ``(item_id, model, is_correct, cost)`` rows per item.
 
     One shuffle on the item; the conditional maxima are combined before it, and
-    absent (item, model) pairs come out as NULL.
+    absent (item, model) pairs come out as NULL. A row of a model that is not among
+    ``models`` is an error, never left out.
     """
     models = tuple(models)
+    strange = ~F.coalesce(F.col("model").isin(*models), F.lit(False))
+    refused = F.raise_error(F.concat(F.lit("unknown model: "), F.coalesce("model", F.lit("NULL")))).cast("double")
 
     def per_model(value: str) -> Column:
-        return F.array(
-            *[F.max(F.when(F.col("model") == m, F.col(value).cast("double"))) for m in models]
-        ).alias("perf" if value == "is_correct" else "cost")
+        own = [F.max(F.when(F.col("model") == m, F.col(value).cast("double"))) for m in models[1:]]
+        known = F.when(strange, refused).when(F.col("model") == models[0], F.col(value).cast("double"))
+        return F.array(F.max(known), *own).alias("perf" if value == "is_correct" else "cost")
 
     items = long.groupBy("item_id", *keep).agg(per_model("is_correct"), per_model("cost"))
     return Outcomes(items, models)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tollgate.functions.draws import digest
-from tollgate.functions.names import canonical, canonical_name
+from tollgate.functions.names import data_set_key, data_set_keys
 
 _DIGITS = 3  # hex digits refined per pass: at most 4096 counts reach the driver
 _COLLECT = 4096  # keys read once few enough share a prefix
@@ -55,10 +55,21 @@ def _kth_smallest(keys: DataFrame, share: float) -> str | None:
 def out_of_domain(datasets: Sequence[str], share: float = 0.2, column: str = "dataset") -> Column:
     """Condition for the rows of the first ``max(1, int(share * datasets))`` data sets.
 
-    Names are compared in canonical form, so spelling does not empty a side.
+    Names are compared in canonical form and through the table of known aliases, so
+    spelling does not empty a side. Whether rows of both sides are there is for the
+    caller to count (``both_sides``).
     """
-    names = [canonical_name(d) for d in datasets]
+    names = [data_set_key(d) for d in datasets]
     train = names[: max(1, int(len(names) * share))]
     if not train or set(train) >= set(names):
         raise ValueError("an out-of-domain split needs data sets on both sides")
-    return canonical(F.col(column)).isin(*train)
+    return data_set_keys(F.col(column)).isin(*train)
+
+
+def both_sides(df: DataFrame, is_train: Column) -> tuple[int, int]:
+    """Rows of the train and the test side; ``ValueError`` if either has none."""
+    side = F.coalesce(is_train, F.lit(False))
+    train, test = df.agg(F.count(F.when(side, 1)), F.count(F.when(~side, 1))).first()
+    if not train or not test:
+        raise ValueError(f"the split leaves {train} train rows and {test} test rows")
+    return train, test

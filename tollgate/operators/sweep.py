@@ -129,7 +129,9 @@ def choice_changes(
         F.col("start.perf").alias("perf_sum"),
         F.col("start.cost").alias("cost_sum"),
     )
-    changes = F.concat(F.array(base), F.transform("options", change))
+    # an item without predictions keeps its base event: it takes model 0 at every budget
+    nothing = F.slice(F.array(base), F.lit(1), F.lit(0))
+    changes = F.concat(F.array(base), F.coalesce(F.transform("options", change), nothing))
     return (
         chosen.select(F.inline(changes))
         .groupBy("threshold")
@@ -161,11 +163,16 @@ def budget_sweep(
         "n",
         "perf_sum",
         "cost_sum",
-        (F.col("cost_sum") / (F.col("n") * F.lit(cost_scale))).alias("cost"),
-        (F.col("perf_sum") / (F.col("n") * F.lit(perf_scale))).alias("performance"),
+        _mean("cost_sum", F.col("n"), cost_scale).alias("cost"),
+        _mean("perf_sum", F.col("n"), perf_scale).alias("performance"),
     )
 
 
+def _mean(total: str, n: Column, scale: int) -> Column:
+    # in double: the product of a large count and a large scale exceeds 64 bits
+    return F.col(total) / (n.cast("double") * F.lit(float(scale)))
+
+
 def oracle_predictions(items: DataFrame) -> DataFrame:
     """Predictions of the policy with perfect information."""
     return items.withColumns({"perf_pred": F.col("perf"), "cost_pred": F.col("cost")})
@@ -195,8 +202,13 @@ def random_sweep(
         )
         .groupBy("trial")
         .agg(
-            (F.sum("cost") / (F.count("cost") * F.lit(cost_scale))).alias("cost"),
-            (F.sum("perf") / (F.count("perf") * F.lit(perf_scale))).alias("performance"),
+            F.sum("cost").alias("cost_sum"), F.count("cost").alias("cost_n"),
+            F.sum("perf").alias("perf_sum"), F.count("perf").alias("perf_n"),
+        )
+        .select(
+            "trial",
+            _mean("cost_sum", F.col("cost_n"), cost_scale).alias("cost"),
+            _mean("perf_sum", F.col("perf_n"), perf_scale).alias("performance"),
         )
         .orderBy("cost")
     )
