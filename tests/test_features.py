@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import vectors as v
 from tollgate.operators import fusion
-from tollgate.operators.encode import encode, hashed_terms
-from tollgate.operators.terms import TfidfModel, term_counts, top_terms
+from tollgate.operators.encode import encode, hashed_terms, or_zero
+from tollgate.operators.terms import TfidfModel, top_terms
 from tollgate.sources.images import image_vectors, read_images, with_image_vectors
 
 SCHEMA = "item_id long, text_emb array<float>, img_emb array<float>"
@@ -108,10 +108,17 @@ def counts_by_hand():
 
 
 def test_terms(spark):
-    got = term_counts(documents(spark), "item_id", "question").where("term is not null")
-    assert {(r.doc, r.term): r.tf for r in got.collect()} == counts_by_hand()
-    top = top_terms(term_counts(documents(spark), "item_id", "question"), 3).collect()
+    counts = counts_by_hand()
+    expected = {}
+    for (_, term), tf in counts.items():
+        frequency, docs = expected.get(term, (0, 0))
+        expected[term] = frequency + tf, docs + 1
+    got = top_terms(documents(spark), "question")
+    assert {r.term: (r.frequency, r.docs) for r in got.collect()} == expected
+    top = top_terms(documents(spark), "question", 3).collect()
     assert [(r.term, r.frequency, r.docs) for r in top] == [("the", 3, 2), ("cat", 2, 2), ("cat the", 2, 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan.split("Project")[0] and "hashpartitioning(doc" not in plan
 
 
 def test_tfidf(spark, tmp_path):
@@ -137,6 +144,19 @@ def test_tfidf(spark, tmp_path):
     assert {(d, names[j]): w for d, row in sparse.items() for j, w in row.items()} == pytest.approx(expected)
 
 
+def test_projection_keeps_products(spark, tmp_path):
+    model = TfidfModel.fit(documents(spark), path=str(tmp_path / "all"))
+    sparse = {r.doc: dict(zip(r.indices, r["values"])) for r in model.vectors(documents(spark)).collect()}
+    width = 4096
+    rows = {r.doc: np.array(r.vector) for r in model.projected(documents(spark), width).collect()}
+    again = {r.doc: np.array(r.vector) for r in model.projected(documents(spark).coalesce(1), width).collect()}
+    for a in sparse:
+        assert len(rows[a]) == width and (rows[a] == again[a]).all()
+        for b in sparse:
+            exact = sum(w * sparse[b].get(j, 0.0) for j, w in sparse[a].items())
+            assert rows[a] @ rows[b] == pytest.approx(exact, abs=0.12)
+
+
 def test_encoder_batches_do_not_change_the_result(spark):
     df = documents(spark)
     small = matrix(encode(df, "question", hashed_terms(16), "x", batch_size=1))
@@ -147,6 +167,21 @@ def test_encoder_batches_do_not_change_the_result(spark):
     assert raw.sum(axis=1).tolist() == [9, 3, 0, 0, 5, 0]
 
 
+def test_readable_images_stay_in_batches():
+    calls = []
+
+    def encoder(values):
+        calls.append(len(values))
+        if b"broken" in values:
+            raise OSError("not an image")
+        return np.ones((len(values), 2))
+
+    lenient = or_zero(encoder, 2)
+    assert lenient([b"x"] * 64).sum() == 128 and calls == [64]
+    values = [b"x"] * 31 + [b"broken", None]
+    assert lenient(values).sum() == 62 and len(calls) < 14
+
+
 def test_images(spark, tmp_path):
     def make_byte_encoder():
         def run(contents):
@@ -166,5 +201,14 @@ def test_images(spark, tmp_path):
     found = image_vectors(images, make_byte_encoder, 2, normalise=False)
     got = matrix(with_image_vectors(items, found, 2), "img_emb").tolist()
     assert got == [[3, 1], [0, 0], [0, 0], [0, 0], [0, 0], [3, 1]]
+
+    def without_weights():
+        def run(contents):
+            raise FileNotFoundError("no weights")
+
+        return run
+
+    with pytest.raises(Exception, match="no weights"):
+        image_vectors(images, without_weights, 2).collect()
     with pytest.raises(Exception, match="not an image"):
         image_vectors(images, make_byte_encoder, 2, lenient=False).collect()

@@ -353,7 +353,7 @@ from baselines order by baselines.accuracy desc, model_idx limit 1""",
 with {DRAWN}
 select doc_id item_id, lang dataset, md5(text) question_md5, lang answer, '' img_path,
        cast(model_idx as integer) model_idx, 'gate-' || model_idx || '.0' model, is_correct, cost
-from drawn where lang in ('de', 'en', 'es', 'fr')""",
+from drawn""",
     "merged_outcomes": f"""
 with {IDS},{DRAWN}
 select matched.doc_id item_id, any_value(folder) dataset, any_value(md5(matched.text)) question_md5,

@@ -35,7 +35,7 @@ from tollgate.operators.sweep import (
     oracle_predictions,
     random_sweep,
 )
-from tollgate.operators.terms import TfidfModel, term_counts, top_terms
+from tollgate.operators.terms import TfidfModel, top_terms
 from tollgate.plans import evaluate as ev
 from tollgate.routers import LinearPolicy, LowRankPolicy
 from tollgate.routers.cluster import cluster_profile, with_profile
@@ -122,7 +122,7 @@ def best_single(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(best_single_model(_order_baselines(spark, folder)), "accuracy", "avg_cost")
 
 
-def _draw_outcomes(documents: DataFrame) -> DataFrame:
+def _draw_outcomes(documents: DataFrame, *keep: str) -> DataFrame:
     """Wide outcome table over documents, with missing cells."""
     doc = F.col("doc_id")
 
@@ -137,13 +137,14 @@ def _draw_outcomes(documents: DataFrame) -> DataFrame:
         F.col("text").alias("question"),
         F.col("lang").alias("answer"),
         "lang",
+        *keep,
         *[correct(m).alias(f"gate-{m}.0_correct") for m in range(3)],
         *[cost(m).alias(f"gate-{m}.0_cost") for m in range(3)],
     )
 
 
-def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(
+def _write_csv(df: DataFrame, path: str, *by: str) -> None:
+    df.write.partitionBy(*by).csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
@@ -152,13 +153,15 @@ def csv_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as one outcome CSV per language and read back."""
     wide = _draw_outcomes(fx.table(spark, folder, "documents"))
     root = scratch_path(spark, "csv")
-    for lang in ("de", "en", "es", "fr"):
-        _write_csv(wide.where(F.col("lang") == lang).drop("lang"), f"{root}/{lang}.csv")
+    # one scan; the languages are those of the data, a folder each
+    _write_csv(wide.withColumn("name", F.concat("lang", F.lit(".csv"))).drop("lang"), root, "name")
+    languages = wide.select(F.upper("lang").alias("lang")).distinct().collect()
     read = tables.read_outcomes(
-        spark, root, "EN+ de +es++fr", list_images=False, item_id=F.col("doc_id").cast("bigint")
+        spark, root, "+ +".join(f"Name={r['lang']}" for r in languages), list_images=False,
+        item_id=F.col("doc_id").cast("bigint"),
     )
     return read.long().select(
-        "item_id", "dataset", F.md5("question").alias("question_md5"), "answer", "img_path",
+        "item_id", F.replace("dataset", F.lit("name="), F.lit("")).alias("dataset"), F.md5("question").alias("question_md5"), "answer", "img_path",
         "model_idx", "model", "is_correct", "cost",
     )
 
@@ -178,9 +181,7 @@ def _instance_id(documents: DataFrame) -> DataFrame:
 def merged_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as one merged CSV; only the wanted data sets are read."""
     documents = _instance_id(fx.table(spark, folder, "documents"))
-    wide = _draw_outcomes(documents).drop("lang").join(
-        documents.select(F.col("doc_id").cast("string").alias("doc_id"), "dataset_idx"), "doc_id"
-    )
+    wide = _draw_outcomes(documents, "dataset_idx").drop("lang")
     root = scratch_path(spark, "merged")
     _write_csv(wide, f"{root}/all.csv")
     read = tables.read_outcomes(
@@ -380,15 +381,14 @@ def l2_normalise(spark: SparkSession, folder: str) -> DataFrame:
 def batch_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Mean vector, mean norm and spread of the norms, one row per modality and dimension."""
     items = fx.vector_outcomes(spark, folder).items
-    stats = fusion.batch_statistics(items, "text_emb_scaled", "img_emb_scaled")
-    rows = [
-        (name, i, round(x, 6), round(s.norm_mean, 6), round(s.norm_std, 6))
-        for name, s in (("text", stats.text), ("img", stats.img))
-        for i, x in enumerate(s.mean)
-    ]
-    return spark.createDataFrame(
-        rows, "modality string, pos int, mean double, norm_mean double, norm_std double"
-    )
+    row = fusion.statistics_row(items, "text_emb_scaled", "img_emb_scaled")
+    both = F.array(
+        *[F.struct(F.lit(name).alias("modality"), *[F.col(f"{name}_{c}").alias(c) for c in ("mean", "norm_mean", "norm_std")])
+          for name in ("text", "img")]
+    )
+    return row.select(F.inline(both)).select(
+        "modality", F.posexplode("mean").alias("pos", "mean"), "norm_mean", "norm_std"
+    ).withColumns({c: F.round(c, 6) for c in ("mean", "norm_mean", "norm_std")})
 
 
 def truncate_dims(spark: SparkSession, folder: str) -> DataFrame:
@@ -415,7 +415,7 @@ def text_encoder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_words(spark: SparkSession, folder: str) -> DataFrame:
-    return top_terms(term_counts(fx.questions(spark, folder), "item_id", "question"))
+    return top_terms(fx.questions(spark, folder), "question")
 
 
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,18 +79,36 @@ def hashed_terms(dim: int = 64) -> Callable[[], Encoder]:
     return make
 
 
-def or_zero(encoder: Encoder, dim: int) -> Encoder:
-    """Give unreadable or missing inputs the zero vector instead of failing."""
+# What decoders raise on broken bytes. An encoder that misses a file of its own, or a
+# service, fails with one of the second; these and all other errors rise.
+UNREADABLE = (OSError, ValueError, EOFError, SyntaxError)
+OWN_FAULTS = (FileNotFoundError, PermissionError, ConnectionError, TimeoutError)
+
+
+def or_zero(encoder: Encoder, dim: int, unreadable: tuple[type[Exception], ...] = UNREADABLE) -> Encoder:
+    """Give unreadable or missing inputs the zero vector instead of failing.
+
+    Batches go to the encoder whole. Only a batch that holds something unreadable is
+    taken apart, by halves, so that the readable ones stay in batches. Errors other than
+    ``unreadable`` rise: an encoder without its weights must not give zeros.
+    """
+
+    def some(values: list, places: np.ndarray, out: np.ndarray) -> None:
+        if not len(places):
+            return
+        try:
+            out[places] = np.asarray(encoder([values[i] for i in places]), dtype=np.float64)
+        except unreadable as error:
+            if isinstance(error, OWN_FAULTS):
+                raise
+            if len(places) > 1:
+                half = len(places) // 2
+                some(values, places[:half], out)
+                some(values, places[half:], out)
 
     def run(values: Sequence) -> np.ndarray:
         out = np.zeros((len(values), dim))
-        for i, value in enumerate(values):
-            if value is None:
-                continue
-            try:
-                out[i] = encoder([value])[0]
-            except Exception:  # whatever a decoder raises on broken bytes
-                continue
+        some(list(values), np.asarray([i for i, v in enumerate(values) if v is not None], dtype=int), out)
         return out
 
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,22 +47,35 @@ def _pair(df: DataFrame, text: str, img: str) -> DataFrame:
     return df.withColumns({"_t": v.widen(t), "_i": v.widen(i)})
 
 
-def batch_statistics(df: DataFrame, text: str = "text_emb", img: str = "img_emb") -> BatchStats:
-    """Mean vector and mean and spread of the norms, per modality.
+def statistics_row(df: DataFrame, text: str = "text_emb", img: str = "img_emb") -> DataFrame:
+    """Mean vector and mean and spread of the norms, per modality, in one row.
 
-    One aggregate with partial sums; 2 x dimension + 4 numbers reach the driver.
+    One aggregate with partial sums.
     """
     pair = _pair(df.select(text, img), text, img).withColumns(
         {"_nt": v.norm(F.col("_t")), "_ni": v.norm(F.col("_i"))}
     )
-    row = pair.agg(
-        Summarizer.mean(array_to_vector("_t")).alias("mt"),
-        Summarizer.mean(array_to_vector("_i")).alias("mi"),
-        *[f(c).alias(f"{f.__name__}{c}") for c in ("_nt", "_ni") for f in (F.avg, F.stddev_pop)],
-    ).first()
+    return pair.agg(
+        *[
+            column.alias(f"{name}_{what}")
+            for name, vec, norm in (("text", "_t", "_nt"), ("img", "_i", "_ni"))
+            for what, column in (
+                ("mean", vector_to_array(Summarizer.mean(array_to_vector(vec)))),
+                ("norm_mean", F.avg(norm)),
+                ("norm_std", F.stddev_pop(norm)),
+            )
+        ]
+    )
+
+
+def batch_statistics(df: DataFrame, text: str = "text_emb", img: str = "img_emb") -> BatchStats:
+    """``statistics_row`` on the driver: 2 x dimension + 4 numbers."""
+    row = statistics_row(df, text, img).first()
     return BatchStats(
-        ModalityStats(tuple(map(float, row["mt"].toArray())), row["avg_nt"], row["stddev_pop_nt"]),
-        ModalityStats(tuple(map(float, row["mi"].toArray())), row["avg_ni"], row["stddev_pop_ni"]),
+        *[
+            ModalityStats(tuple(row[f"{name}_mean"]), row[f"{name}_norm_mean"], row[f"{name}_norm_std"])
+            for name in ("text", "img")
+        ]
     )
 
 

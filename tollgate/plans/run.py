@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tollgate.operators.encode import Encoder, encode, hashed_terms
+from tollgate.operators.fusion import IMAGE
 from tollgate.operators.outcomes import Outcomes, impute_means, in_units
-from tollgate.operators.splits import in_domain, out_of_domain
-from tollgate.operators.terms import TfidfModel
+from tollgate.operators.splits import both_sides, in_domain, out_of_domain
+from tollgate.operators.terms import MAX_TERMS, TfidfModel
 from tollgate.plans.evaluate import LEARNED, Evaluation, Scales, evaluate, summary
 from tollgate.session import written
 from tollgate.sources.images import image_vectors, read_images, with_image_vectors
@@ -20,9 +21,14 @@ from tollgate.sources.tables import dataset_list, read_outcomes
 
 @dataclass(frozen=True)
 class TextTfidf:
-    """Take TF-IDF weights of the train texts' most frequent terms as text vectors."""
+    """Take TF-IDF weights of the train texts' most frequent terms as text vectors.
 
-    max_terms: int = 2_000
+    All terms count: their weights are projected to ``width`` dimensions.
+    """
+
+    max_terms: int = MAX_TERMS
+    width: int = 1_024
+    seed: int = 42
 
 
 @dataclass(frozen=True)
@@ -42,8 +48,9 @@ def with_vectors(items: DataFrame, is_train: Column, features: Features, root: s
     if isinstance(features.text, TextTfidf):
         texts = items.select("row_id", "question", is_train.alias("is_train"))
         model = TfidfModel.fit(texts.where("is_train"), "row_id", max_terms=features.text.max_terms)
-        dense = model.dense(texts, "row_id").withColumnsRenamed({"doc": "row_id", "vector": "text_emb"})
-        items = items.join(dense, "row_id")
+        how = features.text
+        dense = model.projected(texts, how.width, how.seed, "row_id")
+        items = items.join(dense.withColumnsRenamed({"doc": "row_id", "vector": "text_emb"}), "row_id")
     else:
         items = encode(items, "question", features.text, "text_emb", features.batch_size)
     if features.image is None:
@@ -77,12 +84,15 @@ def run(
     """
     if split not in ("in", "out"):
         raise ValueError(f"split must be 'in' or 'out', not {split!r}")
+    if router in LEARNED and features.image is None and IMAGE in mode:
+        raise ValueError(f"mode {mode!r} takes image vectors, but there is no image encoder")
     names = dataset_list(datasets)
     outcomes = read_outcomes(spark, root, names, **reading)
     numbered = outcomes.items.withColumn("row_id", F.monotonically_increasing_id())
     outcomes = outcomes.with_items(written(numbered, "outcomes"))
     outcomes = in_units(impute_means(outcomes), scales.perf, scales.cost)
     is_train = in_domain(outcomes.items, train_share, seed) if split == "in" else out_of_domain(names, out_share)
+    both_sides(outcomes.items, is_train)
     if router in LEARNED:
         items = with_vectors(outcomes.items, is_train, features, root)
         outcomes = Outcomes(written(items, "features"), outcomes.models)

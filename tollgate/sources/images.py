@@ -27,8 +27,8 @@ def image_vectors(
     lenient: bool = True,
     normalise: bool = True,
 ) -> DataFrame:
-    """``(img_path, img_emb)``. A file the encoder cannot read gives the zero
-    vector, or an error unless ``lenient``."""
+    """``(img_path, img_emb)``. A file that cannot be decoded (``encode.UNREADABLE``)
+    gives the zero vector, or an error unless ``lenient``; other errors always rise."""
 
     def make() -> Encoder:
         encoder = make_encoder()
