@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollgate.session import written
+from tollgate.session import small_side, written
 
 # White space and words of the contracts: bytes 0x20 and 0x09 to 0x0D part words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -56,43 +56,33 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``, root the least node.
 
-    Alternates the two star operations of Kiveris et al. (2014): every node links
-    its larger neighbours, then its smaller ones, to its least neighbour. Each
-    round is written to the shared folder, so a lost executor costs one round;
-    the least neighbours are written apart, so that the join with a hot node's
-    edges can be split. No edge list ever leaves the executors. Nodes without an
-    edge do not appear; loops and repeated edges are ignored; no edges, no rows.
+    Every round each node's least smaller neighbour becomes its parent; its other
+    smaller neighbours are linked to that parent, and the node itself to its
+    grandparent. The rounds end when every node has one edge, to a node without one.
+    They follow the logarithm of the longest path. Parents are counted and broadcast if
+    they fit, else joined with both sides written, so that a hot parent can be split.
+    Each round is written to the shared folder: a lost executor costs one round. No edge
+    list leaves the executors. Nodes without an edge do not appear; loops and repeated
+    edges are ignored; no edges, no rows.
     """
-    pairs = edges.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    )
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = written(pairs.distinct(), name)
-    state = _fingerprint(pairs)
-    while state[0]:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = written(least.select("a", F.least("a", "m").alias("m")), name)
-        larger = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        larger = written(larger.distinct(), name)
-        least = written(larger.groupBy("a").agg(F.min("b").alias("m")), name)
-        smaller = larger.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = written(smaller.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        state, last = _fingerprint(pairs), state
-        if state == last:
+    while True:
+        parents = written(pairs.groupBy("a").agg(F.min("b").alias("m")), name)
+        nodes, count = parents.count(), pairs.count()
+        of = small_side(parents.select(F.col("a").alias("m"), F.col("m").alias("up")), nodes, 16)
+        lifted = parents.join(of, "m", "left")
+        if nodes == count and not lifted.where("up is not null").limit(1).count():
             break
+        mine = small_side(parents, nodes, 16)
+        others = pairs.join(mine, "a").where("b <> m")
+        linked = others.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        jumped = lifted.select("a", F.coalesce("up", "m").alias("b"))
+        pairs = written(linked.unionByName(jumped).distinct(), name)
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
-    """Count and content sum of the edges: equal when a round has changed nothing."""
-    return tuple(
-        pairs.agg(
-            F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))
-        ).first()
-    )
-
-
 def forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
     """Least member of each node's component, for edges between node numbers."""
     parent = np.arange(nodes)
