@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -58,9 +59,9 @@ def differences(spark, folder: str, name: str) -> tuple[int, list]:
 
 
 if __name__ == "__main__":
-    from tollgate.session import local_session
+    from tollgate.session import drop_scratch, local_session
 
-    session = local_session(8)
+    session = local_session(8, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-")})
     session.sparkContext.setLogLevel("ERROR")
     names = sys.argv[2:] or list(driver.queries())
     bad = 0
@@ -70,6 +71,7 @@ if __name__ == "__main__":
             rows, found = differences(session, sys.argv[1], name)
         except Exception as error:
             rows, found = -1, [type(error).__name__, str(error)[:1500]]
+        drop_scratch(session)
         bad += bool(found)
         kind = "sql" if name in driver.oracle_sql() else "rows only"
         print(f"{'DIFFERS' if found else 'ok':8}{name:34}{rows:8} {kind:10}{time.time() - start:6.1f}s", flush=True)

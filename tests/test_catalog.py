@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import differences
+from tollgate.catalog.queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -14,7 +15,7 @@ def test_every_check_has_its_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in driver.queries() if n != "router_comparison"])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
     rows, found = differences(spark, FOLDER, name)
     assert rows > 0 and not found

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -191,7 +192,7 @@ def test_clusters_are_the_nearest_centres(spark):
     x, perf, cost = case(9, 120)
     df = items(spark, x, perf, cost)
     fitted = ClusterPolicy(clusters=6).fit(df.where("item_id < 60"))
-    centres = np.array(fitted.model.clusterCenters())
+    centres = fitted.centres
     rows = fitted.assign(df).orderBy("item_id").collect()
     nearest = np.linalg.norm(x[:, None] - centres[None], axis=2).argmin(axis=1)
     assert [r.cluster for r in rows] == nearest.tolist()
@@ -201,6 +202,25 @@ def test_clusters_are_the_nearest_centres(spark):
         assert perf_pred[i] == pytest.approx(perf[:60][train == nearest[i]].mean(axis=0))
 
 
+def lloyd_by_hand(x, k, seed, rounds=100):
+    order = sorted(range(len(x)), key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
+    centres = x[order[:k]].copy()
+    for _ in range(rounds):
+        label = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
+        if np.allclose(moved, centres, atol=0):
+            break
+        centres = moved
+    return centres
+
+
+def test_clusters_are_those_of_lloyd_rounds_for_any_partitions(spark):
+    x, perf, cost = case(21, 150)
+    for partitions in (2, 7):
+        fitted = ClusterPolicy(clusters=7, seed=3).fit(items(spark, x, perf, cost, partitions=partitions))
+        assert fitted.centres == pytest.approx(lloyd_by_hand(x, 7, 3), abs=1e-9)
+
+
 def test_more_clusters_than_rows(spark):
     x, perf, cost = case(10, 6)
     df = items(spark, x, perf, cost)
@@ -243,8 +263,8 @@ def test_masked_loss_is_the_mean_over_known_targets():
     assert net.loss_gradient(w, np.ones((1, 1)), np.full((1, 2), np.nan))[0] == 0.0
 
 
-FAST = Training(epochs=30, rounds=3, lr=5e-3)
-LONGER = Training(epochs=90, rounds=3, lr=5e-3)
+FAST = Training(epochs=30, rounds=3, lr=5e-3, shards=1)
+LONGER = Training(epochs=90, rounds=3, lr=5e-3, shards=1)
 
 
 def error(got, truth):
@@ -257,7 +277,7 @@ def error(got, truth):
         NetPolicy((16, 8), LONGER),
         NetFactorPolicy((16, 8), 4, LONGER),
         CrossModalPolicy((16, 8), LONGER),
-        NetFactorPolicy((16, 8), 4, Training(epochs=250, rounds=10, lr=5e-3, shard_rows=70)),
+        NetFactorPolicy((16, 8), 4, Training(epochs=250, rounds=10, lr=5e-3, shards=3)),
     ],
 )
 def test_nets_learn(spark, policy):
@@ -270,18 +290,18 @@ def test_nets_learn(spark, policy):
     assert error(got_cost, cost) < 0.25 * error(cost.mean(axis=0), cost)
 
 
-def test_same_seed_same_net(spark):
-    x, perf, cost = case(12, 60)
-    first = predicted(NetPolicy((8,), FAST).fit(items(spark, x, perf, cost)).predict(items(spark, x, perf, cost)))
-    again = predicted(
-        NetPolicy((8,), FAST).fit(items(spark, x, perf, cost, partitions=7)).predict(items(spark, x, perf, cost))
-    )
+@pytest.mark.parametrize("shards", [1, 5])
+def test_same_seed_same_net(spark, shards):
+    x, perf, cost = case(12, 300)
+    policy = NetPolicy((8,), Training(epochs=30, rounds=3, lr=5e-3, shards=shards))
+    first = predicted(policy.fit(items(spark, x, perf, cost)).predict(items(spark, x, perf, cost)))
+    again = predicted(policy.fit(items(spark, x, perf, cost, partitions=7)).predict(items(spark, x, perf, cost)))
     assert first[0] == pytest.approx(again[0], abs=1e-12) and first[1] == pytest.approx(again[1], abs=1e-9)
 
 
 def test_rounds_of_one_shard_change_nothing(spark):
     x, perf, cost = case(13, 50)
-    shards, rows = pack_shards(items(spark, x, perf, cost), 1000)
+    shards, rows = pack_shards(items(spark, x, perf, cost), 1)
     net = Net((5, 8, 6), (True, False))
     flat = np.zeros(6), np.ones(6)
     one = train_net(net, shards, rows, Training(epochs=6, rounds=1), slice(0, 6), *flat)
@@ -291,7 +311,7 @@ def test_rounds_of_one_shard_change_nothing(spark):
 
 def test_copies_of_one_item_do_not_fill_a_shard(spark):
     x, perf, cost = case(14, 400)
-    shards, rows = pack_shards(items(spark, x, perf, cost, ids=[7] * 400), 50)
+    shards, rows = pack_shards(items(spark, x, perf, cost, ids=[7] * 400), 8)
     sizes = [r["rows"] for r in shards.collect()]
     assert rows == 400 and sum(sizes) == 400 and len(sizes) == 8 and max(sizes) < 100
 

@@ -47,8 +47,18 @@ def test_oracle_from_csv(spark, root, tmp_path):
     row = summary.first()
     assert (row.router, row.dataset, row["mode"]) == ("oracle", "alpha+Beta", "22")
     assert [m.model for m in row.single_model] == ["m.0", "m.1"]
-    saved = spark.read.json(str(tmp_path / "out"))
+    saved = spark.read.json(str(tmp_path / "out" / "points"))
     assert curve(saved) == pytest.approx(np.array(curve(result.points)))
+    front = spark.read.json(str(tmp_path / "out" / "frontier"))
+    assert curve(front) == pytest.approx(np.array(curve(result.frontier)))
+    back = spark.read.json(str(tmp_path / "out" / "summary")).first()
+    assert back.router == "oracle" and back.frontier_points == front.count()
+    assert back.metrics.ps == pytest.approx(row.metrics.ps)
+
+
+def test_images_need_an_encoder(spark, root):
+    with pytest.raises(ValueError, match="image encoder"):
+        run(spark, root, "alpha", "knn", "33", list_images=False)
 
 
 def test_oracle_equals_the_definition(spark, root):
@@ -91,7 +101,7 @@ def test_tfidf_features_and_data_set_split(spark, root):
 def test_tfidf_counts_every_row_of_a_shared_text(spark):
     rows = [(i, "same words" if i < 8 else f"other words {i}0", i < 10) for i in range(12)]
     items = spark.createDataFrame(rows, "row_id long, question string, is_train boolean")
-    got = with_vectors(items, F.col("is_train"), Features(text=TextTfidf(2)), "/")
+    got = with_vectors(items, F.col("is_train"), Features(text=TextTfidf(2, width=None)), "/")
     vectors = {r.row_id: r.text_emb for r in got.collect()}
     # kept terms: "words" in 10 of 10 train texts, "same" (or "same words") in 8
     idf = np.array([np.log(11 / 9) + 1, np.log(11 / 11) + 1])

@@ -70,7 +70,7 @@ test as (select opt.* from opt join split using (item_id) where not is_train)"""
 
 # Sweep by definition: every budget against every item.
 NAIVE_POINTS = """
-budgets as (select distinct cost_pred c from pred),
+budgets as (select distinct cost_pred c from pred where cost_pred is not null),
 choice as (
   select c, item_id, perf, cost from budgets cross join pred
   qualify row_number() over (
@@ -278,30 +278,22 @@ profile as (
   select label, model_idx, avg(perf) perf_pred, avg(cost) cost_pred from train group by 1, 2)"""
 
 
-def one_feature(alpha: float) -> str:
-    """Ridge line with an unpenalised intercept, in closed form."""
-    return f"""{VECTORS},
-f as (select item_id, cast(t[1] as double) x from vec),
-line as (
-  select model_idx, avg(x) mx, avg(perf) mp, avg(cost) mc,
-         covar_pop(perf, x) * count(*) / (var_pop(x) * count(*) + {alpha}) wp,
-         covar_pop(cost, x) * count(*) / (var_pop(x) * count(*) + {alpha}) wc
-  from train join f using (item_id) group by model_idx)
-select item_id, model_idx, round(mp + wp * (x - mx), 6) perf_pred, round(mc + wc * (x - mx), 1) cost_pred
-from test join f using (item_id) join line using (model_idx)"""
-
-
-TWO_FEATURES = f"""{VECTORS},
-f as (select item_id, cast(t[1] as double) x, cast(t[2] as double) y from vec),
-s as (
-  select model_idx, avg(x) mx, avg(y) my, avg(perf) mp, avg(cost) mc,
-         var_pop(x) xx, var_pop(y) yy, covar_pop(x, y) xy,
-         covar_pop(x, perf) xp, covar_pop(y, perf) yp, covar_pop(x, cost) xc, covar_pop(y, cost) yc
-  from train join f using (item_id) group by model_idx)
-select item_id, model_idx,
-       round(mp + ((xp * yy - yp * xy) * (x - mx) + (yp * xx - xp * xy) * (y - my)) / (xx * yy - xy * xy), 6) perf_pred,
-       round(mc + ((xc * yy - yc * xy) * (x - mx) + (yc * xx - xc * xy) * (y - my)) / (xx * yy - xy * xy), 1) cost_pred
-from test join f using (item_id) join s using (model_idx)"""
+# Every pair of 1, the 64 features and the 8 targets, multiplied and summed by definition.
+MOMENTS = f"""{VECTORS},
+targets as (
+  select item_id, list(cast(perf as double) order by model_idx) p, list(cast(cost as double) order by model_idx) c
+  from train group by item_id),
+z as (
+  select item_id, list_concat([1.0::double], list_concat(list_transform(t, lambda x: cast(x as double)), list_concat(p, c))) z
+  from targets join vec using (item_id)),
+e as (select item_id, unnest(z) v, unnest(range(0, len(z))) i from z)
+select cast(a.i as integer) i, cast(b.i as integer) j, round(sum(a.v * b.v), 4) "value"
+from e a join e b using (item_id) group by a.i, b.i"""
+
+# What is left over by a fit that solves its normal equations.
+NOTHING_LEFT = """
+select cast(f as integer) feature, cast(t as integer) target, cast(0 as double) left_over
+from range(64) a(f) cross join range(8) b(t)"""
 
 
 def _averaged(image: str) -> str:
@@ -517,7 +509,36 @@ from means""",
         1,
     )
     + CURVE,
-    "linear_1d": f"with {one_feature(0)}",
-    "low_rank_1d": f"with {one_feature(1)}",
-    "linear_2d": f"with {TWO_FEATURES}",
+    "moments_full": f"with {MOMENTS}",
+    "linear_residuals": NOTHING_LEFT,
+    "ridge_residuals": NOTHING_LEFT,
+    "knn_neighbours_blocks": f"""
+with {COSINE}
+select item_id, cast(rank as integer) rank, train_id, round(distance, 6) distance from ranked""",
+    "parquet_outcomes": f"""
+with {DRAWN}
+select doc_id item_id, 'whole' dataset, md5(text) question_md5, lang answer, '' img_path,
+       cast(model_idx as integer) model_idx, 'gate-' || model_idx || '.0' model, is_correct, cost
+from drawn""",
+    "sweep_unmatched": "with "
+    + points(
+        f"""{ORDER_TEST},
+profile as (
+  select dataset, model_idx, avg(perf) perf_pred, avg(cost) cost_pred
+  from opt join split using (item_id) where is_train and dataset <> '1-URGENT' group by 1, 2),
+pred as (select test.*, perf_pred, cost_pred from test left join profile using (dataset, model_idx))""",
+        NAIVE_POINTS,
+        PERF_SCALE,
+    )
+    + CURVE,
+    "split_out_merged": f"""
+with {IDS}
+select doc_id, coalesce(folder, 'unknown') dataset, coalesce(folder = 'SEEDBenchv2Plus', false) is_train from matched""",
+    "saved_run": f"""
+with {TEST_ORDERS_CURVE},{FRONTIER},{BASELINES},
+m as ({METRICS})
+select 'oracle' router, 'orders' dataset, '22' mode, nauc, ps, qnc,
+       cast((select count(*) from baselines) as integer) models,
+       (select count(*) from front) frontier_points, (select count(*) from curve) curve_points
+from m""",
 }

@@ -6,6 +6,7 @@ Each reads the whole of the given tables and aliases its columns as the SQL in
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tollgate.catalog import fixtures as fx
@@ -20,11 +21,13 @@ from tollgate.operators.frontier import (
     pareto_frontier,
     single_models,
 )
+from tollgate.operators.gram import moments
 from tollgate.operators.neighbours import NeighbourIndex
 from tollgate.operators.outcomes import (
     Outcomes,
     from_wide,
     impute_means,
+    in_units,
     normalised_costs,
     zero_missing,
 )
@@ -41,6 +44,7 @@ from tollgate.routers import LinearPolicy, LowRankPolicy
 from tollgate.routers.cluster import cluster_profile, with_profile
 from tollgate.session import scratch_path, written
 from tollgate.sources import tables
+from tollgate.sources.sinks import save_run
 from tollgate.sources.synthetic import synthetic_outcomes
 
 BUDGET_CENTS = 3_000_000
@@ -149,6 +153,20 @@ def _write_csv(df: DataFrame, path: str, *by: str) -> None:
     )
 
 
+def parquet_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as one Parquet outcome table and read back."""
+    root = scratch_path(spark, "parquet")
+    wide = _draw_outcomes(fx.table(spark, folder, "documents")).drop("lang")
+    wide.write.parquet(f"{root}/whole.parquet")
+    read = tables.read_outcomes(
+        spark, root, "Whole", ending=".parquet", list_images=False, item_id=F.col("doc_id").cast("bigint")
+    )
+    return read.long().select(
+        "item_id", "dataset", F.md5("question").alias("question_md5"), "answer", "img_path",
+        "model_idx", "model", "is_correct", "cost",
+    )
+
+
 def csv_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as one outcome CSV per language and read back."""
     wide = _draw_outcomes(fx.table(spark, folder, "documents"))
@@ -346,6 +364,38 @@ def _by_priority(spark: SparkSession, folder: str) -> DataFrame:
     return with_profile(outcomes.items.where(~is_train), profile, profile.count(), models, "dataset")
 
 
+def sweep_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """As below, but one priority has no train orders: its test orders take model 0 throughout."""
+    outcomes, is_train = _orders_split(spark, folder)
+    models = len(outcomes.models)
+    seen = outcomes.items.where(is_train & (F.col("dataset") != "1-URGENT"))
+    profile = written(cluster_profile(seen, models, "dataset"), "profile")
+    test = with_profile(outcomes.items.where(~is_train), profile, profile.count(), models, "dataset")
+    return _points(budget_sweep(test, fx.ORDER_SCALES.perf, fx.ORDER_SCALES.cost))
+
+
+def split_out_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders as the merged loader stamps them, split by names spelled otherwise."""
+    documents = _instance_id(fx.table(spark, folder, "documents"))
+    stamped = documents.withColumn("dataset", n.folder_of(F.col("dataset_idx")))
+    is_train = out_of_domain(["seedbench", "Math Vista", "MMStar", "OCR Bench"], share=0.25)
+    return stamped.select("doc_id", "dataset", is_train.alias("is_train"))
+
+
+def saved_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Points, frontier and summary of the orders, written as JSON and read back."""
+    out = scratch_path(spark, "run")
+    result = ev.evaluate("oracle", *_orders_split(spark, folder), fx.ORDER_SCALES)
+    save_run(out, result, ev.summary(result, "oracle", "orders", "22"))
+    summary = spark.read.json(f"{out}/summary")
+    points = spark.read.json(f"{out}/points").agg(F.count("*").alias("curve_points"))
+    flat = summary.select(
+        "router", "dataset", F.col("mode").cast("string").alias("mode"), "metrics.*",
+        F.size("single_model").alias("models"), "frontier_points",
+    )
+    return _rounded(flat.crossJoin(points), "nauc", "ps", "qnc")  # one row each
+
+
 def budget_sweep_given_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return _points(budget_sweep(_by_priority(spark, folder), fx.ORDER_SCALES.perf, fx.ORDER_SCALES.cost))
 
@@ -465,6 +515,14 @@ def knn_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(index.neighbours(test), "distance")
 
 
+def knn_neighbours_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The way of a train side beyond the broadcast limit, with blocks of 64 rows."""
+    outcomes, is_train = _vectors_split(spark, folder)
+    items = fusion.average_features(outcomes.items)
+    index = NeighbourIndex(items.where(is_train), NEIGHBOURS, "cosine", broadcast=False, block_rows=64)
+    return _rounded(index.neighbours(items.where(~is_train)), "distance")
+
+
 def knn_neighbours_euclidean(spark: SparkSession, folder: str) -> DataFrame:
     index, test = _neighbour_sides(spark, folder, "euclidean")
     return _rounded(index.neighbours(test), "distance")
@@ -489,26 +547,66 @@ def knn_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return _points(budget_sweep(index.predict(test)))
 
 
-def _one_feature(spark: SparkSession, folder: str, policy) -> DataFrame:
+def _moment_rows(gram: np.ndarray, spark: SparkSession) -> DataFrame:
+    rows = [(i, j, float(gram[i, j])) for i in range(len(gram)) for j in range(len(gram))]
+    return spark.createDataFrame(rows, "i int, j int, value double")
+
+
+def moments_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of products of 1, all 64 features and all 8 targets over the train items."""
+    outcomes, is_train = _vectors_split(spark, folder)
+    items = outcomes.items.withColumn("x", F.col("text_emb").cast("array<double>"))
+    return _rounded(_moment_rows(moments(items.where(is_train)).gram, spark), "value", digits=4)
+
+
+def _residual_moments(spark: SparkSession, folder: str, policy, alpha: float) -> DataFrame:
+    """What the normal equations leave over, per feature and target: nothing.
+
+    Residuals are taken from the predictions of the train items; for a ridge fit the
+    penalty's part goes off. Divided by the target's size, so one rounding fits all.
+    """
     outcomes, is_train = _vectors_split(spark, folder)
-    first = F.get("text_emb", F.lit(0)).cast("double")
-    items = outcomes.items.withColumn("x", F.array(first))
-    return _predictions(policy.fit(items.where(is_train)).predict(items.where(~is_train)), 1)
+    train = outcomes.items.withColumn("x", F.col("text_emb").cast("array<double>")).where(is_train)
+    fitted = policy.fit(train)
+    models = len(outcomes.models)
 
+    def residual(pred: str, truth: str) -> Column:
+        return F.zip_with(pred, F.col(truth).cast("array<double>"), lambda p, t: t - p)
 
-def linear_1d(spark: SparkSession, folder: str) -> DataFrame:
-    return _one_feature(spark, folder, LinearPolicy())
+    left = fitted.predict(train).select(
+        "x", F.concat(residual("perf_pred", "perf"), residual("cost_pred", "cost")).alias("y")
+    )
+    sums = left.select(F.posexplode("x").alias("feature", "v"), "y").select(
+        "feature", "v", F.posexplode("y").alias("target", "r")
+    ).groupBy("feature", "target").agg(F.sum(F.col("v") * F.col("r")).alias("left_over"))
+    penalty = [(i, j, float(alpha * fitted.weights[i, j])) for i in range(len(fitted.weights)) for j in range(2 * models)]
+    sums = sums.join(spark.createDataFrame(penalty, "feature int, target int, pull double"), ["feature", "target"])
+    size = F.when(F.col("target") < models, 1.0).otherwise(10_000.0)
+    # + 0.0 turns the negative zero of a rounding into zero
+    value = F.round((F.col("left_over") - F.col("pull")) / size, 6) + F.lit(0.0)
+    return sums.select("feature", "target", value.alias("left_over"))
 
 
-def low_rank_1d(spark: SparkSession, folder: str) -> DataFrame:
-    return _one_feature(spark, folder, LowRankPolicy())
+def linear_residuals(spark: SparkSession, folder: str) -> DataFrame:
+    return _residual_moments(spark, folder, LinearPolicy(), 0.0)
 
 
-def linear_2d(spark: SparkSession, folder: str) -> DataFrame:
-    outcomes, is_train = _vectors_split(spark, folder)
-    items = outcomes.items.withColumn("x", F.slice("text_emb", 1, 2).cast("array<double>"))
-    fitted = LinearPolicy().fit(items.where(is_train))
-    return _predictions(fitted.predict(items.where(~is_train)), 1)
+def ridge_residuals(spark: SparkSession, folder: str) -> DataFrame:
+    """All 64 directions are kept (128 are allowed), so the low-rank fit is the ridge fit."""
+    return _residual_moments(spark, folder, LowRankPolicy(), 1.0)
+
+
+def tfidf_low_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The default policy on TF-IDF of 20,000 terms over whole documents."""
+    texts = fx.questions(spark, folder)
+    wide = from_wide(_draw_outcomes(fx.table(spark, folder, "documents")), F.col("doc_id").cast("bigint"))
+    outcomes = in_units(impute_means(wide), 10**6, 10**6)
+    is_train = in_domain(outcomes.items)
+    train = texts.join(outcomes.items.where(is_train).select("item_id"), "item_id", "left_semi")
+    vectors = TfidfModel.fit(train).projected(texts, 256).withColumnRenamed("doc", "item_id")
+    items = outcomes.items.join(vectors.withColumnRenamed("vector", "text_emb"), "item_id")
+    items = written(items.withColumn("img_emb", F.lit(None).cast("array<float>")), "tfidf-items")
+    return _points(ev.curve("linearmf", outcomes.with_items(items), is_train, ev.Scales(10**6, 10**6), "11"))
 
 
 def _policy_points(name: str):
@@ -536,6 +634,7 @@ QUERIES = {
     "single_model_baselines": single_model_baselines,
     "best_single_model": best_single,
     "csv_outcomes": csv_outcomes,
+    "parquet_outcomes": parquet_outcomes,
     "merged_outcomes": merged_outcomes,
     "filter_datasets": filter_datasets,
     "union_datasets": union_datasets,
@@ -554,6 +653,9 @@ QUERIES = {
     "trapezoid_auc": trapezoid_auc,
     "metrics_summary": metrics_summary,
     "random_metrics": random_metrics,
+    "sweep_unmatched": sweep_unmatched,
+    "split_out_merged": split_out_merged,
+    "saved_run": saved_run,
     "budget_sweep_given_predictions": budget_sweep_given_predictions,
     "average_fusion": average_fusion,
     "adaptive_fusion": adaptive_fusion,
@@ -568,12 +670,14 @@ QUERIES = {
     "cluster_profile": cluster_means,
     "cluster_route_sweep": cluster_route_sweep,
     "knn_neighbours": knn_neighbours,
+    "knn_neighbours_blocks": knn_neighbours_blocks,
     "knn_neighbours_euclidean": knn_neighbours_euclidean,
     "knn_predict": knn_predict,
     "knn_sweep": knn_sweep,
-    "linear_1d": linear_1d,
-    "low_rank_1d": low_rank_1d,
-    "linear_2d": linear_2d,
+    "moments_full": moments_full,
+    "linear_residuals": linear_residuals,
+    "ridge_residuals": ridge_residuals,
+    "tfidf_linear_router": tfidf_low_rank,
     "kmeans_router": _policy_points("kmeans"),
     "kmeans_adaptive_router": _policy_points("kmeansnew"),
     "linear_router": _policy_points("linear"),

@@ -132,20 +132,20 @@ class NeighbourIndex:
             return self._candidates(test)[1].select("item_id", "rank", "train_id", "distance")
         side, k, metric = self._side(), self.k, self.metric
 
-        @F.pandas_udf("array<struct<train_id:bigint,distance:double>>")
-        def search(x: pd.Series) -> pd.Series:
+        @F.pandas_udf("struct<train_id:array<bigint>,distance:array<double>>")
+        def search(x: pd.Series) -> pd.DataFrame:
             ids, train, _ = side.value
-            found = []
-            for near, dist in top_k(_matrix(x), train, k, metric):
-                found += [
-                    [{"train_id": int(i), "distance": float(d)} for i, d in zip(ids[n], ds)]
-                    for n, ds in zip(near, dist)
-                ]
-            return pd.Series(found)
+            found = list(top_k(_matrix(x), train, k, metric)) if len(x) else []
+            return pd.DataFrame(
+                {
+                    "train_id": [row for near, _ in found for row in ids[near]],
+                    "distance": [row for _, dist in found for row in dist],
+                }
+            )
 
         return (
             test.select("item_id", once(search)(F.col("x").cast("array<double>")).alias("found"))
-            .select("item_id", F.posexplode("found").alias("pos", "n"))
+            .select("item_id", F.posexplode(F.arrays_zip("found.train_id", "found.distance")).alias("pos", "n"))
             .select(
                 "item_id",
                 (F.col("pos") + 1).alias("rank"),

@@ -128,8 +128,8 @@ def evaluate(
 def summary(evaluation: Evaluation, router: str, dataset: str, mode: str) -> DataFrame:
     """One row: run, metrics and the single-model baselines in model order.
 
-    The frontier is no part of the row: it may hold as many points as there are
-    distinct costs, and is a table of its own.
+    The frontier is no part of the row, but its size is: it may hold as many points as
+    there are distinct costs, and is a table of its own (``sinks.save_run``).
     """
     baselines = sorted(evaluation.baselines.collect(), key=lambda r: r["model_idx"])
     single = F.array(
@@ -141,6 +141,7 @@ def summary(evaluation: Evaluation, router: str, dataset: str, mode: str) -> Dat
         F.lit(mode).alias("mode"),
         F.struct("nauc", "ps", "qnc").alias("metrics"),
         single.alias("single_model"),
+        F.col("points").alias("frontier_points"),
     )
 
 

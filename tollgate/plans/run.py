@@ -15,7 +15,7 @@ from tollgate.operators.terms import MAX_TERMS, TfidfModel
 from tollgate.plans.evaluate import LEARNED, Evaluation, Scales, evaluate, summary
 from tollgate.session import written
 from tollgate.sources.images import image_vectors, read_images, with_image_vectors
-from tollgate.sources.sinks import save_points
+from tollgate.sources.sinks import save_run
 from tollgate.sources.tables import dataset_list, read_outcomes
 
 
@@ -23,11 +23,12 @@ from tollgate.sources.tables import dataset_list, read_outcomes
 class TextTfidf:
     """Take TF-IDF weights of the train texts' most frequent terms as text vectors.
 
-    All terms count: their weights are projected to ``width`` dimensions.
+    All terms count: their weights are projected to ``width`` dimensions, or with None
+    take one dimension each.
     """
 
     max_terms: int = MAX_TERMS
-    width: int = 1_024
+    width: int | None = 1_024
     seed: int = 42
 
 
@@ -98,6 +99,7 @@ def run(
         outcomes = Outcomes(written(items, "features"), outcomes.models)
     result = evaluate(router, outcomes, is_train, scales, mode, policy)
     label = "+".join(names)
+    row = summary(result, router, label, mode)
     if out_folder is not None:
-        save_points(result.points.drop("bucket"), out_folder, router, label, mode)
-    return result, summary(result, router, label, mode)
+        save_run(out_folder, result, row)
+    return result, row

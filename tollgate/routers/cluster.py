@@ -5,12 +5,15 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.clustering import KMeans, KMeansModel
+from pyspark.mllib.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
-from tollgate.session import small_side
+from tollgate.functions.draws import digest
+from tollgate.session import once, small_side
 
 log = logging.getLogger(__name__)
 
@@ -38,59 +41,87 @@ def with_profile(
     return items.join(side, cluster, "left")
 
 
-def _vectors(items: DataFrame) -> DataFrame:
-    return items.withColumn("_v", array_to_vector(F.col("x").cast("array<double>")))
+def first_centres(train: DataFrame, k: int, seed: int) -> np.ndarray:
+    """Distinct vectors of the first train rows in md5 order of seed and id.
+
+    Only the ids' digests are ordered; a few times k rows reach the driver.
+    """
+    ordered = train.select("x", digest(seed, F.col("item_id")).alias("key")).orderBy("key", "x")
+    found: list[tuple[float, ...]] = []
+    for ahead in (4 * k, 64 * k):
+        rows = ordered.limit(ahead).collect()
+        found = list(dict.fromkeys(tuple(map(float, r["x"])) for r in rows))[:k]
+        if len(found) == k or len(rows) < ahead:
+            break
+    return np.asarray(found)
 
 
 @dataclass
 class ClusterPolicy:
-    """k-means on the features, cluster means as predictions."""
+    """k-means on the features, cluster means as predictions.
+
+    Lloyd rounds from centres that hang on the seed and the ids alone, so the clusters
+    follow neither the partitions nor their order. Fewer distinct vectors than clusters
+    give fewer clusters.
+    """
 
     clusters: int = 20
     seed: int = 42
     max_iter: int = 100
 
     def fit(self, train: DataFrame) -> FittedClusters:
-        vectors = _vectors(train.select("x", "perf", "cost")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = train.select(
+            "item_id", F.col("x").cast("array<double>").alias("x"), "perf", "cost"
+        ).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            n, models = vectors.agg(F.count(F.lit(1)), F.max(F.size("perf"))).first()
+            n, models = rows.agg(F.count(F.lit(1)), F.max(F.size("perf"))).first()
             if not n:
                 raise ValueError("no train rows")
             if self.clusters > n:
                 log.warning("%d clusters are more than the %d train rows", self.clusters, n)
-            k = min(self.clusters, n)
-            if k < 2:
-                model, labelled = None, vectors.withColumn("cluster", F.lit(0))
-            else:
-                means = KMeans(
-                    k=k,
-                    seed=self.seed,
-                    maxIter=self.max_iter,
-                    featuresCol="_v",
-                    predictionCol="cluster",
-                )
-                model = means.fit(vectors)
-                labelled = model.transform(vectors)
-            # k x models numbers: kept as literals, so every later pass sees the same
-            profile = cluster_profile(labelled, models).collect()
+            start = first_centres(rows, min(self.clusters, n), self.seed)
+            vectors = rows.select("x").rdd.map(lambda r: Vectors.dense(r[0]))
+            fitted = KMeans.train(
+                vectors, len(start), self.max_iter, initialModel=KMeansModel([Vectors.dense(c) for c in start]), epsilon=0.0
+            )
+            centres = np.asarray([np.asarray(c) for c in fitted.clusterCenters])
+            profile = cluster_profile(nearest_centre(rows, centres), models).collect()
         finally:
-            vectors.unpersist()
-        return FittedClusters(model, profile, models, k)
+            rows.unpersist()
+        return FittedClusters(centres, profile, models)
+
+
+def nearest_centre(items: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Set ``cluster``, the number of the nearest centre, the first among equals.
+
+    The centres are clusters x dimensions numbers, sent along with the function.
+    """
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        points = np.asarray(x.tolist(), dtype=float).reshape(len(x), -1)
+        out = []
+        for i in range(0, len(points), 1_000):
+            some = points[i : i + 1_000, None, :] - centres[None, :, :]
+            out.append(np.round((some * some).sum(axis=2), 12).argmin(axis=1))
+        return pd.Series(np.concatenate(out) if out else [], dtype="int32")
+
+    return items.withColumn("cluster", once(nearest)(F.col("x").cast("array<double>")))
 
 
 @dataclass
 class FittedClusters:
-    model: KMeansModel | None
+    centres: np.ndarray
     profile: list
     models: int
-    clusters: int
+
+    @property
+    def clusters(self) -> int:
+        return len(self.centres)
 
     def assign(self, items: DataFrame) -> DataFrame:
         """Set ``cluster``, the index of the nearest centre."""
-        items = items.drop("cluster")
-        if self.model is None:
-            return items.withColumn("cluster", F.lit(0))
-        return self.model.transform(_vectors(items)).drop("_v")
+        return nearest_centre(items.drop("cluster"), self.centres)
 
     def predict(self, test: DataFrame) -> DataFrame:
         schema = "cluster int, perf_pred array<double>, cost_pred array<double>"

@@ -1,9 +1,10 @@
 """Neural policies, trained data-parallel with averaged weights.
 
-The train rows are packed once into shards of bounded size. In every round each
-shard continues from the common weights with its own minibatches; the weights
-(and the optimiser's moments) are then averaged over the rows of the shards.
-One shard makes this plain minibatch training. The net itself is a few numpy
+The train rows are packed once into a fixed number of shards, by a hash of their
+contents, so that the result hangs neither on their number nor on the partitioning.
+In every round each shard continues from the common weights with its own minibatches;
+the weights (and the optimiser's moments) are then averaged over the rows of the shards.
+One shard makes this plain minibatch training; large tables ask for more of them. The net itself is a few numpy
 lines; Spark spreads the shards and adds the weights up.
 """
 
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from tollgate.routers.linear import with_predictions
 from tollgate.session import fits_broadcast, written
 
-SHARD_ROWS = 20_000
+# Shards of the train rows unless a training says otherwise.
+SHARDS = 8
 
 # Weights travel in pieces of this length, so that many tasks add them up.
 _PIECE = 16_384
@@ -104,7 +106,7 @@ class Training:
     lr: float = 1e-3
     weight_decay: float = 0.0
     seed: int = 42
-    shard_rows: int = SHARD_ROWS
+    shards: int = SHARDS
 
 
 def _local_epochs(net: Net, state: np.ndarray, x, y, how: Training, epochs: range, shard: int) -> np.ndarray:
@@ -127,15 +129,15 @@ def _local_epochs(net: Net, state: np.ndarray, x, y, how: Training, epochs: rang
     return np.concatenate([w, m1, m2, [step]])
 
 
-def pack_shards(train: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
+def pack_shards(train: DataFrame, shards: int) -> tuple[DataFrame, int]:
     """``(shard, rows, x, y)`` with one row per shard, the matrices as bytes.
 
-    Rows are spread by a number written with them, not by the item, so copies of
-    one item cannot overfill a shard.
+    Rows are spread by a hash of id, features and targets, not by the item alone, so
+    that several rows of one item do not fill a shard.
     """
     rows = written(
         train.select(
-            F.monotonically_increasing_id().alias("_row"),
+            F.xxhash64("item_id", "x", "perf", "cost").alias("_row"),
             "item_id",
             F.col("x").cast("array<float>").alias("x"),
             F.concat(
@@ -147,7 +149,6 @@ def pack_shards(train: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
     n = rows.count()
     if not n:
         raise ValueError("no train rows")
-    shards = math.ceil(n / shard_rows)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["item_id", "_row"])
@@ -158,7 +159,7 @@ def pack_shards(train: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
         )
 
     packed = (
-        rows.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
+        rows.withColumn("shard", F.pmod("_row", F.lit(shards)).cast("int"))
         .groupBy("shard")
         .applyInPandas(pack, "shard int, rows bigint, x binary, y binary")
     )
@@ -244,7 +245,7 @@ def _dims(train: DataFrame) -> tuple[int, int]:
 
 def _fit(train: DataFrame, nets: list[tuple[Net, slice]], how: Training, models: int) -> FittedNets:
     shift, scale = target_spread(train, 2 * models)
-    shards, rows = pack_shards(train, how.shard_rows)
+    shards, rows = pack_shards(train, how.shards)
     fitted = [
         (net, train_net(net, shards, rows, how, part, shift[part], scale[part])) for net, part in nets
     ]
