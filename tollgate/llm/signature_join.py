@@ -220,8 +220,7 @@ def islands(sets: DataFrame, frequent, buckets: int, similarity: int) -> DataFra
             hashes, holder = hashes[order], holder[order]
             starts, lengths = _runs(hashes)
             least = names[holder[starts]]
-            a, b = names[holder], np.repeat(least, lengths)
-            pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
+            pairs = np.stack(list(_stars(names[holder], np.repeat(least, lengths)).values()))
             rows = {"bucket": [-1], "hashes": [b""], "classes": [pairs.T.astype("i8").tobytes()]}
             hashes = hashes[starts]
             for bucket, at in _by_bucket(_bucket(hashes, buckets)):
@@ -236,11 +235,7 @@ def islands(sets: DataFrame, frequent, buckets: int, similarity: int) -> DataFra
         order = np.lexsort((classes, hashes))
         hashes, classes = hashes[order], classes[order]
         starts, lengths = _runs(hashes)
-        least = np.repeat(classes[starts], lengths)
-        names, place = np.unique(classes, return_inverse=True)
-        root = names[forest(place, np.searchsorted(names, least), len(names))]
-        apart = names != root
-        return pa.table({"a": names[apart], "b": root[apart]})
+        return pa.table(_stars(classes, np.repeat(classes[starts], lengths)))
 
     def own(batch: pa.RecordBatch) -> dict:
         flat = np.concatenate([np.frombuffer(x, "i8") for x in batch.column("classes").to_pylist()]).reshape(-1, 2)
@@ -283,11 +278,19 @@ def _tile_links(similarity: int):
                 found, right = links(sets(left), None, component[left], None, similarity), left
             a += [name[left[i]] for i, _ in found]
             b += [name[right[j]] for _, j in found]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table(_stars(np.asarray(a, "i8"), np.asarray(b, "i8")))
 
     return over
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """The same components as those of the edges, every node linked to its least."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = names[forest(place[: len(a)], place[len(a) :], len(names))]
+    apart = names != root
+    return {"a": names[apart], "b": root[apart]}
+
+
 def _link_tiles(work: DataFrame, unit: Column, similarity: int) -> DataFrame:
     return (
         work.select(unit.alias("unit"), "tile", "side", "component", "class", "hashes")
