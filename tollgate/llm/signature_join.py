@@ -92,10 +92,12 @@ def shared_counts(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     packets = docs.select("text").mapInArrow(
         pack, "bucket long, classes binary, own binary, who binary, hashes binary"
     )
-    counted = written(packets.groupBy("bucket").applyInArrow(
-        _count_shared, "class long, shared long, shingle long, classes long"
-    ), "shared_shingles")
-    per_class = counted.where("class is not null").groupBy("class").agg(F.sum("shared").alias("shared"))
+    counted = packets.groupBy("bucket").applyInArrow(
+        _count_shared(buckets), "part long, names binary, counts binary, shingle long, classes long"
+    )
+    counted = written(counted, "shared_shingles")
+    parts = counted.where("part is not null").select("part", "names", "counts")
+    per_class = parts.groupBy("part").applyInArrow(_add_counts, "class long, shared long")
     return per_class, counted.where("shingle is not null").select("shingle", "classes")
 
 
@@ -134,12 +136,43 @@ def _packets(sets: list[np.ndarray], buckets: int):
     yield pa.RecordBatch.from_pydict(rows)
 
 
-def _count_shared(packets: pa.Table) -> pa.Table:
-    """Classes and how many of their shingles in this bucket others have; frequent shingles."""
-    bucket = packets.column("bucket")[0].as_py()
+def _each(packets: pa.Table, name: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in packets.column(name).to_pylist()]
+
+
+def _add_counts(packets: pa.Table) -> pa.Table:
+    """Counts of all buckets added up by class."""
+    names, place = np.unique(np.concatenate(_each(packets, "names", "i8")), return_inverse=True)
+    counts = np.bincount(place, np.concatenate(_each(packets, "counts", "i8")), len(names))
+    return pa.table({"class": names, "shared": counts.astype("i8")})
 
-    def each(name: str, kind: str) -> list[np.ndarray]:
-        return [np.frombuffer(x, kind) for x in packets.column(name).to_pylist()]
+
+def _count_shared(parts: int):
+    """Task function on a bucket: how many of its classes' shingles here others have, packed
+    by part of the classes, and the frequent shingles."""
+
+    def over(packets: pa.Table) -> pa.Table:
+        names, counts, shingles, classes_of = _shared_in_bucket(packets)
+        bucket = packets.column("bucket")[0].as_py()
+        rows = {"part": [], "names": [], "counts": [], "shingle": [], "classes": []}
+        part = _bucket(names.view("u8"), parts)
+        order = np.argsort(part, kind="stable")
+        for number, at in _by_bucket(part[order]):
+            here = order[at]
+            for column, value in zip(rows, (number, names[here].tobytes(), counts[here].tobytes(), None, None)):
+                rows[column].append(value)
+        for shingle, n in zip(((np.uint64(bucket) << np.uint64(32)) | shingles).tolist(), classes_of.tolist()):
+            for column, value in zip(rows, (None, None, None, shingle, n)):
+                rows[column].append(value)
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(rows.items(), kinds)})
+
+    return over
+
+
+def _shared_in_bucket(packets: pa.Table):
+    """Classes with shared shingles and their number, frequent shingles and theirs."""
+    each = lambda name, kind: _each(packets, name, kind)
 
     classes, who, hashes = each("classes", "i8"), each("who", "u4"), np.concatenate(each("hashes", "u4"))
     before = np.concatenate([[0], np.cumsum([len(c) for c in classes])[:-1]])
@@ -159,18 +192,7 @@ def _count_shared(packets: pa.Table) -> pa.Table:
     shared = classes_of[place[: len(entries)]] > 1
     counts += np.bincount((entries[shared] & np.uint64(0xFFFFFFFF)).astype("i8"), minlength=len(names))
     hit, often = np.flatnonzero(counts), np.flatnonzero(classes_of >= FREQUENT)
-    none = lambda n: [None] * n
-    return pa.table(
-        {
-            "class": pa.array([*names[hit].tolist(), *none(len(often))], pa.int64()),
-            "shared": pa.array([*counts[hit].tolist(), *none(len(often))], pa.int64()),
-            "shingle": pa.array(
-                [*none(len(hit)), *((np.uint64(bucket) << np.uint64(32)) | shingles[often].astype("u8")).tolist()],
-                pa.int64(),
-            ),
-            "classes": pa.array([*none(len(hit)), *classes_of[often].tolist()], pa.int64()),
-        }
-    )
+    return names[hit], counts[hit], shingles[often].astype("u8"), classes_of[often]
 
 
 def _frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
