@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollgate.operators.outcomes import Outcomes, from_long, impute_means, in_units
+from tollgate.operators.outcomes import Outcomes, impute_means, in_units
 from tollgate.plans.evaluate import Scales
 from tollgate.session import written
 
@@ -47,10 +47,27 @@ def order_outcomes_long(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_outcomes(spark: SparkSession, folder: str) -> Outcomes:
-    """Orders gathered per item and written once; means, split and sweeps read from there."""
-    long = order_outcomes_long(spark, folder).withColumnRenamed("cost_cents", "cost")
-    outcomes = from_long(long, ORDER_MODELS)
-    return outcomes.with_items(written(outcomes.items, "orders"))
+    """Orders gathered per item and written once; means, split and sweeps read from there.
+
+    One shuffle of the lines, on the order key: conditional maxima and minima are combined
+    before it, and the orders are joined on the same key. A line number without a model is
+    an error.
+    """
+    number = F.col("l_linenumber")
+    correct = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(1.0)
+    cents = F.round(F.col("l_extendedprice") * 100).cast("double")
+    strange = F.raise_error(F.concat(F.lit("no model for line "), number.cast("string"))).cast("double")
+    known = F.when(~number.between(1, len(ORDER_MODELS)), strange)
+    each = range(1, len(ORDER_MODELS) + 1)
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("item_id")).agg(
+        F.array(*[F.max((known if i == 1 else F).when(number == i, correct)) for i in each]).alias("perf"),
+        F.array(*[F.min(F.when(number == i, cents)) for i in each]).alias("cost"),
+    )
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("dataset")
+    )
+    items = lines.join(orders, "item_id").select("item_id", "dataset", "perf", "cost")
+    return Outcomes(written(items, "orders"), ORDER_MODELS)
 
 
 def order_units(spark: SparkSession, folder: str) -> Outcomes:

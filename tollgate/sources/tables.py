@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -78,10 +78,14 @@ def with_listed_images(
 
 
 def backfilled_paths(
-    df: DataFrame, root: str, listing: DataFrame | None = None, prefixes: Mapping[str, str] = n.PREFIX_FOLDERS
+    df: DataFrame,
+    root: str,
+    listing: DataFrame | Callable[[], DataFrame] | None = None,
+    prefixes: Mapping[str, str] = n.PREFIX_FOLDERS,
 ) -> DataFrame:
     """Derive ``img_path`` from ``dataset_idx`` where the column is absent or
-    wholly empty; without ids it becomes empty."""
+    wholly empty; without ids it becomes empty. A listing given as a function is
+    only made when paths are to be derived."""
     if "img_path" in df.columns:
         known = df.where(F.col("img_path").isNotNull() & (F.col("img_path") != ""))
         if known.select("img_path").first() is not None:
@@ -90,6 +94,7 @@ def backfilled_paths(
     if "dataset_idx" not in df.columns:
         return df.withColumn("img_path", F.lit(""))
     if listing is not None:
+        listing = listing() if callable(listing) else listing
         return with_listed_images(df, "dataset_idx", root, listing, prefixes)
     return df.withColumn("img_path", n.default_image_path(F.col("dataset_idx"), root, prefixes))
 
@@ -163,5 +168,5 @@ def read_outcomes(
             [read_dataset(spark, root, name.lower(), ending, multi_line) for name in wanted]
         )
     check_columns(wide.columns)
-    listing = image_listing(spark, root) if list_images else None
+    listing = (lambda: image_listing(spark, root)) if list_images else None
     return from_wide(backfilled_paths(wide, root, listing, prefixes), item_id)
