@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tollgate.llm.tiled_cosine import finite
 from tollgate.session import BROADCAST_LIMIT_BYTES, written
 
 SHARD_ROWS = 4_096
