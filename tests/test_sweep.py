@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 import naive
 from tollgate.operators.frontier import Best, curve_metrics, pareto_frontier
 from tollgate.operators.scan import previous, range_buckets, running
@@ -172,3 +174,14 @@ def test_random_sweep(spark):
     again = random_sweep(df.repartition(9), 4, trials=20).collect()
     assert [tuple(r) for r in again] == [tuple(r) for r in rows]
     assert random_sweep(df, 4, trials=20, seed=1).collect() != rows
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    from tollgate.operators import scan
+
+    monkeypatch.setattr(scan, "RANGE_ROWS", 10)
+    df = spark.range(100).select(F.col("id").cast("double").alias("k"), F.lit(1).alias("v"))
+    ranged = scan.range_buckets(df, "k", "ranges")
+    assert ranged.select(scan.BUCKET).distinct().count() == 10
+    total = scan.running(ranged, "k", sums=("v",))
+    assert sorted(r.v for r in total.collect()) == list(range(1, 101))

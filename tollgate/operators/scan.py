@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -10,15 +11,23 @@ from tollgate.session import shuffle_partitions, written
 
 BUCKET = "bucket"
 
+# Rows of a range, sorted by one task.
+RANGE_ROWS = 2_000_000
+
 
 def range_buckets(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
     """``df`` written in ``buckets`` consecutive ranges of ``key``.
 
-    The range number is stored with the row, so every later pass agrees on it.
-    Equal keys share a range: callers aggregate by key first, which leaves no
-    hot key to fill a range.
+    Their number follows the rows, so that a range stays a task's worth however many
+    there are. The rows are written before they are counted: the sampling of the
+    ranges then reads them instead of working them out again. The range number is
+    stored with the row, so every later pass agrees on it. Equal keys share a range:
+    callers aggregate by key first, which leaves no hot key to fill a range.
     """
-    n = buckets or shuffle_partitions(df.sparkSession)
+    if buckets is None:
+        df = written(df, f"{name}-rows")
+        buckets = max(shuffle_partitions(df.sparkSession), math.ceil(df.count() / RANGE_ROWS))
+    n = buckets
     ranged = df.repartitionByRange(n, key).withColumn(BUCKET, F.spark_partition_id())
     return written(ranged, name)
 
