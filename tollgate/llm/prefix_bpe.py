@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tollgate.llm.common import map_batches, texts
 
 # Entries of a worker's caches before they are emptied; results do not depend on it.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 300_000
 # Libraries differ on whether 0x1C-0x1F are white space; Unicode says they are not.
 SPACE = r"\p{White_Space}"
 

@@ -70,10 +70,14 @@ def beginnings(word: str) -> set[str]:
     return {word[:n] for n in (4, 5, 6) if len(word) >= n}
 
 
+# What most words are.
+NOTHING = (False, 0.0, False, False)
+
+
 class Lexicon(dict):
     """Word -> (insult, weight of learned beginnings, second person), filled on demand."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, learned: dict[str, float]):
         super().__init__()
@@ -88,7 +92,8 @@ class Lexicon(dict):
             hidden = plain in INSULTS and word not in INSULTS
         if len(self) > self.LIMIT:
             self.clear()
-        found = self[raw] = (word in INSULTS, learned, word in SECOND_PERSON, hidden)
+        found = (word in INSULTS, learned, word in SECOND_PERSON, hidden)
+        self[raw] = found = found if any(found) else NOTHING  # one object for most words
         return found
 
     def features(self, text: str) -> list[float]:
