@@ -41,3 +41,30 @@ def test_rules_name_known_sentences():
 def test_plan_is_native(odd_docs):
     plan = scan_licences(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_notices_written_out(spark):
+    """Notices as they stand in files, not taken from the table."""
+    rows = [
+        ("Some text.\nAll rights reserved.", 1, "LicenseRef-all-rights-reserved"),
+        ("Copyright 2020 A. All Rights Reserved.", 1, "LicenseRef-all-rights-reserved"),
+        ("// SPDX-License-Identifier: MIT\nint x", 1, "MIT"),
+        ("# SPDX-License-Identifier: LGPL-2.1-or-later\n\nx", 2, "LGPL-2.1-or-later"),
+        ("MIT. ISC.", 2, ""),
+        ("This library is free software; you can redistribute it and/or\n modify it under the terms of the GNU Lesser General "
+         "Public\n License as published by the Free Software Foundation; either\n version 2.1 of the License, or (at your "
+         "option) any later version.", 2, "LGPL-2.1-or-later"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+         "License version 2 as published by the Free Software Foundation.", 1, "GPL-2.0-only"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+         "any later version.", 1, "AGPL-3.0-or-later"),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was "
+         "not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", 2, "MPL-2.0"),
+        ("This work is marked with CC0 1.0 Universal.", 1, "CC0-1.0"),
+        ("This is free and unencumbered software released into the public domain.", 1, "Unlicense"),
+        ("This work is licensed under CC BY-NC-ND 4.0.", 1, "CC-BY-NC-ND-4.0"),
+    ]
+    docs = [(i, text) for i, (text, _, _) in enumerate(rows)]
+    found = scan_licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in found} == {(i, n, names) for i, (_, n, names) in enumerate(rows)}

@@ -9,9 +9,27 @@ the identifiers, so longer rules stand before the ones that they contain.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Parts that the GNU notices share.
+_FREE = "you can redistribute it and/or modify it under the terms of the {}"
+_PUBLISHED = " as published by the Free Software Foundation"
+_LATER = "either version {} of the License, or (at your option) any later version"
+# Identifiers of SPDX lines; the older ones with a plain version or a plus mean the newer names.
+_SPDX = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "ISC": "ISC",
+    "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Unlicense": "Unlicense", "CC-BY-4.0": "CC-BY-4.0",
+    "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0",
+} | {
+    f"{name}{end}": f"{name}-{'or-later' if end == '-or-later' else 'only'}"
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+    for end in ("", "-only", "-or-later")
+}
+_CC_SHORT = ("cc-by-short", "cc-by-sa-short", "cc-by-nc-short")
+
 # Sentences of public licences and notices, by identifier.
 SENTENCES = {
     "apache-name": "Apache License, Version 2.0",
@@ -72,9 +90,56 @@ SENTENCES = {
     "cc-by-short": "Licensed under CC BY 4.0",
     "cc-by-sa-short": "Licensed under CC BY-SA 4.0",
     "cc-by-nc-short": "Licensed under CC BY-NC 4.0",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
-}
+    "rights-reserved": "All rights reserved",
+    "bsd-name-2": "BSD 2-Clause License",
+    "bsd-name-3": "BSD 3-Clause License",
+    "gpl-terms": _FREE.format("GNU General Public License") + _PUBLISHED,
+    "gpl-terms-2": _FREE.format("GNU General Public License version 2") + _PUBLISHED,
+    "gpl-conditions-2": _FREE.replace("terms", "terms and conditions").format("GNU General Public License, version 2,") + _PUBLISHED,
+    "gpl-work-2": "This work is licensed under the GNU General Public License, version 2",
+    "lgpl-terms": _FREE.format("GNU Lesser General Public License") + _PUBLISHED,
+    "lgpl-later-3": _FREE.format("GNU Lesser General Public License") + _PUBLISHED + ", " + _LATER.format("3"),
+    "lgpl-later-2.1": _FREE.format("GNU Lesser General Public License") + _PUBLISHED + ", " + _LATER.format("2.1"),
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "lgpl-work-3": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "lgpl-work-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "agpl-terms": _FREE.format("GNU Affero General Public License") + _PUBLISHED,
+    "agpl-later-3": _FREE.format("GNU Affero General Public License") + _PUBLISHED + ", " + _LATER.format("3"),
+    "agpl-see": "See the GNU Affero General Public License for more details",
+    "agpl-work-3": "This work is licensed under the GNU Affero General Public License, version 3",
+    # The second half where a semicolon stands before it.
+    "later-2": _LATER.format("2"),
+    "later-2.1": _LATER.format("2.1"),
+    "later-3": _LATER.format("3"),
+    # The stop of "v. 2.0" ends a sentence; only version 2.0 speaks of a Source Code Form.
+    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "mpl-copy-s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "mpl-name": "Mozilla Public License Version 2.0",
+    "mpl-under": "Licensed under the Mozilla Public License, Version 2.0",
+    "cc0-name": "CC0 1.0 Universal",
+    "cc0-short": "Licensed under CC0 1.0",
+    "cc0-marked": "This work is marked with CC0 1.0 Universal",
+    "cc0-dedicated": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights "
+        "to this software to the public domain worldwide"
+    ),
+    "unlicense-name": "The Unlicense",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    # An SPDX line is cut at its colon, so the tag and the identifier are sentences of their own.
+    "spdx": "SPDX-License-Identifier",
+} | {f"spdx-{name}": name for name in _SPDX} | {
+    f"cc-{kind}-{how}": text.format(kind)
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+    for how, text in (("licensed", "Licensed under CC {} 4.0"), ("work", "This work is licensed under CC {} 4.0"))
+    if f"cc-{kind}-{how}".lower().replace("licensed", "short") not in _CC_SHORT
+} | {
+    f"cc-{kind}-long": f"This work is licensed under a Creative Commons {words} 4.0 International License"
+    for kind, words in (
+        ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )
+}
 
 # Ordered rules, a licence and the identifiers that must follow each other.
 RULES = (
@@ -82,14 +147,12 @@ RULES = (
     ("Apache-2.0", ("apache-under-the", "apache-comply")),
     ("Apache-2.0", ("apache-under-the",)),
     ("Apache-2.0", ("apache-under",)),
-    ("Apache-2.0", ("spdx-apache",)),
     ("Apache-2.0", ("apache-name",)),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-grant",)),
     ("MIT", ("mit-released",)),
     ("MIT", ("mit-under",)),
     ("MIT", ("mit-the",)),
-    ("MIT", ("spdx-mit",)),
     ("MIT", ("mit-name",)),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
@@ -103,6 +166,38 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-short",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-short",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-short",)),
+    ("BSD-2-Clause", ("bsd-name-2",)),
+    ("BSD-3-Clause", ("bsd-name-3",)),
+    ("GPL-2.0-or-later", ("gpl-terms", "later-2")),
+    ("GPL-3.0-or-later", ("gpl-terms", "later-3")),
+    ("GPL-2.0-only", ("gpl-terms-2",)),
+    ("GPL-2.0-only", ("gpl-conditions-2",)),
+    ("GPL-2.0-only", ("gpl-work-2",)),
+    ("LGPL-3.0-or-later", ("lgpl-later-3",)),
+    ("LGPL-2.1-or-later", ("lgpl-later-2.1",)),
+    ("LGPL-3.0-or-later", ("lgpl-terms", "later-3")),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "later-2.1")),
+    ("LGPL-3.0-only", ("lgpl-work-3",)),
+    ("LGPL-2.1-only", ("lgpl-work-2.1",)),
+    ("AGPL-3.0-or-later", ("agpl-later-3",)),
+    ("AGPL-3.0-or-later", ("agpl-terms", "later-3")),
+    ("AGPL-3.0-only", ("agpl-work-3",)),
+    ("MPL-2.0", ("mpl-subject",)),
+    ("MPL-2.0", ("mpl-copy",)),
+    ("MPL-2.0", ("mpl-copy-s",)),
+    ("MPL-2.0", ("mpl-name",)),
+    ("MPL-2.0", ("mpl-under",)),
+    ("CC0-1.0", ("cc0-name",)),
+    ("CC0-1.0", ("cc0-short",)),
+    ("CC0-1.0", ("cc0-marked",)),
+    ("CC0-1.0", ("cc0-dedicated",)),
+    ("Unlicense", ("unlicense-name",)),
+    ("Unlicense", ("unlicense-free",)),
+    *((licence, ("spdx", f"spdx-{name}")) for name, licence in _SPDX.items()),
+    *((f"CC-{i[3:-5]}-4.0", (i,)) for i in SENTENCES if re.fullmatch("cc-BY.*-(work|long)", i)),
+    *((f"CC-{i[3:-9]}-4.0", (i,)) for i in SENTENCES if re.fullmatch("cc-BY.*-licensed", i)),
+    # Named as found, also beside a licence that grants some of the rights.
+    ("LicenseRef-all-rights-reserved", ("rights-reserved",)),
 )
 
 # Where a sentence ends: stops before white space or the end, or an empty line.
@@ -112,8 +207,6 @@ LINE_END = r"[.!?;:]+([ \t\r\f\n]|\z)|\n"
 # Numbers that lists put before their sentences, and comment signs, go with the rest.
 OTHER = r"[^a-z0-9]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Every known sentence holds one of these; other sentences need no normalising.
-CUE = "(?i)licen[cs]e|redistribut|permission|gnu general|neither the name"
 
 
 def normalise(sentence: str) -> str:
@@ -121,12 +214,34 @@ def normalise(sentence: str) -> str:
     return re.sub(OTHER, " ", sentence.lower()).strip()
 
 
+def cue(sentences: Iterable[str]) -> str:
+    """A pattern that every sentence holds: long words, in turn the one in most sentences left.
+
+    A sentence without a long word is looked for by its first one.
+    """
+    left, words = {normalise(s) for s in sentences}, []
+    while left:
+        counts = Counter(w for s in left for w in set(s.split()) if len(w) >= 7)
+        if not counts:
+            break
+        words.append(min(counts, key=lambda w: (-counts[w], -len(w), w)))
+        left = {s for s in left if words[-1] not in s}
+    first = sorted({s.split()[0] for s in left})
+    return "(?i)" + "|".join(words + ([f"(?<![a-z0-9])(?:{'|'.join(first)})(?![a-z0-9])"] if first else []))
+
+
+# Every known sentence holds one of these; other sentences need no normalising.
+CUE = cue(SENTENCES.values())
+
+
 def known_sentences() -> dict[str, str]:
     """Identifier by normalised sentence; a sentence that itself holds a stop is refused."""
     known = {normalise(s): name for name, s in SENTENCES.items()}
+    if len(known) < len(SENTENCES):
+        raise ValueError("a sentence has two identifiers")
     for sentence in SENTENCES.values():
-        if not re.search(CUE, sentence):
-            raise ValueError(f"no cue in: {sentence}")
+        if re.search(r"[.!?;:](\s|$)", sentence):
+            raise ValueError(f"a stop within: {sentence}")
     return known
 
 
@@ -146,7 +261,7 @@ def _licences(identifiers: Column) -> Column:
         *[F.struct(F.lit(name).alias("name"), F.lit("".join(f"|{i}|" for i in ids)).alias("ids")) for name, ids in RULES]
     )
     start = F.struct(identifiers.alias("left"), F.expr("cast(array() as array<string>)").alias("names"))
-    return F.aggregate(
+    names = F.aggregate(
         rules,
         start,
         lambda state, rule: F.struct(
@@ -156,6 +271,7 @@ def _licences(identifiers: Column) -> Column:
         ),
         lambda state: state["names"],
     )
+    return F.when(identifiers == "||", F.expr("cast(array() as array<string>)")).otherwise(names)
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -163,7 +279,9 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
     ``n_known`` counts the known sentences in the text cut at sentence ends; ``licences``
     holds the names found there or on single lines, sorted and joined by commas, empty if
-    none. Null and empty texts have none. One pass without a shuffle; the rules are part
+    none. Null and empty texts have none. A notice that all rights are reserved is named
+    as such, whatever else the text holds; an SPDX identifier counts as known wherever it
+    is a sentence, and names its licence behind the SPDX tag. One pass without a shuffle; the rules are part
     of the plan. Repeated rows give repeated rows, other columns are not looked at.
     """
     pairs = [F.lit(x) for item in known_sentences().items() for x in item]
