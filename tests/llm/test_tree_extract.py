@@ -77,3 +77,24 @@ def test_rows(spark):
     expected = [(1, "u", TEXT, len(TEXT))] * 2 + [(2, None, "", 0), (None, "v", "", 0), (3, "w", whole, len(whole))]
     assert found == sorted(expected, key=repr)
     assert extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+UNEVEN = ["p" * 99 + ", and, " + "q" * 94] * 4, "s" * 60 + ", and " + "t" * 54
+
+
+@pytest.mark.parametrize(
+    "opening", ["div", "div id=content", "div class=post-body", "div role=main", 'div role="Main"', "div class=page"]
+)
+def test_short_sections_stay(opening):
+    first = "".join(f"<p>{p}</p>" for p in UNEVEN[0])
+    second = f"<section><h2>Second</h2><p>{UNEVEN[1]}</p></section><section><h2>End</h2><p>Short.</p></section>"
+    links = "<div><a href=1>one link, and more</a> <a href=2>another link, and more</a></div>"
+    page = f"<body>{''.join(AROUND)}<{opening}><section>{first}</section>{second}</div>{links}</body>"
+    assert main_text(page) == "\n\n".join([*UNEVEN[0], "Second", UNEVEN[1], "End", "Short."])
+
+
+@pytest.mark.parametrize("opening", ["div id=content", "div class=post-body", "div role=main", "div class='entryContent'"])
+def test_sections_within_further_containers_stay(opening):
+    first = "".join(f"<p>{p}</p>" for p in UNEVEN[0])
+    page = f"<body><{opening}><div><section>{first}</section></div><div><section><p>{UNEVEN[1]}</p></section></div></div></body>"
+    assert main_text(page) == "\n\n".join([*UNEVEN[0], UNEVEN[1]])

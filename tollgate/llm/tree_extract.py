@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph passes points, for its length and its commas, to the elements around
-it; an element's sum is discounted by its share of link text. The best container and
-those of its siblings that read like text are kept, without menus, notices, adverts,
-forms and reader comments among them.
+it; an element's sum is discounted by its share of link text. The best container, or the one
+around it that tag, role, class or id call the article, is kept. Without such a tag or
+role, so are those of its siblings that hold more text than links. Menus, notices,
+adverts, forms and reader comments among them are not.
 """
 
 from __future__ import annotations
@@ -65,6 +66,8 @@ NOT_ITSELF = frozenset("has with no without".split())
 
 LEAST_POINTS_LENGTH = 25
 LEVELS = 5
+# From this share of link text on, an element beside the article does not read like text.
+MOSTLY_LINKS = 0.5
 
 
 class _Page:
@@ -72,6 +75,7 @@ class _Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.out, self.named = ["#root"], [-1], [""], [False]
+        self.main, self.worded = [False], [False]
         self.blocks: list[tuple[int, str]] = []
         self.length, self.linked, self.links = [0], [0], [0]
         self.stack = [0]
@@ -140,7 +144,7 @@ class _Page:
         self._close_before(tag)
         parent, known = self.stack[-1], self._attributes(attributes) if attributes.strip("/ \n\t") else {}
         inside = self.named[parent]
-        out, main = self.out[parent], tag in ("article", "main") or known.get("role") in ("article", "main")
+        out, main = self.out[parent], tag in ("article", "main") or known.get("role", "").strip().lower() in ("article", "main")
         if main and out in ("form", "header", "nav"):  # wraps the page, or was never closed
             out = ""
         out = out or self._left_out(tag, known, inside, main)
@@ -148,6 +152,8 @@ class _Page:
         self.parent.append(parent)
         self.out.append(out)
         self.named.append(inside or (main and not out))
+        self.main.append(main and not out)
+        self.worded.append(tag != "body" and not out and self._worded(known))
         for counts in (self.length, self.linked, self.links):
             counts.append(0)
         self.stack.append(len(self.tag) - 1)
@@ -211,6 +217,16 @@ class _Page:
                 return "name"
         return ""
 
+    @staticmethod
+    def _worded(known: dict[str, str]) -> bool:
+        """Whether class or id begin or end with a word for the article; looks begin with text and body."""
+        for name in (*known.get("class", "").split(), known.get("id", "")):
+            words = [w.lower() for w in _NAME.findall(name)]
+            if words and not NOT_ITSELF.intersection(words):
+                if words[-1] in ARTICLE or words[0] in ARTICLE - {"text", "body"}:
+                    return True
+        return False
+
     def _sums(self) -> None:
         for i in range(len(self.tag) - 1, 0, -1):
             for counts in (self.length, self.linked, self.links):
@@ -242,22 +258,20 @@ class _Page:
         if not scores[best]:
             named = [i for i, n in enumerate(self.named) if n and self.length[i] and not self.named[self.parent[i]]]
             return {max(named, key=lambda i: self.length[i]) if named else 0}
-        up = best
-        while up > 0 and self.tag[up] not in ("article", "main"):
-            up = self.parent[up]
-        if up > 0:
-            return {up}
+        above = [best]
+        while above[-1] > 0:
+            above.append(self.parent[above[-1]])
+        for up in above:
+            if self.main[up]:
+                return {up}
         if best == 0:
             return {0}
-        bar = max(10.0, 0.2 * scores[best])
+        bar = 0.2 * scores[best]
+        best = max((i for i in above if self.worded[i] and self._density(i) < MOSTLY_LINKS), key=lambda i: -i, default=best)
         kept = {best}
         for i, parent in enumerate(self.parent):
             if parent == self.parent[best] and i != best and self.length[i]:
-                density, size = self._density(i), self.length[i]
-                reads = scores[i] >= bar or self.tag[i] in HEADINGS and not density
-                if self.tag[i] in PARAGRAPHS:
-                    reads = reads or (size > 80 and density < 0.25) or not density
-                if reads:
+                if scores[i] >= bar or self._density(i) < MOSTLY_LINKS:
                     kept.add(i)
         return kept
 
