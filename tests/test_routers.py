@@ -221,6 +221,15 @@ def test_clusters_are_those_of_lloyd_rounds_for_any_partitions(spark):
         assert fitted.centres == pytest.approx(lloyd_by_hand(x, 7, 3), abs=1e-9)
 
 
+def test_many_copies_hide_no_vectors(spark):
+    x, perf, cost = case(11, 1_200)
+    x[8:] = 0.0
+    fitted = ClusterPolicy(clusters=4).fit(items(spark, x, perf, cost))
+    assert len(fitted.centres) == 4
+    ids = np.where(np.arange(1_200) < 8, np.arange(1_200), 1_000)  # copies share the id
+    assert len(ClusterPolicy(clusters=9).fit(items(spark, x, perf, cost, ids=ids)).centres) == 9
+
+
 def test_more_clusters_than_rows(spark):
     x, perf, cost = case(10, 6)
     df = items(spark, x, perf, cost)

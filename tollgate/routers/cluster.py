@@ -42,18 +42,14 @@ def with_profile(
 
 
 def first_centres(train: DataFrame, k: int, seed: int) -> np.ndarray:
-    """Distinct vectors of the first train rows in md5 order of seed and id.
+    """The first ``k`` distinct vectors of the train rows in md5 order of seed and id.
 
-    Only the ids' digests are ordered; a few times k rows reach the driver.
+    Copies are put together before the order, so any number of them counts once; ``k``
+    rows reach the driver.
     """
-    ordered = train.select("x", digest(seed, F.col("item_id")).alias("key")).orderBy("key", "x")
-    found: list[tuple[float, ...]] = []
-    for ahead in (4 * k, 64 * k):
-        rows = ordered.limit(ahead).collect()
-        found = list(dict.fromkeys(tuple(map(float, r["x"])) for r in rows))[:k]
-        if len(found) == k or len(rows) < ahead:
-            break
-    return np.asarray(found)
+    keyed = train.select("x", digest(seed, F.col("item_id")).alias("key"))
+    firsts = keyed.groupBy("x").agg(F.min("key").alias("key")).orderBy("key", "x").limit(k)
+    return np.asarray([tuple(map(float, r["x"])) for r in firsts.collect()])
 
 
 @dataclass
