@@ -14,6 +14,7 @@ from tollgate.plans import evaluate as ev
 from tollgate.routers import (
     ClusterPolicy, CrossModalPolicy, LinearPolicy, LowRankPolicy, NearestPolicy, NetFactorPolicy, NetPolicy,
 )
+from tollgate.routers import neural
 from tollgate.routers.cluster import cluster_profile
 from tollgate.routers.neural import Net, Training, pack_shards, train_net
 
@@ -325,6 +326,28 @@ def test_copies_of_one_item_do_not_fill_a_shard(spark):
     assert rows == 400 and sum(sizes) == 400 and len(sizes) == 8 and max(sizes) < 100
 
 
+def test_copies_of_one_row_do_not_fill_a_shard(spark):
+    x, perf, cost = case(16, 600)
+    perf[3, 1] = np.nan
+    for part in (x, perf, cost):
+        part[:203] = part[3]
+    df = items(spark, x, perf, cost, ids=[0] * 203 + list(range(203, 600)))
+    packed = [r.asDict() for r in pack_shards(df, 8)[0].collect()]
+    held = [np.frombuffer(r["x"], "<f4").reshape(r["rows"], -1) for r in packed]
+    copies = [int((h == x[0].astype("f4")).all(axis=1).sum()) for h in held]
+    assert sum(copies) == 203 and set(copies) <= {25, 26} and sum(map(len, held)) == 600
+    assert np.sort(np.vstack(held), axis=0) == pytest.approx(np.sort(x.astype("f4"), axis=0))
+    targets = np.vstack([np.frombuffer(r["y"], "<f8").reshape(r["rows"], -1) for r in packed])
+    assert np.isnan(targets).sum() == 203 and targets.shape == (600, 6)
+
+
+def test_shards_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(neural, "SHARD_VALUES", 11 * 20)
+    shards, rows = pack_shards(items(spark, *case(17, 600)), 8)
+    sizes = [r["rows"] for r in shards.collect()]
+    assert rows == sum(sizes) == 600 and max(sizes) <= 40
+
+
 def test_missing_targets_are_masked(spark):
     x, perf, cost = case(15, 80)
     perf[::2, 1] = np.nan

@@ -1,10 +1,11 @@
 """Neural policies, trained data-parallel with averaged weights.
 
-The train rows are packed once into a fixed number of shards, by a hash of their
-contents, so that the result hangs neither on their number nor on the partitioning.
+The train rows are packed once into shards, by a hash of their contents, so that the
+result does not hang on the partitioning. Their number is fixed until a shard would hold
+more than ``SHARD_VALUES`` values; larger tables get more shards, not larger ones.
 In every round each shard continues from the common weights with its own minibatches;
 the weights (and the optimiser's moments) are then averaged over the rows of the shards.
-One shard makes this plain minibatch training; large tables ask for more of them. The net itself is a few numpy
+One shard makes this plain minibatch training. The net itself is a few numpy
 lines; Spark spreads the shards and adds the weights up.
 """
 
@@ -26,6 +27,9 @@ from tollgate.session import fits_broadcast, written
 # Shards of the train rows unless a training says otherwise.
 SHARDS = 8
 
+# Features and targets that one task holds at a time; more shards are made beyond.
+SHARD_VALUES = 1 << 23
+
 # Weights travel in pieces of this length, so that many tasks add them up.
 _PIECE = 16_384
 
@@ -133,7 +137,9 @@ def pack_shards(train: DataFrame, shards: int) -> tuple[DataFrame, int]:
     """``(shard, rows, x, y)`` with one row per shard, the matrices as bytes.
 
     Rows are spread by a hash of id, features and targets, not by the item alone, so
-    that several rows of one item do not fill a shard.
+    that several rows of one item do not fill a shard. Equal rows are counted first and
+    dealt to the shards in turn from there. ``shards`` is the least number; no shard is
+    planned for more than ``SHARD_VALUES`` values.
     """
     rows = written(
         train.select(
@@ -143,23 +149,32 @@ def pack_shards(train: DataFrame, shards: int) -> tuple[DataFrame, int]:
             F.concat(
                 F.col("perf").cast("array<double>"), F.col("cost").cast("array<double>")
             ).alias("y"),
-        ),
+        ).groupBy("_row", "item_id", "x", "y").agg(F.count(F.lit(1)).alias("_copies")),
         "net-rows",
-    )
-    n = rows.count()
+    )
+    n, width = rows.agg(F.sum("_copies"), F.max(F.size("x") + F.size("y"))).first()
     if not n:
         raise ValueError("no train rows")
+    shards = max(shards, -(-n * width // SHARD_VALUES))
+    turns = F.least("_copies", F.lit(shards))
+    dealt = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)))
+    dealt = dealt.select(
+        "_row", "item_id", "x", "y",
+        F.pmod(F.pmod("_row", F.lit(shards)) + F.col("_turn"), F.lit(shards)).cast("int").alias("shard"),
+        (F.floor(F.col("_copies") / shards) + (F.col("_turn") < F.col("_copies") % shards).cast("long")).alias("_times"),
+    )
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["item_id", "_row"])
-        x = np.vstack(pdf["x"].to_numpy()).astype("<f4")
-        y = np.array(pdf["y"].tolist(), dtype="<f8")
+        times = pdf["_times"].to_numpy()
+        x = np.repeat(np.vstack(pdf["x"].to_numpy()).astype("<f4"), times, axis=0)
+        y = np.repeat(np.array(pdf["y"].tolist(), dtype="<f8"), times, axis=0)
         return pd.DataFrame(
-            {"shard": [pdf["shard"].iloc[0]], "rows": [len(pdf)], "x": [x.tobytes()], "y": [y.tobytes()]}
+            {"shard": [pdf["shard"].iloc[0]], "rows": [len(x)], "x": [x.tobytes()], "y": [y.tobytes()]}
         )
 
     packed = (
-        rows.withColumn("shard", F.pmod("_row", F.lit(shards)).cast("int"))
+        dealt.repartition(shards, "shard")
         .groupBy("shard")
         .applyInPandas(pack, "shard int, rows bigint, x binary, y binary")
     )
