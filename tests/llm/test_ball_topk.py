@@ -47,6 +47,15 @@ def test_queries_beyond_one_broadcast(spark, monkeypatch):
     assert found(spark, rows, rows[:15]) == expected(rows, rows[:15], 5)
 
 
+def test_two_widths_beyond_one_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(bt, "BROADCAST_LIMIT_BYTES", 1)
+    monkeypatch.setattr(bt, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(bt, "SHARD_ROWS", 30)
+    rows = some_rows(80, seed=2) + [(i + 1_000, v) for i, v in some_rows(60, seed=3, width=5)]
+    queries = rows[:6] + rows[-6:]
+    assert found(spark, rows, queries) == expected(rows, queries, 5)
+
+
 def test_odd_rows(spark):
     rows = [(1, [1, 2]), (1, [1, 2]), (2, [3, 4]), (3, None), (4, []), (None, [5, 6]), (5, [1, 1, 1]), (6, [-7, 0])]
     assert found(spark, rows, rows) == expected(rows, rows, 5)

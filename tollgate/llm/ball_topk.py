@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -162,11 +164,15 @@ def _meet(blocks: DataFrame, shards: DataFrame, k: int) -> DataFrame:
     for row in sizes:  # one row per block of queries
         if room + row["bytes"] > BROADCAST_LIMIT_BYTES and groups[-1]:
             groups, room = [*groups, []], 0
-        groups[-1].append(row["block"])
+        groups[-1].append((row["width"], row["block"]))
         room += row["bytes"]
     out = None
     for group in groups:
-        some = F.broadcast(blocks.where(F.col("block").isin(group)))
+        by_width: dict[int, list[int]] = {}
+        for width, block in group:  # blocks are numbered per width
+            by_width.setdefault(width, []).append(block)
+        parts = [(F.col("width") == width) & F.col("block").isin(some) for width, some in by_width.items()]
+        some = F.broadcast(blocks.where(reduce(or_, parts, F.lit(False))))
         met = shards.join(some, "width").select("width", "block", "queries", "tree")
         found = met.mapInArrow(_search(k), "query long, query_id long, vec_id long, score long")
         out = found if out is None else out.unionByName(found)
