@@ -1,7 +1,8 @@
-"""Exact top-k by integer inner product: ball trees per shard, branch and bound.
+"""Exact top-k by integer inner product: the leaf balls of a tree per shard, by bound.
 
-Candidates are dealt into shards of bounded size; each shard is packed once with its
-ball tree (centres, radii, ranges of points) and written. Queries come in blocks of
+Candidates are dealt into shards of bounded size; each shard is packed once with the
+leaves of its ball tree (centres, radii, ranges of points) and written; inner nodes are
+not kept, one product bounds all of a shard's leaves for a block of queries. Queries come in blocks of
 bounded size and meet every shard. Within a shard the leaves are taken in the order of
 the largest inner product that any of the block's queries can reach in them, and a leaf
 is left out for a query whose k-th score it cannot reach. The k-th score starts from
