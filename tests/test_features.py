@@ -212,3 +212,13 @@ def test_images(spark, tmp_path):
         image_vectors(images, without_weights, 2).collect()
     with pytest.raises(Exception, match="not an image"):
         image_vectors(images, make_byte_encoder, 2, lenient=False).collect()
+
+
+def test_tfidf_query_takes_the_width_of_run(spark, monkeypatch):
+    from tollgate.catalog import queries
+    from tollgate.plans.run import TextTfidf
+
+    seen, projected = [], TfidfModel.projected
+    monkeypatch.setattr(TfidfModel, "projected", lambda *a, **k: seen.append(projected(*a, **k)) or seen[0])
+    queries.tfidf_low_rank(spark, "/root/testdata/sf0.001")
+    assert len(seen[0].first().vector) == TextTfidf().width

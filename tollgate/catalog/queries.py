@@ -597,13 +597,13 @@ def ridge_residuals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tfidf_low_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """The default policy on TF-IDF of 20,000 terms over whole documents."""
+    """The default policy on TF-IDF of 20,000 terms over whole documents, at the width that ``run`` takes."""
     texts = fx.questions(spark, folder)
     wide = from_wide(_draw_outcomes(fx.table(spark, folder, "documents")), F.col("doc_id").cast("bigint"))
     outcomes = in_units(impute_means(wide), 10**6, 10**6)
     is_train = in_domain(outcomes.items)
     train = texts.join(outcomes.items.where(is_train).select("item_id"), "item_id", "left_semi")
-    vectors = TfidfModel.fit(train).projected(texts, 256).withColumnRenamed("doc", "item_id")
+    vectors = TfidfModel.fit(train).projected(texts).withColumnRenamed("doc", "item_id")
     items = outcomes.items.join(vectors.withColumnRenamed("vector", "text_emb"), "item_id")
     items = written(items.withColumn("img_emb", F.lit(None).cast("array<float>")), "tfidf-items")
     return _points(ev.curve("linearmf", outcomes.with_items(items), is_train, ev.Scales(10**6, 10**6), "11"))
