@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tollgate.llm.ball_topk import quantised, top_products
 from tollgate.llm.common import table
 from tollgate.llm.license_scan import LINE_END, RULES, SENTENCE_END, SENTENCES, scan_licences
+from tollgate.llm.norm_search import ranked_documents
 from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
 from tollgate.llm.prefix_bpe import encode_documents
 from tollgate.llm.signature_join import near_duplicates
+from tollgate.llm.target_resample import BUCKETS, LEAST_WORDS, PERCENT, SEED, resample
 from tollgate.llm.tiled_cosine import cosine_links, finite
 from tollgate.llm.toxicity import scored_documents
 from tollgate.llm.tree_extract import extract_pages
@@ -77,6 +79,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_norm_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_target_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_orc_tokens": op1_orc_tokens,
     "op2_license_scan": op2_license_scan,
@@ -88,8 +98,11 @@ QUERIES = {
     "op8_ball_topk": op8_ball_topk,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_toxicity": op10_toxicity,
+    "op12_norm_search": op12_norm_search,
+    "op13_target_resample": op13_target_resample,
 }
 
+
 def _licence_sql() -> str:
     """The scan by joins and one step per rule; sentences and rules are given as values."""
 
@@ -125,6 +138,55 @@ def _licence_sql() -> str:
     """
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _resample_sql() -> str:
+    """Every step as the definition says; the CRC-32 byte by byte from its table of 256."""
+    crc = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        crc.append(c)
+    return rf"""
+        with w as (
+            select 0 t, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents
+            union all
+            select 1, null, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+        ), d as (
+            select distinct unnest(ws) word from w
+        ), h as (
+            select word, xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(
+                range(0, strlen(word)), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::bigint)),
+                lambda c, b: xor(c >> 8, ({crc}::bigint[])[(xor(c, b) & 255) + 1]))) % {BUCKETS} bucket
+            from d
+        ), f as (
+            select t, doc_id, unnest(ws) word from w
+        ), c as (
+            select bucket, sum(1 - t) s, sum(t) t from f join h using (word) group by bucket
+        ), a as (
+            select sum(s) s, sum(t) t from c
+        ), g as (
+            select bucket, floor(1000 * ln((c.t + 1)::double * (a.s + {BUCKETS})::double
+                                           / ((c.s + 1)::double * (a.t + {BUCKETS})::double)))::bigint gain
+            from c, a
+        ), x as (
+            select doc_id, sum(gain) gain from f join h using (word) join g using (bucket) where f.t = 0 group by doc_id
+        ), y as (
+            select doc_id, len(ws) n_features, case when len(ws) = 0 then 0 else floor(gain / len(ws))::bigint end weight,
+                   ('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))::bigint u
+            from w left join x using (doc_id) where w.t = 0
+        ), z as (
+            select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((u + 0.5) / 4294967296)))::bigint score from y
+        ), r as (
+            select *, n_features >= {LEAST_WORDS} enough, row_number() over (
+                partition by n_features >= {LEAST_WORDS} order by score desc, doc_id) place from z
+        )
+        select doc_id, n_features, weight, score, case when enough and place <=
+               (select {PERCENT} * count(*) // 100 from r where enough) then place end rank from r
+    """
+
+
 # SQL for DuckDB where it can express a query; the others have brute-force tests.
 SQL: dict[str, str] = {
     "op2_license_scan": _licence_sql(),
@@ -175,6 +237,31 @@ SQL: dict[str, str] = {
         select c.vec_id, coalesce(n, 0) n_links, component_id, c.vec_id = component_id kept
         from c left join d on d.x = c.vec_id
     """,
+    "op12_norm_search": rf"""
+        with d as (
+            select doc_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from documents
+        ), q as (
+            select item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark
+        ), n as (
+            select doc_id, count(*) n from d group by doc_id
+        ), c as (
+            select count(*) docs, cast(sum(n) as bigint) terms from n
+        ), m as (
+            select doc_id, 75 + (25 * n * docs) // terms m from n, c
+        ), t as (
+            select doc_id, term, count(*) tf from d group by doc_id, term
+        ), w as (
+            select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) w
+            from t, c group by term, docs
+        ), s as (
+            select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) score
+            from q join t using (term) join w using (term) join m using (doc_id) group by item_id, doc_id
+        ), r as (
+            select *, row_number() over (partition by item_id order by score desc, doc_id) n from s where score > 0
+        )
+        select item_id, cast(n as integer) rank, doc_id, score from r where n <= 20
+    """,
+    "op13_target_resample": _resample_sql(),
     "op8_ball_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) q
