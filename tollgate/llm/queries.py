@@ -15,6 +15,7 @@ from tollgate.llm.norm_search import ranked_documents
 from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
 from tollgate.llm.prefix_bpe import encode_documents
+from tollgate.llm.private_spans import find_spans
 from tollgate.llm.signature_join import near_duplicates
 from tollgate.llm.target_resample import BUCKETS, LEAST_WORDS, PERCENT, SEED, resample
 from tollgate.llm.tiled_cosine import cosine_links, finite
@@ -79,6 +80,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_private_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_spans(table(spark, folder, "documents"))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op12_norm_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -98,6 +105,7 @@ QUERIES = {
     "op8_ball_topk": op8_ball_topk,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_private_spans": op11_private_spans,
     "op12_norm_search": op12_norm_search,
     "op13_target_resample": op13_target_resample,
 }
