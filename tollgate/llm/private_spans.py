@@ -88,7 +88,7 @@ EM_ROUNDS = 40
 # How a labeler that does not abstain is believed to vote, (against, for), by class; weighs
 # this share of the counts.
 BELIEF = {0: (0.7, 0.3), 1: (0.15, 0.85)}
-BELIEF_SHARE = 0.05
+BELIEF_SHARE = 0.02
 RIDGE = 1e-5
 MASK = "\x01"
 BLOCK = 256
