@@ -24,3 +24,11 @@ def test_query(spark, name):
 def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns == ["nauc", "ps", "qnc", "points"] and df.count() == 1
+
+
+def test_names_in_the_skew_test_are_registered():
+    """A query that is renamed is missed here, not after twenty minutes of runs."""
+    from test_skew import test_query
+
+    names = next(m for m in test_query.pytestmark if m.name == "parametrize").args[1]
+    assert set(names) <= set(QUERIES)

@@ -214,11 +214,29 @@ def test_images(spark, tmp_path):
         image_vectors(images, make_byte_encoder, 2, lenient=False).collect()
 
 
-def test_tfidf_query_takes_the_width_of_run(spark, monkeypatch):
+def test_tfidf_query_takes_what_run_takes(spark, monkeypatch):
+    """Full width, sparse, as ``run`` does for the default policy on text."""
     from tollgate.catalog import queries
     from tollgate.plans.run import TextTfidf
 
-    seen, projected = [], TfidfModel.projected
-    monkeypatch.setattr(TfidfModel, "projected", lambda *a, **k: seen.append(projected(*a, **k)) or seen[0])
+    seen, sparse = [], TfidfModel.sparse
+    monkeypatch.setattr(TfidfModel, "sparse", lambda *a, **k: seen.append(sparse(*a, **k)) or seen[0])
     queries.tfidf_low_rank(spark, "/root/testdata/sf0.001")
-    assert len(seen[0].first().vector) == TextTfidf().width
+    row = seen[0].first().vector
+    assert TextTfidf().whole("linearmf", "11") and not TextTfidf().whole("linearmf", "22")
+    assert row.size > 4096 and list(row.indices) == sorted(row.indices)
+
+
+def test_terms_in_small_parts(spark, monkeypatch):
+    """Parts of a batch, null and empty texts, and texts longer than a part."""
+    from tollgate.operators import terms
+
+    rows = [(i, t) for i, t in enumerate(["a1 b2 a1", None, "", "b2", "a1 b2 c3 " * 50, "x"] * 4)]
+    docs = spark.createDataFrame(rows, "item_id long, question string").coalesce(1)
+    whole = top_terms(docs, "question").collect()
+    vectors = TfidfModel.fit(docs, max_terms=4).vectors(docs).orderBy("doc").collect()
+    monkeypatch.setattr(terms, "BATCH_WORDS", 4)
+    assert top_terms(docs, "question").collect() == whole
+    assert TfidfModel.fit(docs, max_terms=4).vectors(docs).orderBy("doc").collect() == vectors
+    assert {r.term: (r.frequency, r.docs) for r in whole}["a1 b2"] == (4 + 200, 8)
+    assert [r.tf for r in vectors[:3]] == [[2, 1, 1], [], []] and len(vectors) == 24

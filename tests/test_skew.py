@@ -46,7 +46,7 @@ def folder(tmp_path_factory):
     [
         "impute_means", "csv_outcomes", "split_in", "oracle_sweep", "metrics_summary", "random_sweep",
         "budget_sweep_given_predictions", "adaptive_fusion", "text_encoder", "tfidf_weights",
-        "cluster_profile", "cluster_route_sweep", "knn_neighbours", "knn_sweep", "linear_2d", "kmeans_router",
+        "cluster_profile", "cluster_route_sweep", "knn_neighbours", "knn_sweep", "linear_residuals", "ridge_residuals", "kmeans_router",
     ],
 )
 def test_query(spark, folder, name):

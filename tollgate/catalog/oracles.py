@@ -512,6 +512,13 @@ from means""",
     "moments_full": f"with {MOMENTS}",
     "linear_residuals": NOTHING_LEFT,
     "ridge_residuals": NOTHING_LEFT,
+    "tfidf_least_squares": f"""
+with {TERMS},{TOP}
+select term_idx, cast(t as integer) target, cast(0 as double) left_over
+from (select cast(row_number() over (order by term) - 1 as integer) term_idx from top) cross join range(6) b(t)""",
+    "tfidf_ridge_residuals": """
+select cast(d as integer) direction, cast(t as integer) target, cast(0 as double) left_over
+from range(128) a(d) cross join range(-1, 6) b(t) where t >= 0 or d < 127""",
     "knn_neighbours_blocks": f"""
 with {COSINE}
 select item_id, cast(rank as integer) rank, train_id, round(distance, 6) distance from ranked""",

@@ -38,9 +38,11 @@ from tollgate.operators.sweep import (
     oracle_predictions,
     random_sweep,
 )
+from tollgate.operators.sparse import WideRows, low_rank_ridge, row_times
 from tollgate.operators.terms import TfidfModel, top_terms
 from tollgate.plans import evaluate as ev
 from tollgate.routers import LinearPolicy, LowRankPolicy
+from tollgate.routers.linear import FittedLinear
 from tollgate.routers.cluster import cluster_profile, with_profile
 from tollgate.session import scratch_path, written
 from tollgate.sources import tables
@@ -596,17 +598,77 @@ def ridge_residuals(spark: SparkSession, folder: str) -> DataFrame:
     return _residual_moments(spark, folder, LowRankPolicy(), 1.0)
 
 
-def tfidf_low_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """The default policy on TF-IDF of 20,000 terms over whole documents, at the width that ``run`` takes."""
+def _tfidf_outcomes(spark: SparkSession, folder: str, everything: bool) -> tuple[Outcomes, Column]:
+    """Documents with sparse TF-IDF rows of the train texts' 20,000 terms, or of all texts'."""
     texts = fx.questions(spark, folder)
     wide = from_wide(_draw_outcomes(fx.table(spark, folder, "documents")), F.col("doc_id").cast("bigint"))
     outcomes = in_units(impute_means(wide), 10**6, 10**6)
-    is_train = in_domain(outcomes.items)
+    is_train = F.lit(True) if everything else in_domain(outcomes.items)
     train = texts.join(outcomes.items.where(is_train).select("item_id"), "item_id", "left_semi")
-    vectors = TfidfModel.fit(train).projected(texts).withColumnRenamed("doc", "item_id")
+    vectors = TfidfModel.fit(train).sparse(texts).withColumnRenamed("doc", "item_id")
     items = outcomes.items.join(vectors.withColumnRenamed("vector", "text_emb"), "item_id")
     items = written(items.withColumn("img_emb", F.lit(None).cast("array<float>")), "tfidf-items")
-    return _points(ev.curve("linearmf", outcomes.with_items(items), is_train, ev.Scales(10**6, 10**6), "11"))
+    return outcomes.with_items(items), is_train
+
+
+def tfidf_low_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The default policy on TF-IDF of 20,000 terms over whole documents, at full width."""
+    outcomes, is_train = _tfidf_outcomes(spark, folder, everything=False)
+    return _points(ev.curve("linearmf", outcomes, is_train, ev.Scales(10**6, 10**6), "11"))
+
+
+def _outcome_size(models: int) -> Column:
+    """Units of a target: millionths of a performance, and of a thousand of a cost."""
+    return F.when(F.col("target") < models, 1e6).otherwise(1e9)
+
+
+def _left_over(train: DataFrame, fitted: FittedLinear) -> tuple[DataFrame, int]:
+    """Train rows ``x`` with what the predictions leave over, performances first."""
+    models = len(fitted.intercept) // 2
+
+    def residual(pred: str, truth: str) -> Column:
+        return F.zip_with(pred, F.col(truth).cast("array<double>"), lambda p, t: t - p)
+
+    left = F.concat(residual("perf_pred", "perf"), residual("cost_pred", "cost"))
+    return fitted.predict(train).select("x", left.alias("r")), models
+
+
+def tfidf_least_squares(spark: SparkSession, folder: str) -> DataFrame:
+    """What the normal equations leave over per term and target, relative to the target's size: nothing."""
+    outcomes, _ = _tfidf_outcomes(spark, folder, everything=True)
+    train = outcomes.items.withColumn("x", F.col("text_emb"))
+    left, models = _left_over(train, LinearPolicy().fit(train))
+    cells = left.select(F.inline(F.arrays_zip(F.col("x.indices").alias("term_idx"), F.col("x.values").alias("v"))), "r")
+    sums = cells.select("term_idx", "v", F.posexplode("r").alias("target", "r")).groupBy("term_idx", "target").agg(
+        F.sum(F.col("v") * F.col("r")).alias("left_over")
+    )
+    value = F.round(F.col("left_over") / _outcome_size(models), 6) + F.lit(0.0)
+    return sums.select("term_idx", "target", value.alias("left_over"))
+
+
+def tfidf_ridge_residuals(spark: SparkSession, folder: str) -> DataFrame:
+    """The default policy's equations at rank 128 of 20,000: nothing is left over.
+
+    Per direction and target what the ridge equations leave over; with target -1 by how
+    much the directions, as scores of the rows, fail to be orthogonal to the later ones.
+    """
+    outcomes, _ = _tfidf_outcomes(spark, folder, everything=True)
+    train = outcomes.items.withColumn("x", F.col("text_emb"))
+    policy = LowRankPolicy()
+    weights, intercept, directions = low_rank_ridge(WideRows.of(train), policy.rank, policy.alpha)
+    left, models = _left_over(train, FittedLinear(weights, intercept))
+    scored = written(left.select(row_times("x", directions, left).alias("z"), "r"), "tfidf-scores")
+    each = scored.select(F.posexplode("z").alias("direction", "v"), "z", "r")
+    pull = directions.T @ weights * policy.alpha
+    pulls = spark.createDataFrame([(i, j, float(p)) for (i, j), p in np.ndenumerate(pull)], "direction int, target int, pull double")
+    equations = each.select("direction", "v", F.posexplode("r").alias("target", "r")).groupBy("direction", "target").agg(
+        F.sum(F.col("v") * F.col("r")).alias("s")
+    ).join(F.broadcast(pulls), ["direction", "target"]).select("direction", "target", ((F.col("s") - F.col("pull")) / _outcome_size(models)).alias("left_over"))
+    pairs = each.select("direction", "v", F.posexplode("z").alias("other", "w")).where("other > direction")
+    products = pairs.groupBy("direction", "other").agg(F.sum(F.col("v") * F.col("w")).alias("p"))
+    skew = products.groupBy("direction").agg(F.max(F.abs("p")).alias("left_over"))
+    rows = equations.unionByName(skew.select("direction", F.lit(-1).alias("target"), "left_over"))
+    return rows.select("direction", "target", (F.round("left_over", 6) + F.lit(0.0)).alias("left_over"))
 
 
 def _policy_points(name: str):
@@ -678,6 +740,8 @@ QUERIES = {
     "linear_residuals": linear_residuals,
     "ridge_residuals": ridge_residuals,
     "tfidf_linear_router": tfidf_low_rank,
+    "tfidf_least_squares": tfidf_least_squares,
+    "tfidf_ridge_residuals": tfidf_ridge_residuals,
     "kmeans_router": _policy_points("kmeans"),
     "kmeans_adaptive_router": _policy_points("kmeansnew"),
     "linear_router": _policy_points("linear"),

@@ -10,6 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tollgate.functions import vectors as v
+from tollgate.operators.sparse import is_sparse
 
 # Fixed values of the adaptive fusion.
 EPS = 1e-8
@@ -132,7 +133,12 @@ def adaptive_fusion(
 def average_features(
     df: DataFrame, flag: str = FUSED, text: str = "text_emb", img: str = "img_emb", out: str = "x"
 ) -> DataFrame:
-    """Text (flag 1), mean of text and image (2) or image vector (3)."""
+    """Text (flag 1), mean of text and image (2) or image vector (3).
+
+    Sparse text vectors stay as they are; only flag 1 takes them.
+    """
+    if flag == TEXT and is_sparse(df, text):
+        return df.withColumn(out, F.col(text))
     if flag == TEXT:
         return df.withColumn(out, v.widen(F.col(text)))
     if flag == IMAGE:

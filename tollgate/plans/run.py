@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tollgate.operators.encode import Encoder, encode, hashed_terms
-from tollgate.operators.fusion import IMAGE
+from tollgate.operators.fusion import IMAGE, TEXT
 from tollgate.operators.outcomes import Outcomes, impute_means, in_units
 from tollgate.operators.splits import both_sides, in_domain, out_of_domain
 from tollgate.operators.terms import MAX_TERMS, TfidfModel
@@ -23,14 +23,23 @@ from tollgate.sources.tables import dataset_list, read_outcomes
 class TextTfidf:
     """Take TF-IDF weights of the train texts' most frequent terms as text vectors.
 
-    All terms count: their weights are projected to ``width`` dimensions, or with None
-    take one dimension each.
+    All terms count: with ``width`` None they take one dimension each, else their weights
+    are projected to that many. By default the linear policies on text alone take them
+    whole, as sparse rows, and the others projected to ``SKETCH_WIDTH``.
     """
 
     max_terms: int = MAX_TERMS
-    width: int | None = 1_024
+    width: int | str | None = "auto"
     seed: int = 42
 
+    def whole(self, router: str | None, mode: str | None) -> bool:
+        return self.width == "auto" and router in WHOLE_ROWS and mode == TEXT * 2
+
+
+# Policies that take sparse rows.
+WHOLE_ROWS = ("linear", "linearmf")
+SKETCH_WIDTH = 1_024
+
 
 @dataclass(frozen=True)
 class Features:
@@ -43,15 +52,20 @@ class Features:
     batch_size: int = 64
 
 
-def with_vectors(items: DataFrame, is_train: Column, features: Features, root: str) -> DataFrame:
+def with_vectors(
+    items: DataFrame, is_train: Column, features: Features, root: str, router: str | None = None, mode: str | None = None
+) -> DataFrame:
     """Add ``text_emb`` and ``img_emb``. TF-IDF needs a ``row_id`` of its own per
     row: items that share a text, or even an id, are texts of their own."""
     if isinstance(features.text, TextTfidf):
         texts = items.select("row_id", "question", is_train.alias("is_train"))
         model = TfidfModel.fit(texts.where("is_train"), "row_id", max_terms=features.text.max_terms)
         how = features.text
-        dense = model.projected(texts, how.width, how.seed, "row_id")
-        items = items.join(dense.withColumnsRenamed({"doc": "row_id", "vector": "text_emb"}), "row_id")
+        if how.whole(router, mode):
+            vectors = model.sparse(texts, "row_id")
+        else:
+            vectors = model.projected(texts, SKETCH_WIDTH if how.width == "auto" else how.width, how.seed, "row_id")
+        items = items.join(vectors.withColumnsRenamed({"doc": "row_id", "vector": "text_emb"}), "row_id")
     else:
         items = encode(items, "question", features.text, "text_emb", features.batch_size)
     if features.image is None:
@@ -95,7 +109,7 @@ def run(
     is_train = in_domain(outcomes.items, train_share, seed) if split == "in" else out_of_domain(names, out_share)
     both_sides(outcomes.items, is_train)
     if router in LEARNED:
-        items = with_vectors(outcomes.items, is_train, features, root)
+        items = with_vectors(outcomes.items, is_train, features, root, router, mode)
         outcomes = Outcomes(written(items, "features"), outcomes.models)
     result = evaluate(router, outcomes, is_train, scales, mode, policy)
     label = "+".join(names)

@@ -1,4 +1,4 @@
-"""Linear policies, solved from one pass of second moments."""
+"""Linear policies, from one pass of second moments or, for wide and sparse rows, from products."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from tollgate.operators.gram import moments
+from tollgate.operators.gram import MAX_WIDTH, moments
+from tollgate.operators.sparse import WideRows, is_sparse, least_squares, low_rank_ridge, row_times
 from tollgate.session import once
 
 
@@ -23,7 +24,16 @@ class FittedLinear:
     intercept: np.ndarray
 
     def predict(self, test: DataFrame) -> DataFrame:
-        return with_predictions(test, LinearMap(self.weights, self.intercept))
+        if not is_sparse(test, "x"):
+            return with_predictions(test, LinearMap(self.weights, self.intercept))
+        m = len(self.intercept) // 2
+        shift = F.array(*[F.lit(float(b)) for b in self.intercept])
+        predicted = F.zip_with(row_times("x", self.weights, test), shift, lambda p, b: p + b)
+        return (
+            test.withColumn("_pred", predicted)
+            .withColumns({"perf_pred": F.slice("_pred", 1, m), "cost_pred": F.slice("_pred", m + 1, m)})
+            .drop("_pred")
+        )
 
 
 @dataclass
@@ -64,6 +74,14 @@ def with_predictions(test: DataFrame, function) -> DataFrame:
     )
 
 
+def needs_products(train: DataFrame) -> bool:
+    """Sparse rows, and rows too wide for a moment matrix."""
+    if is_sparse(train, "x"):
+        return True
+    first = train.select(F.size("x") + F.size("perf") + F.size("cost") + 1).first()
+    return first is not None and first[0] > MAX_WIDTH
+
+
 def _pinv(a: np.ndarray) -> np.ndarray:
     """Pseudo-inverse of a moment matrix; directions lost to rounding are left out."""
     return np.linalg.pinv(a, rcond=1e-10, hermitian=True)
@@ -74,6 +92,8 @@ class LinearPolicy:
     """Least squares with intercept for every model's performance and cost."""
 
     def fit(self, train: DataFrame) -> FittedLinear:
+        if needs_products(train):
+            return FittedLinear(*least_squares(WideRows.of(train)))
         m = moments(train)
         weights = _pinv(m.xx_centred) @ m.xy_centred
         return FittedLinear(weights, m.y_mean - m.x_mean @ weights)
@@ -87,6 +107,9 @@ class LowRankPolicy:
     alpha: float = 1.0
 
     def fit(self, train: DataFrame) -> FittedLinear:
+        if needs_products(train):
+            weights, intercept, _ = low_rank_ridge(WideRows.of(train), self.rank, self.alpha)
+            return FittedLinear(weights, intercept)
         m = moments(train)
         rank = max(1, min(self.rank, int(m.n), m.dim))
         _, vectors = np.linalg.eigh(m.xx)
