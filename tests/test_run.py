@@ -131,3 +131,23 @@ def test_shared_folder_where_none_is_named(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Cluster)
+
+
+def test_tiny_costs_stay_apart(spark, tmp_path):
+    """Costs of 3e-9 and 4e-9, and of 2.1e-8 and 2.4e-8, keep thresholds and means of their own."""
+    costs = [(3e-9, 4e-9), (2.1e-8, 2.4e-8)]
+    lines = ["question,a_correct,a_cost,b_correct,b_cost"]
+    lines += [f"q{i},{int(i % 2)},{costs[i % 2][0]},1,{costs[i % 2][1]}" for i in range(40)]
+    (tmp_path / "tiny.csv").write_text("\n".join(lines) + "\n")
+    result, _ = run(spark, str(tmp_path), "tiny", "oracle", list_images=False, train_share=0.5)
+    thresholds = sorted(r.threshold for r in result.points.collect())
+    assert thresholds == pytest.approx([3e-9, 4e-9, 2.1e-8, 2.4e-8], rel=1e-12)
+    single = {r.model: r.avg_cost for r in result.baselines.collect()}
+    assert 3e-9 < single["a"] < 2.1e-8 and single["a"] != pytest.approx(1e-8, rel=1e-9)
+
+
+def test_values_too_far_apart_are_refused(spark, tmp_path):
+    lines = ["question,a_correct,a_cost,b_correct,b_cost", "q,1,1e-12,0,1e12", "r,0,1e-12,1,1e12"]
+    (tmp_path / "far.csv").write_text("\n".join(lines) + "\n")
+    with pytest.raises(ValueError, match="too far apart"):
+        run(spark, str(tmp_path), "far", "oracle", list_images=False, train_share=0.5)

@@ -42,7 +42,7 @@ def _unbeaten(scanned: DataFrame) -> DataFrame:
     return scanned.where(top.isNull() | (F.col("performance") > top)).drop("max_performance")
 
 
-def single_models(outcomes: Outcomes, perf_scale: int = 1, cost_scale: int = 1) -> DataFrame:
+def single_models(outcomes: Outcomes, perf_scale: float = 1, cost_scale: float = 1) -> DataFrame:
     """Mean accuracy and mean cost of always taking one model."""
     m = len(outcomes.models)
 

@@ -7,6 +7,7 @@ sweeps need no join and no shuffle per item.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -169,14 +170,14 @@ def zero_missing(outcomes: Outcomes) -> Outcomes:
     )
 
 
-def in_units(outcomes: Outcomes, perf_scale: int, cost_scale: int) -> Outcomes:
+def in_units(outcomes: Outcomes, perf_scale: float, cost_scale: float) -> Outcomes:
     """Outcomes as whole units (``round(value * scale)``).
 
     Sums of whole numbers do not depend on their order, so curves, ties on the
     frontier and comparisons with a baseline come out the same on every run.
     """
 
-    def units(name: str, scale: int) -> Column:
+    def units(name: str, scale: float) -> Column:
         return F.transform(name, lambda v: F.round(v * F.lit(float(scale))).cast("bigint"))
 
     items = outcomes.items.withColumns(
@@ -185,6 +186,38 @@ def in_units(outcomes: Outcomes, perf_scale: int, cost_scale: int) -> Outcomes:
     return outcomes.with_items(items)
 
 
+# Units that the smallest outcome must have, so that rounding to units keeps it apart from others.
+LEAST_UNITS = 1_000
+
+
+def fitting_scales(outcomes: Outcomes) -> tuple[float, float]:
+    """The finest powers of ten in whose units all sums of performances and costs fit 64 bits.
+
+    Sums over the items, and of their changes from model to model, stay below
+    items x models x the largest value. Values that are too far apart for that (the smallest
+    would have fewer than ``LEAST_UNITS``) are refused, not rounded away.
+    """
+
+    def bounds(name: str) -> list[Column]:
+        sizes = F.transform(name, lambda v: F.abs(v.cast("double")))
+        # an empty array has neither
+        return [F.max(F.array_max(sizes)), F.min(F.array_min(F.filter(sizes, lambda v: v > 0)))]
+
+    row = outcomes.items.agg(F.count("*"), *bounds("perf"), *bounds("cost")).first()
+    terms = max(1, row[0] * len(outcomes.models))
+
+    def scale(name: str, most: float | None, least: float | None) -> float:
+        if not most:
+            return 1.0
+        power = math.floor(math.log10(2.0**62 / terms) - math.log10(most))
+        unit = 10.0 ** max(-300, min(300, power))
+        if least * unit < LEAST_UNITS:
+            raise ValueError(f"{name} values from {least} to {most} are too far apart to be summed exactly over {row[0]} items")
+        return unit
+
+    return scale("performance", row[1], row[2]), scale("cost", row[3], row[4])
+
+
 def normalised_costs(outcomes: Outcomes) -> DataFrame:
     """Mean cost per model over the largest of these means (1 if that is not positive)."""
     m = len(outcomes.models)

@@ -141,8 +141,8 @@ def choice_changes(
 
 def budget_sweep(
     predictions: DataFrame,
-    perf_scale: int = 1,
-    cost_scale: int = 1,
+    perf_scale: float = 1,
+    cost_scale: float = 1,
     tie: str = "index",
     fallback: str = "first",
     buckets: int | None = None,
@@ -159,7 +159,7 @@ def budget_sweep(
     points = running(ranged, "threshold", sums=("n", "perf_sum", "cost_sum"))
     return points.where(F.col("threshold") > F.lit(float("-inf"))).select(
         BUCKET,
-        (F.col("threshold") / F.lit(cost_scale)).alias("threshold"),
+        (F.col("threshold") / F.lit(float(cost_scale))).alias("threshold"),
         "n",
         "perf_sum",
         "cost_sum",
@@ -168,7 +168,7 @@ def budget_sweep(
     )
 
 
-def _mean(total: str, n: Column, scale: int) -> Column:
+def _mean(total: str, n: Column, scale: float) -> Column:
     # in double: the product of a large count and a large scale exceeds 64 bits
     return F.col(total) / (n.cast("double") * F.lit(float(scale)))
 
@@ -183,8 +183,8 @@ def random_sweep(
     models: int,
     trials: int = 50,
     seed: int = 42,
-    perf_scale: int = 1,
-    cost_scale: int = 1,
+    perf_scale: float = 1,
+    cost_scale: float = 1,
 ) -> DataFrame:
     """One point per trial; in each, every item takes a uniformly drawn model.
 

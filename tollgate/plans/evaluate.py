@@ -35,8 +35,8 @@ Features = Callable[[DataFrame, str], DataFrame]
 class Scales:
     """Units per 1.0 of performance and cost while sums are formed."""
 
-    perf: int = 1
-    cost: int = 1
+    perf: float = 1
+    cost: float = 1
 
 
 @dataclass(frozen=True)

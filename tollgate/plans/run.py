@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tollgate.operators.encode import Encoder, encode, hashed_terms
 from tollgate.operators.fusion import IMAGE, TEXT
-from tollgate.operators.outcomes import Outcomes, impute_means, in_units
+from tollgate.operators.outcomes import Outcomes, fitting_scales, impute_means, in_units
 from tollgate.operators.splits import both_sides, in_domain, out_of_domain
 from tollgate.operators.terms import MAX_TERMS, TfidfModel
 from tollgate.plans.evaluate import LEARNED, Evaluation, Scales, evaluate, summary
@@ -88,14 +88,14 @@ def run(
     seed: int = 42,
     policy=None,
     features: Features = Features(),
-    scales: Scales = Scales(perf=10**8, cost=10**8),
+    scales: Scales | None = None,
     out_folder: str | None = None,
     **reading,
 ) -> tuple[Evaluation, DataFrame]:
     """Read, impute, split, fit, sweep and summarise; save the curve if told where.
 
     Outcomes are summed in whole units of 1 / ``scales``, which makes the curve
-    the same on every run.
+    the same on every run. By default the units are the finest that the data allow.
     """
     if split not in ("in", "out"):
         raise ValueError(f"split must be 'in' or 'out', not {split!r}")
@@ -105,7 +105,9 @@ def run(
     outcomes = read_outcomes(spark, root, names, **reading)
     numbered = outcomes.items.withColumn("row_id", F.monotonically_increasing_id())
     outcomes = outcomes.with_items(written(numbered, "outcomes"))
-    outcomes = in_units(impute_means(outcomes), scales.perf, scales.cost)
+    outcomes = impute_means(outcomes)
+    scales = scales or Scales(*fitting_scales(outcomes))
+    outcomes = in_units(outcomes, scales.perf, scales.cost)
     is_train = in_domain(outcomes.items, train_share, seed) if split == "in" else out_of_domain(names, out_share)
     both_sides(outcomes.items, is_train)
     if router in LEARNED:
