@@ -72,7 +72,6 @@ def test_sources_come_near_their_targets(spark, sources):
 
 def test_blocks_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(pm, "BLOCK", 3)
-    monkeypatch.setattr(pm, "ROOT", 4)
     rows = rows_of(300, ["a", "b"], 2)
     taken, target = checked(rows, mixed(spark, rows))
     largest = max(words(t) for _, t, _ in rows)
@@ -122,3 +121,36 @@ def test_fair_draws(spark):
 def test_plan_is_native(odd_docs):
     plan = pm.copies_by_row(pm.mix_sources(odd_docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_document_keeps_its_chance(spark):
+    """Four hundred sources alike, documents of very different sizes: each is taken as often as it should be."""
+    sizes = [3000] + [100] * 20 + [7, 1, 250, 9000, 40]
+    sources = 400
+    rows = [(s * 1000 + i, 1, f"s{s}", size) for s in range(sources) for i, size in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "key long, n long, source string, size long")
+    total = sum(sizes)
+    targets = spark.createDataFrame([(f"s{s}", total, 0.2 * total) for s in range(sources)], "source string, source_size long, target double")
+    taken, words = [0] * len(sizes), [0] * sources
+    for r in pm.pivotal_copies(docs, targets).collect():
+        assert r.whole == 0 and r.more in (0, 1)
+        taken[r.key % 1000] += r.more
+        words[r.key // 1000] += r.more * r.size
+    error = 3 * (0.2 * 0.8 / sources) ** 0.5
+    assert all(abs(t / sources - 0.2) < error for t in taken[:1] + taken[21:])
+    assert abs(sum(taken[1:21]) / (20 * sources) - 0.2) < error / 4
+    assert all(abs(t / sources - 0.2) < 1.4 * error for t in taken)
+    assert abs(sum(words) / sources / total - 0.2) < 0.02
+
+
+def test_targets_are_met_with_few_documents_of_many_sizes(spark):
+    draw = random.Random(8)
+    sizes = [int(draw.paretovariate(0.9) * 30) % 20_000 + 1 for _ in range(250)]
+    rows = [(s * 1000 + i, 1, f"s{s}", size) for s in range(20) for i, size in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "key long, n long, source string, size long")
+    total = sum(sizes)
+    targets = spark.createDataFrame([(f"s{s}", total, 1.37 * total) for s in range(20)], "source string, source_size long, target double")
+    words = {}
+    for r in pm.pivotal_copies(docs, targets).collect():
+        words[r.source] = words.get(r.source, 0) + (r.whole + r.more) * r.size
+    assert max(abs(w / (1.37 * total) - 1) for w in words.values()) < 0.01

@@ -3,9 +3,13 @@
 A source's target over its size is the number of copies its documents should have: a
 whole part, which every document gets, and one fractional part. Fractions are rounded
 by the pivotal method (Deville and Tille 1998): two documents meet, and a random
-transfer of probability makes one of them whole; the other goes on. Documents meet in
-blocks of bounded size, and what one gains in words the other loses; the one left over
-of every block goes into blocks of the next round, a tree with one root per source.
+transfer of probability makes one of them whole; the other goes on. Documents of one size
+class meet in blocks of bounded size, and what one gains in words the other loses; the one
+left over of every block goes into blocks of the next round, a tree with one root per
+class. The roots of a source are settled from the largest down, each with its own chance;
+what a root gains or loses in words moves the chances of all smaller ones, by amounts
+whose mean is zero. So every document keeps its chance, and a source stays at its target
+up to a small document.
 """
 
 from __future__ import annotations
@@ -19,8 +23,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 # Documents that meet one after the other within one row of the plan.
 BLOCK = 64
-# Documents left over of a source that are settled together at the root.
-ROOT = 512
 # Size classes per doubling of the size; documents of one class meet first.
 CLASSES = 8
 SEED = 20
@@ -88,20 +90,6 @@ def _meet(left: Column, next_: Column) -> Column:
     )
 
 
-def _settle(state: Column, next_: Column) -> Column:
-    """At the root, from the largest down: make the document whole, pass on what is over.
-
-    ``debt`` are the words that the documents so far should have had besides; the next
-    ones take them, so that in the end less than a small document is missing.
-    """
-    wanted = next_["p"] + state["debt"] / next_["size"]
-    one = (wanted > 1.0 - DUST) | ((wanted > DUST) & (next_["draw"] < wanted))
-    return F.struct(
-        ((wanted - one.cast("double")) * next_["size"]).alias("debt"),
-        F.when(one, F.concat(state["taken"], F.array(next_["key"]))).otherwise(state["taken"]).alias("taken"),
-    )
-
-
 NOBODY = "cast(array() as array<bigint>)"
 
 
@@ -126,11 +114,40 @@ def _round(open_: DataFrame, *block: Column) -> DataFrame:
     return met.select("source", "end.*")
 
 
+def _settle(members: Column) -> Column:
+    """Keys that get 1 of the members, largest first.
+
+    Each is drawn with its own chance. The words that it then has too few or too many go to
+    the smaller ones: their chances move in proportion to their distance from 0 or 1, as
+    far as both outcomes allow, so that the mean of every move is zero.
+    """
+
+    def room(p: Column) -> Column:
+        return F.least(p, 1.0 - p)
+
+    def step(state: Column, i: Column) -> Column:
+        me, p = F.element_at(members, i), F.element_at(state["ps"], i)
+        one = me["draw"] < p
+        words = F.when(one, p - 1.0).otherwise(p) * me["size"]
+        able = F.aggregate(
+            F.zip_with(F.slice(members, i + 1, F.size(members)), F.slice(state["ps"], i + 1, F.size(members)), lambda m, q: m["size"] * room(q)),
+            F.lit(0.0), lambda total, x: total + x,
+        )
+        share = F.when(able > 0, F.least(F.lit(1.0), able / (F.greatest(p, 1.0 - p) * me["size"])) * words / able).otherwise(0.0)
+        moved = F.transform(state["ps"], lambda q, j: F.when(j >= i, F.greatest(F.lit(0.0), F.least(F.lit(1.0), q + share * room(q)))).otherwise(q))
+        return F.struct(moved.alias("ps"), F.when(one, F.concat(state["taken"], F.array(me["key"]))).otherwise(state["taken"]).alias("taken"))
+
+    start = F.struct(F.transform(members, lambda m: m["p"]).alias("ps"), F.expr(NOBODY).alias("taken"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(members)), start, step)["taken"]
+
+
 def _root(open_: DataFrame) -> DataFrame:
-    """Keys that get 1 of the last block of every source."""
-    start = F.struct(F.lit(0.0).alias("debt"), F.expr(NOBODY).alias("taken"))
-    settled = _blocks(open_).select(F.aggregate("members", start, _settle)["taken"].alias("taken"))
-    return settled.select(F.explode("taken").alias("key"))
+    """Keys that get 1 of the last left over of every class, by source: as many as classes."""
+    return _blocks(open_).select(F.explode(_settle(F.col("members"))).alias("key"))
+
+
+def size_class(size: str = "size") -> Column:
+    return F.floor(F.log2(F.col(size)) * CLASSES)
 
 
 def pivotal_copies(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -138,8 +155,8 @@ def pivotal_copies(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     Adds ``whole``, the copies that each of the rows gets, and ``more``, how many of them
     get one besides. A round leaves one document of every block, so the number of rounds
-    follows the logarithm of the number of documents. At most ``ROOT`` left over per
-    source are settled together.
+    follows the logarithm of the number of documents; one per size class and source is
+    settled at the root.
     """
     rates = targets.select(
         "source", "source_size", "target",
@@ -156,30 +173,25 @@ def pivotal_copies(docs: DataFrame, targets: DataFrame) -> DataFrame:
     rated = written(rated.withColumn("p", F.greatest(repeated - F.col("sure"), F.lit(0.0))), "rated")
     open_ = rated.where((F.col("p") > DUST) & (F.col("size") > 0)).select("source", "size", "p", "key")
     open_ = open_.withColumn("order", F.xxhash64("key", F.lit(SEED + 1))).withColumn("draw", _draw("key"))
-    # first round: documents of one size class meet; hot sources and classes are salted
-    band = F.floor(F.log2(F.col("size")) * CLASSES)
-    bands = open_.groupBy("source", band.alias("band")).agg(F.count("*").alias("n"))
-    bands = written(bands, "bands").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    bands = small_side(bands, bands.count(), 48)
-    first = open_.withColumn("band", band).alias("o").join(
-        bands.alias("b"),
-        F.col("o.source").eqNullSafe(F.col("b.source")) & (F.col("o.band") == F.col("b.band")),
-    ).select("o.*", "blocks")
-    salt = F.pmod(F.xxhash64("key", F.lit(SEED + 2)), F.col("blocks"))
-    done = written(_round(first, F.col("band"), salt.alias("salt")), "pivotal")
-    taken, step = done.select(F.explode("taken").alias("key")), 1
+    # hot sources and classes are salted; a round leaves one document of every block
+    left, taken, step = open_, None, 0
     while True:
-        left = done.select("source", "size", "key", "p").withColumn("order", F.xxhash64("key", F.lit(SEED + 3 * step)))
-        left = left.withColumn("draw", _draw("order", "key"))
-        counts = written(left.groupBy("source").agg(F.count("*").alias("n")), "left_counts")
-        if (counts.agg(F.max("n")).first()[0] or 0) <= ROOT:
+        left = left.withColumn("band", size_class())
+        bands = written(left.groupBy("source", "band").agg(F.count("*").alias("n")), "bands")
+        # the sources' classes alone are looked at, not their documents
+        if step and (bands.agg(F.max("n")).first()[0] or 0) <= 1:
             break
-        counts = small_side(counts, counts.count(), 32)
-        left = left.alias("l").join(counts.alias("c"), F.col("l.source").eqNullSafe(F.col("c.source"))).select("l.*", "n")
-        blocks = F.ceil(F.col("n") / BLOCK)
-        done = written(_round(left, F.pmod("order", blocks).alias("salt")), "pivotal")
-        taken = taken.unionByName(done.select(F.explode("taken").alias("key")))
+        blocks = small_side(bands.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), bands.count(), 48)
+        salted = left.alias("o").join(
+            blocks.alias("b"),
+            F.col("o.source").eqNullSafe(F.col("b.source")) & (F.col("o.band") == F.col("b.band")),
+        ).select("o.*", F.pmod(F.xxhash64("key", F.lit(SEED + 2 + step)), F.col("blocks")).alias("salt"))
+        done = written(_round(salted, F.col("band"), F.col("salt")), "pivotal")
+        now = done.select(F.explode("taken").alias("key"))
+        taken = now if taken is None else taken.unionByName(now)
         step += 1
+        left = done.select("source", "size", "key", "p").withColumn("order", F.xxhash64("key", F.lit(SEED + 3 * step)))
+        left = left.withColumn("draw", _draw("order", "key"))
     last = _root(left)
     extra = written(taken.unionByName(last).withColumn("extra", F.lit(1)), "extra_copies")
     return rated.join(extra, "key", "left").withColumn(
