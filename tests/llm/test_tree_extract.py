@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from tollgate.llm.tree_extract import extract_pages, main_text
@@ -98,3 +100,69 @@ def test_sections_within_further_containers_stay(opening):
     first = "".join(f"<p>{p}</p>" for p in UNEVEN[0])
     page = f"<body><{opening}><div><section>{first}</section></div><div><section><p>{UNEVEN[1]}</p></section></div></div></body>"
     assert main_text(page) == "\n\n".join([*UNEVEN[0], UNEVEN[1]])
+
+
+SENTENCES = "A sentence of the article, with commas, that is long enough to count as text of its own. " * 3
+BODY = "".join(f"<p>{i} {SENTENCES}</p>" for i in range(4))
+KEPT = "\n\n".join(f"{i} {SENTENCES}".strip() for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        # the whole page is one form
+        f'<html><body><form method="post" action="x.aspx"><input type="hidden"><div id="c">{BODY}</div></form></body></html>',
+        # self-closed and unclosed elements that hold no text
+        f'<body><article><svg width="1"/>{BODY}</article></body>',
+        f'<body><article><p>0 {SENTENCES}</p><video src="v"><p>1 {SENTENCES}</p><iframe src="x"><p>2 {SENTENCES}</p><audio><p>3 {SENTENCES}</p></article></body>',
+        # capitals, and a letter whose lower case is longer
+        f"<BODY><SCRIPT>var \u0130 = 1;</SCRIPT><ARTICLE>{BODY}</ARTICLE><STYLE>p {{}}</STYLE></BODY>",
+        # wrappers named by what stands beside the article
+        f'<body><div class="sidebar-layout"><div class="x">{BODY}</div><div class="sidebar">Other, news, here</div></div></body>',
+        f'<body><div class="notice-of-works"><div>{BODY}</div></div><div class="footer">Imprint</div></body>',
+    ],
+)
+def test_pages_of_other_habits(page):
+    assert main_text(page) == KEPT
+
+
+def test_references_stay_and_menus_go():
+    links = "".join(f'<li><a href="/{i}">Source {i}</a></li>' for i in range(3))
+    page = f"<body><article>{BODY}<h2>Sources</h2><ul>{links}</ul></article></body>"
+    assert main_text(page) == KEPT + "\n\nSources\n\n" + "\n\n".join(f"Source {i}" for i in range(3))
+    page = f"<body><article><ul>{links}</ul>{BODY}</article></body>"
+    assert main_text(page) == KEPT
+
+
+def test_what_is_never_closed():
+    assert main_text("<article><p>a > b</p><!-- c > d <p>e</p> f") == "a > b"
+    assert main_text("<article><p>a</p> <![CDATA[b <c") == "a\n\nb <c"
+    assert main_text("<article><p>a</p><!-- c") == "a"
+    assert main_text("<article><p>a</p> 1 < 2 <b") == "a\n\n1 < 2 <b"
+
+
+def test_long_comments_are_no_article():
+    page = f'<body><div id="post">{BODY}</div><div class="comments">{BODY * 20}</div></body>'
+    assert main_text(page) == KEPT
+    form = f'<body><div id="post">{BODY}</div><form class="x"><p>Your name</p><textarea>t</textarea></form></body>'
+    assert main_text(form) == KEPT
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 90_000 + "</section>" * 60_000 + BODY,
+        "<ul>" + "<div>" * 60_000 + "<li>x" * 60_000,
+        "<li><ul>" + "<div>" * 60_000 + "<li>x</li>" * 60_000,
+        "<video>" * 100_000 + BODY,
+        "<form>" * 100_000 + BODY,
+        "<svg/>" * 100_000 + BODY,
+        '<p>x</p><a "' * 3 + '<a "' * 250_000,
+        "x > " + "<c " * 250_000,
+        "<!--" * 200_000,
+    ],
+)
+def test_a_megabyte_of_stray_tags_takes_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 8  # about one second; hundreds when it is quadratic

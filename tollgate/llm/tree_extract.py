@@ -10,6 +10,7 @@ adverts, forms and reader comments among them are not.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -23,11 +24,16 @@ _MARKUP = re.compile(
     (/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+|[^>]*+)>)""",
     re.S | re.X,
 )
+# Behind the last tag only what need not be closed; groups as above.
+_OPEN_COMMENT = re.compile(r"<!(?:--.*|\[CDATA\[.*)()(?:\Z)(?:(x)|)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names of HTML.
 RAW = frozenset("script style noscript template title textarea iframe svg math canvas object audio video".split())
+# Without an end tag these hold nothing that is not text of the page.
+MAY_BE_OPEN = RAW - frozenset("script style title textarea".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset(
     """
     a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter
@@ -63,9 +69,24 @@ BOILERPLATE = frozenset(
 )
 ARTICLE = frozenset("article content post entry main story body text".split())
 NOT_ITSELF = frozenset("has with no without".split())
+# Whatever they are named for, these lay out the page.
+LAYOUT = frozenset("layout wrapper wrap container grid page columns row outer inner".split())
+# Named so, an element is left out however much of the page it holds.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 
 LEAST_POINTS_LENGTH = 25
 LEVELS = 5
+# A link in the text is longer than one in a menu.
+MENU_LINK_LENGTH = 25
+# Shares of a page's markup and paragraphs from which a form is the page.
+WHOLE_FORM = 0.5
+# An element left out by its name that holds this many times the other text is the article.
+WHOLE_PAGE = 2
+# Wrappers around each other that are looked through for it.
+MOST_SPARED = 4
+_FORM_ENDS = re.compile(r"</form", re.I | re.A)
+_TEXT_TAGS = re.compile(r"<(?:p|h[1-6]|article|main)[\s>]", re.I | re.A)
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 # From this share of link text on, an element beside the article does not read like text.
 MOSTLY_LINKS = 0.5
 
@@ -73,26 +94,37 @@ MOSTLY_LINKS = 0.5
 class _Page:
     """The block elements of a page, their text blocks and link shares."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, spared: frozenset[int] = frozenset()):
+        self.spared = spared  # elements, by number, that are kept in spite of their names
+        self.source = 0  # the element, by number, whose name leaves out what is read
+        self.lost: dict[int, int] = {}
         self.tag, self.parent, self.out, self.named = ["#root"], [-1], [""], [False]
         self.main, self.worded = [False], [False]
         self.blocks: list[tuple[int, str]] = []
         self.length, self.linked, self.links = [0], [0], [0]
         self.stack = [0]
+        self.where: dict[str, list[int]] = {}
+        self.unclosed: set[str] = set()
+        self.forms: tuple[list[int], list[int]] | None = None
+        self.html = html
         self.text: list[str] = []
         self.link_length, self.link_open = 0, 0
         self._read(html)
 
     def _read(self, html: str) -> None:
-        at, size, lower = 0, len(html), None
+        at, size = 0, len(html)
+        last = html.rfind(">") + 1  # tags end here at the latest: none is sought behind it
         while at < size:
-            found = _MARKUP.search(html, at)
+            found = _MARKUP.search(html, at, last) if at < last else None
+            found = found or _OPEN_COMMENT.search(html, max(at, last))
             if found is None:
                 self._add(html[at:])
                 break
             self._add(html[at : found.start()])
             at, tag = found.end(), found[2]
             if tag is None:
+                if at == last and found[0].startswith("<!--") and not found[0].endswith(("-->", "--!>")):
+                    break  # never closed
                 if found[0].startswith("<![CDATA["):
                     self._add(found[0][9:].removesuffix("]]>"), plain=True)
                 continue
@@ -100,16 +132,35 @@ class _Page:
             if found[1]:
                 self._end(tag)
             elif tag in RAW:
-                if lower is None:
-                    lower = html.lower()
-                    lower = lower if len(lower) == size else html
-                close = lower.find(f"</{tag}", at)
-                at = size if close < 0 else close
+                at = self._behind(tag, found[3], at)
             else:
-                self._start(tag, found[3])
+                self._start(tag, found[3], at)
         self._flush()
 
+    def _behind(self, tag: str, attributes: str, at: int) -> int:
+        """Where the text goes on after a start tag whose content is no text of the page."""
+        if tag in FOREIGN and attributes.rstrip().endswith("/"):
+            return at
+        close = None if tag in self.unclosed else _RAW_ENDS[tag].search(self.html, at)
+        if close is not None:
+            return close.start()
+        self.unclosed.add(tag)  # none follows: it need not be sought again
+        return at if tag in MAY_BE_OPEN else len(self.html)
+
+    def _whole_form(self, at: int) -> bool:
+        """Whether the form that begins here is the page: it holds most of its markup and text."""
+        if self.forms is None:
+            ends = [m.start() for m in _FORM_ENDS.finditer(self.html)]
+            self.forms = ends, [m.start() for m in _TEXT_TAGS.finditer(self.html)]
+        ends, tags = self.forms
+        next_ = bisect_left(ends, at)
+        end = ends[next_] if next_ < len(ends) else len(self.html)
+        held = bisect_left(tags, end) - bisect_left(tags, at)
+        return held > WHOLE_FORM * len(tags) and end - at > WHOLE_FORM * len(self.html)
+
     def _add(self, raw: str, plain: bool = False) -> None:
+        if raw and self.source:
+            self.lost[self.source] = self.lost.get(self.source, 0) + (0 if self.link_open else len(raw.strip()))
         if raw and not self.out[self.stack[-1]]:
             text = raw if plain or "&" not in raw else unescape(raw)
             self.text.append(text)
@@ -126,7 +177,7 @@ class _Page:
                 self.linked[node] += min(self.link_length, len(text))
             self.text, self.link_length = [], 0
 
-    def _start(self, tag: str, attributes: str) -> None:
+    def _start(self, tag: str, attributes: str, at: int) -> None:
         if tag == "br":
             self.text.append(" ")
             return
@@ -147,7 +198,15 @@ class _Page:
         out, main = self.out[parent], tag in ("article", "main") or known.get("role", "").strip().lower() in ("article", "main")
         if main and out in ("form", "header", "nav"):  # wraps the page, or was never closed
             out = ""
-        out = out or self._left_out(tag, known, inside, main)
+        if not out and not (tag == "form" and self._whole_form(at)):
+            out = self._left_out(tag, known, inside, main)
+            if out == "name":
+                number = len(self.tag)
+                if number in self.spared:
+                    out = ""
+                else:
+                    self.source = number
+        self.where.setdefault(tag, []).append(len(self.stack))
         self.tag.append(tag)
         self.parent.append(parent)
         self.out.append(out)
@@ -165,14 +224,16 @@ class _Page:
             self._pop(len(self.stack) - 1)
         if tag in ENDS:
             ended, bounds = ENDS[tag]
-            for i in range(len(self.stack) - 1, 0, -1):
-                open_ = self.tag[self.stack[i]]
-                if open_ in bounds:
-                    return
-                if open_ in ended.split():
-                    self._pop(i)
+            bound = max((self.where[b][-1] for b in bounds if self.where.get(b)), default=0)
+            above = [w[bisect_right(w, bound)] for w in map(self.where.get, ended.split()) if w and w[-1] > bound]
+            if above:
+                self._pop(min(above))
 
     def _pop(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self.where[self.tag[node]].pop()
+            if node == self.source:
+                self.source = 0
         del self.stack[i:]
         self.link_open = 0
 
@@ -184,11 +245,9 @@ class _Page:
         if tag in ("body", "html"):
             self._flush()
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[i]] == tag:
-                self._flush()
-                self._pop(i)
-                return
+        if self.where.get(tag):
+            self._flush()
+            self._pop(self.where[tag][-1])
 
     @staticmethod
     def _attributes(text: str) -> dict[str, str]:
@@ -208,11 +267,13 @@ class _Page:
             return "hidden"
         for name in (*known.get("class", "").split(), known.get("id", "")):
             words = [w.lower() for w in _NAME.findall(name)]
-            if not words or NOT_ITSELF.intersection(words):
+            if not words or NOT_ITSELF.intersection(words) or words[-1] in LAYOUT:
                 continue
             ends = {words[0], words[-1]}
             if main:
                 ends &= {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}
+            if ends & COMMENTS:
+                return "comments"
             if ends & BOILERPLATE or ("header" in ends and not inside and words[0] not in ARTICLE):
                 return "name"
         return ""
@@ -275,24 +336,47 @@ class _Page:
                     kept.add(i)
         return kept
 
-    def _menu(self, i: int) -> bool:
-        """A list or table of links in the midst of the text."""
-        return self.tag[i] in ("ul", "ol", "table", "dl") and self.links[i] >= 3 and self._density(i) > 0.75
+    def _menu(self, i: int, below_heading: bool) -> bool:
+        """A list or table of short links in the midst of the text; under a heading it is part of the text."""
+        if self.tag[i] not in ("ul", "ol", "table", "dl") or self.links[i] < 3 or self._density(i) <= 0.75:
+            return False
+        return not below_heading and self.length[i] < MENU_LINK_LENGTH * self.links[i]
+
+    def _below_heading(self) -> set[int]:
+        """Lists and tables in an article whose text follows a heading at once."""
+        found: set[int] = set()
+        for (before, _), (node, _) in zip(self.blocks, self.blocks[1:]):
+            if self.tag[before] in HEADINGS and self.named[node]:
+                while node > before and node not in found:
+                    found.add(node)
+                    node = self.parent[node]
+        return found
 
     def main_text(self) -> str:
         if not self.blocks:
             return ""
-        kept = self._kept()
+        kept, headed = self._kept(), self._below_heading()
         inside = [False] * len(self.tag)
         for i in range(len(self.tag)):
             above = self.parent[i] >= 0 and inside[self.parent[i]]
-            inside[i] = (i in kept or above) and not self._menu(i)
+            inside[i] = (i in kept or above) and not self._menu(i, i in headed)
         return "\n\n".join(text for node, text in self.blocks if inside[node])
 
 
 def main_text(html: str) -> str:
     """Blocks of a page's main text in page order, joined by two line feeds."""
-    return _Page(html).main_text()
+    page, spared = _Page(html), frozenset()
+    while page.lost:
+        # a wrapper that is only named like a notice or a side bar holds nearly all the text
+        most = max(page.lost, key=lambda i: (page.lost[i], -i))
+        kept = sum(len(text) for _, text in page.blocks)
+        if any(page.main[node] or page.named[node] for node, _ in page.blocks):
+            break  # the page says itself which element the article is
+        if page.lost[most] <= WHOLE_PAGE * kept or len(spared) == MOST_SPARED:
+            break
+        spared |= {most}
+        page = _Page(html, spared)
+    return page.main_text()
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
