@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tollgate.llm import orc_tokens
 from tollgate.llm.orc_tokens import WordCache, find_tokens, read_tokens, token_checksums, write_tokens
 from tollgate.session import scratch_path
 
@@ -24,11 +27,47 @@ def ids(library, text):
     return [*library.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def encoded(cache, texts, end=()):
+    flat, sizes = cache.encode(pa.array(texts), list(end))
+    return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+
+TEXTS = [
+    "It's THE end. don't!!", "a,b c;  d\n\ne'll", "Ünïcödé É. İstanbul ΑΣ. Σ", "x<|endoftext|>y 12.5 <|startoftext|>", "",
+    "...", ". , ., a. A, 7. _. é. É, x\t.y", "e\u0301 \u212b ﬁ ǅ ŉ ß ſ", "w" * 90 + " " + "Ab." * 40, " ", "words words Words WORDS. words,",
+]
+
+
 def test_words_apart_as_whole_texts(library):
     cache = WordCache(library.to_str())
-    for text in ("It's THE end. don't!!", "a,b c;  d\n\ne'll", "Ünïcödé É. İstanbul ΑΣ.", "x<|endoftext|>y 12.5", ""):
-        found = np.frombuffer(cache.encode([text])[0], "<u4").tolist()
-        assert [*found, 1] == ids(library, text), text
+    assert cache.lowers and cache.parts and cache.bare and cache.joint
+    for batch in ([t] for t in TEXTS):
+        assert encoded(cache, batch, [1]) == [ids(library, t) for t in batch]
+    assert encoded(cache, TEXTS + TEXTS, [1]) == [ids(library, t) for t in TEXTS + TEXTS]
+    assert encoded(cache, TEXTS) == [ids(library, t)[:-1] for t in TEXTS]
+    assert all(len(w) <= orc_tokens.CACHED_LENGTH for w in cache.number)
+
+
+def test_emptied_cache(library, monkeypatch):
+    monkeypatch.setattr(orc_tokens, "CACHE_ENTRIES", 3)
+    cache = WordCache(library.to_str())
+    for batch in (TEXTS, TEXTS[::-1], TEXTS[2:5]):
+        assert encoded(cache, batch, [1]) == [ids(library, t) for t in batch]
+
+
+@pytest.mark.parametrize("without", ["normalizer", "added_tokens", "pre_tokenizer"])
+def test_tokenizers_with_other_rules(library, without):
+    """What the usual rules do not hold for is given to the tokenizer as it stands, or refused."""
+    spec = json.loads(library.to_str())
+    spec[without] = [] if without == "added_tokens" else None
+    other = Tokenizer.from_str(json.dumps(spec))
+    if without == "pre_tokenizer":
+        with pytest.raises(ValueError, match="white space"):
+            WordCache(json.dumps(spec))
+        return
+    cache = WordCache(json.dumps(spec))
+    texts = [t for t in TEXTS if "\t" not in t]
+    assert encoded(cache, texts, [1]) == [ids(other, t) for t in texts]
 
 
 def test_odd_rows_in_order(spark, odd_docs, odd_texts, library):

@@ -11,64 +11,207 @@ import re
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from tollgate.llm.common import map_batches, texts
-
-# Entries of a worker's cache before it is emptied; results do not depend on it.
-CACHE_ENTRIES = 800_000
+from tollgate.llm.common import map_batches
+
+# Words and ids that a worker's cache may hold before it is emptied, and the longest word
+# that it keeps; results do not depend on them.
+CACHE_ENTRIES = 900_000
+CACHE_IDS = 8_000_000
+CACHED_LENGTH = 64
+# Texts and bytes that are encoded at once.
+BATCH_TEXTS = 4_000
+BATCH_BYTES = 9_000_000
+# Words that are given to the tokenizer as one text.
+JOINED = 256
 STRIPE_BYTES = 16 * 1024 * 1024
 # Rows of a row group, the unit that row indexes and Bloom filters prune.
 INDEX_ROWS = 1_000
 FILES = "part int, first long, doc_id long, ids array<int>"
 
 
-class WordCache:
-    """Encodes texts with a tokenizer that drops white space, word by word.
+# Letters beyond Latin, and the dotted capital I: their lower case may hang on what stands around.
+_ODD = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
 
-    Blanks and line feeds part tokens in such a tokenizer whatever stands around
-    them, so the ids of a text are those of its words in a row; each word is given
-    to the tokenizer once per worker.
-    """
 
-    def __init__(self, spec: str):
-        self.tokenizer = Tokenizer.from_str(spec)
-        whole = self.tokenizer.encode("a b\nc", add_special_tokens=False).ids
-        apart = [i for w in "abc" for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        if whole != apart:
-            raise ValueError("this tokenizer keeps white space: it cannot be used word by word")
-        self.known: dict[str, bytes] = {"": b""}
+def _latin(word: str) -> bool:
+    return word.isascii() or not _ODD.search(word)
+
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": b""}
-        known = self.known
-        words = [_units(text) for text in batch]
-        fresh = list({w for ws in words for w in ws if w not in known})
-        for word, done in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[word] = np.asarray(done.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    narrow = "i4" if max(total, len(flat)) < 1 << 31 else "i8"
+    place = np.repeat((starts - (upto - sizes)).astype(narrow), sizes)
+    place += np.arange(total, dtype=narrow)
+    return flat[place]
 
 
-# Letters beyond Latin (and the dotted capital I), and full stops and commas that stand in a run of signs or before
-# something other than white space.
-_ODD = re.compile(r"[^\x00-\u012f\u0131-\u024f]|[^\w\s][.,]|_[.,]|[.,]\S")
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it prints."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def _units(text: str) -> list[str]:
-    """Parts of a text that the tokenizer treats apart: as few different ones as is cheap.
+BYTE_LETTERS = _byte_letters()
 
-    In plain texts stops and commas are tokens of their own and letters are lowered one by
-    one, as the tokenizer does it; both may then be done before. Others are cut at blanks.
+
+class WordCache:
+    """Encodes texts with a tokenizer that drops white space, word by word.
+
+    Blanks and line feeds part tokens in such a tokenizer whatever stands around them, so
+    the ids of a text are those of its words in a row. Words are numbered by Arrow; each is
+    given to the tokenizer once per worker, many joined by a special token; words of Latin
+    letters alone, which it neither changes nor parts, go to its model directly. Where the
+    tokenizer lowers letters and splits off a last stop or comma, the word is looked up
+    without them. Whether all this holds is tried out at the start.
     """
-    if not _ODD.search(text):
-        text = text.lower().replace(".", " .").replace(",", " ,")
-    return text.replace("\n", " ").split(" ")
+
+    def __init__(self, spec: str):
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
+        if self._ids("a b\nc") != self._ids("a") + self._ids("b") + self._ids("c"):
+            raise ValueError("this tokenizer keeps white space: it cannot be used word by word")
+        self.lowers = all(self._ids(w) == self._ids(w.lower()) for w in ("AbC", "ÀÉÎ", "ÇŁŽ", "X1Y"))
+        self.parts = all(self._ids(w + s) == self._ids(w) + self._ids(s) for w in ("ab", "Q", "é", "7", "x1") for s in ".,")
+        letters = [c for c in map(chr, range(0x250)) if c.isalpha() and not _ODD.search(c)]
+        tried = {c.lower() for c in letters} | {(a + b + "ab").lower() for a, b in zip(letters, letters[7:])} | {"words", "naïveté"}
+        self.bare = self.lowers and all(self._model_ids(w) == self._ids(w) for w in sorted(tried))
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
+        plain = [(i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.mark, self.joint = plain[0] if plain else (None, None)
+        self._clear()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _model_ids(self, word: str) -> list[int]:
+        """Ids of a word that is one piece for the tokenizer, as bytes for its model."""
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.starts = np.zeros(1 << 14, "i8")
+        self.again = np.zeros(1 << 14, bool)  # words met in a later batch
+
+    def _tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        if self.mark is None:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), "<u4"), np.array([len(x) for x in found], "i8")
+        texts = [self.joint.join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        ids, sizes = [], []
+        for done in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            found = np.array(done.ids, "<u4")
+            marks = np.flatnonzero(found == self.mark)
+            ids.append(np.delete(found, marks))
+            sizes.append(np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _core(self, word: str) -> tuple[str, str]:
+        """The word as it is looked up, and the stop that follows it."""
+        stop = ""
+        if self.parts and word[-1:] in (".", ",") and word[-2:-1].isalnum() and _latin(word[-2]):
+            word, stop = word[:-1], word[-1]
+        return (word.lower() if self.lowers and _latin(word) else word), stop
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, in a row, and how many each has; the tokenizer sees every core once."""
+        cores = [self._core(w) for w in words]
+        names = list({x for pair in cores for x in pair if x not in self.number})
+        plain, alone, joined = [], [], []
+        for name in names:
+            if self.bare and name.isalpha() and _latin(name):
+                plain.append(name)
+            else:
+                (alone if self.special.search(name) else joined).append(name)
+        own = [self._model_ids(n) for n in plain] + [self._ids(n) for n in alone]
+        ids, sizes = np.fromiter(chain.from_iterable(own), "<u4"), np.array([len(x) for x in own], "i8")
+        if joined:
+            more, more_sizes = self._tokenized(joined)
+            ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
+        names = plain + alone + joined
+        short = np.fromiter((len(n) <= CACHED_LENGTH for n in names), bool, len(names))
+        self._keep([n for n in names if len(n) <= CACHED_LENGTH], ids[np.repeat(short, sizes)], sizes[short])
+        if not short.all():
+            # long words lie behind the cache for this once
+            long = np.flatnonzero(~short).tolist()
+            tail = {names[i]: self.used + at for i, at in zip(long, (np.cumsum(sizes[~short]) - sizes[~short]).tolist())}
+            tail_size = {names[i]: int(sizes[i]) for i in long}
+            flat = np.concatenate([self.flat[: self.used], ids[np.repeat(~short, sizes)]])
+        else:
+            tail, tail_size, flat = {}, {}, self.flat
+        both = [x for pair in cores for x in pair]
+        number = np.fromiter(map(self.number.get, both, repeat(-1)), "i8", len(both))
+        start, size = self.starts[number], self.starts[number + 1] - self.starts[number]
+        for i in np.flatnonzero(number < 0).tolist() if tail else ():
+            start[i], size[i] = tail[both[i]], tail_size[both[i]]
+        return _gathered(flat, start, size), size.reshape(-1, 2).sum(1)
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, need = len(self.number), self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(need, "<u4")])
+        if n + len(words) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(n + len(words) + 1, "i8")])
+            self.again = np.concatenate([self.again, np.zeros(n + len(words) + 1, bool)])
+        self.flat[self.used : need] = ids
+        self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(sizes)
+        self.number.update(zip(words, range(n, n + len(words))))
+        self.used = need
+
+    def _thin(self) -> None:
+        """Keep the words met again, which are the frequent ones, unless they fill the cache."""
+        words = np.array(list(self.number), object)  # in the order of their numbers
+        frequent = np.flatnonzero(self.again[: len(words)])
+        frequent = frequent[frequent > 0]
+        size = self.starts[frequent + 1] - self.starts[frequent]
+        ids = _gathered(self.flat, self.starts[frequent], size)
+        self._clear()
+        if len(frequent) <= CACHE_ENTRIES // 2 and len(ids) <= CACHE_IDS // 2:
+            self._keep(words[frequent].tolist(), ids, size)
+
+    def encode(self, texts: pa.Array, end: list[int] = []) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each followed by ``end``, and how many each has."""
+        if len(self.number) > CACHE_ENTRIES or self.used > CACHE_IDS:
+            self._thin()
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.number.get, names, repeat(-1)), "i8", len(names))
+        unknown = np.flatnonzero(numbers < 0)
+        fresh = [names[i] for i in unknown.tolist()]
+        ids, sizes = self._learn(fresh) if fresh else (np.zeros(0, "<u4"), np.zeros(0, "i8"))
+        # the ids of this batch's words: those known, then those just learnt
+        known = np.flatnonzero(numbers >= 0)
+        self.again[numbers[known]] = True
+        size, start = np.zeros(len(names), "i8"), np.zeros(len(names), "i8")
+        size[known] = self.starts[numbers[known] + 1] - self.starts[numbers[known]]
+        size[unknown] = sizes
+        order = np.concatenate([known, unknown])
+        start[order] = np.cumsum(size[order]) - size[order]
+        pool = np.concatenate([_gathered(self.flat, self.starts[numbers[known]], size[known]), ids])
+        if fresh:
+            new = np.array([len(w) <= CACHED_LENGTH and w not in self.number for w in fresh], bool)
+            self._keep([w for w, s in zip(fresh, new.tolist()) if s], ids[np.repeat(new, sizes)], sizes[new])
+        # the end of a text is one more word
+        pool, start, size = np.append(pool, np.array(end, "<u4")), np.append(start, len(pool)), np.append(size, len(end))
+        ends = lists.offsets.to_numpy()
+        each = np.insert(words.indices.to_numpy(), ends[1:], len(names))
+        lengths = size[each]
+        upto = np.concatenate([[0], np.cumsum(lengths)])[ends + np.arange(len(ends))]
+        return _gathered(pool, start[each], lengths), np.diff(upto)
 
 
 @lru_cache(maxsize=2)
@@ -88,24 +231,21 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
     spark: SparkSession = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:  # a fixed file, whatever the corpus
         shared = spark.sparkContext.broadcast(file.read())
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode() -> Callable[[pa.RecordBatch], dict]:
         before = 0
 
         def one(batch: pa.RecordBatch) -> dict:
             nonlocal before
-            ids = [x + end for x in _cache(shared.value).encode(texts(batch))]
-            sizes = np.asarray([len(x) // 4 for x in ids], "i8")
+            flat, sizes = _cache(shared.value).encode(batch.column("text").fill_null(""), [end_id])
             ends = np.cumsum(sizes)
             first, before = before + ends - sizes, before + int(ends[-1])
-            flat = np.frombuffer(b"".join(ids), "<i4")
             offsets = np.concatenate([[0], ends]).astype("i4")
             return {
                 "part": batch.column("part"),
                 "first": first,
                 "doc_id": batch.column("doc_id"),
-                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view("<i4"))),
             }
 
         return one
@@ -113,9 +253,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
     def over(batches):
         one = encode()  # counts anew in every part
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                piece = batch.slice(at, 1_000)
-                yield pa.RecordBatch.from_pydict(one(piece))
+            bytes_ = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype="i8")])
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(bytes_, bytes_[at] + BATCH_BYTES, "right")) - 1
+                to = min(max(to, at + 1), at + BATCH_TEXTS)
+                yield pa.RecordBatch.from_pydict(one(batch.slice(at, to - at)))
+                at = to
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")
