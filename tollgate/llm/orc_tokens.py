@@ -23,12 +23,12 @@ from tollgate.llm.common import map_batches
 
 # Words and ids that a worker's cache may hold before it is emptied, and the longest word
 # that it keeps; results do not depend on them.
-CACHE_ENTRIES = 900_000
-CACHE_IDS = 8_000_000
+CACHE_ENTRIES = 700_000
+CACHE_IDS = 6_000_000
 CACHED_LENGTH = 64
 # Texts and bytes that are encoded at once.
 BATCH_TEXTS = 4_000
-BATCH_BYTES = 9_000_000
+BATCH_BYTES = 5_000_000
 # Words that are given to the tokenizer as one text.
 JOINED = 256
 STRIPE_BYTES = 16 * 1024 * 1024
