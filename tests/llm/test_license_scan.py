@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import re
 
-from tollgate.llm.license_scan import CUE, RULES, SENTENCES, scan_licences
+from tollgate.llm.license_scan import CUE, RULES, SAID, SENTENCES, scan_licences, variants
 
 MIT = f"x.\nThe MIT License (MIT)\n\n{SENTENCES['mit-grant']}:\n\n{SENTENCES['mit-notice']}."
 BSD2 = ". ".join(SENTENCES[f"bsd-{s}"] for s in ("redistribution", "source", "binary")) + "."
@@ -34,8 +34,8 @@ def test_no_rows(no_docs):
 
 
 def test_rules_name_known_sentences():
-    assert {i for _, ids in RULES for i in ids} <= set(SENTENCES)
-    assert all(re.search(CUE, s) for s in SENTENCES.values())
+    assert {i for _, ids in RULES for i in ids} <= set(SENTENCES) | set(SAID)
+    assert all(re.search(CUE, s) for _, s in variants())
 
 
 def test_plan_is_native(odd_docs):
@@ -64,6 +64,25 @@ def test_notices_written_out(spark):
         ("This work is marked with CC0 1.0 Universal.", 1, "CC0-1.0"),
         ("This is free and unencumbered software released into the public domain.", 1, "Unlicense"),
         ("This work is licensed under CC BY-NC-ND 4.0.", 1, "CC-BY-NC-ND-4.0"),
+        # known sentences that do not stand together make no sequence
+        ("SPDX-License-Identifier: see the file NOTICE. It was new. MIT. That is a school.", 2, ""),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0\n", 2, "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: (GPL-2.0-or-later OR EPL-2.0)\n\ncode", 2, "EPL-2.0,GPL-2.0-or-later"),
+        ("SPDX-License-Identifier: MIT OR Whatever\n", 1, ""),
+        ("// SPDX-License-Identifier: EPL-2.0\n\nx", 2, "EPL-2.0"),
+        ("SPDX-License-Identifier: 0BSD\n", 2, "0BSD"),
+        ("Released under the Eclipse Public License 2.0.", 1, "EPL-2.0"),
+        ("Apache License 2.0", 1, "Apache-2.0"),
+        ("This project is licensed under the Apache License 2.0.", 1, "Apache-2.0"),
+        ("Copyright 2021 B.\n\nAll rights reserved worldwide.", 1, "LicenseRef-all-rights-reserved"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+         "following conditions are met:\n\n 1. Redistributions of source code must retain the above copyright notice, this\n"
+         "list of conditions and the following disclaimer.\n 2. Redistributions in binary form must reproduce the above "
+         "copyright notice,\nthis list of conditions and the following disclaimer in the documentation and/or\nother materials "
+         "provided with the distribution.\n", 3, "BSD-2-Clause"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+         "following conditions are met: none so far. Redistributions of source code must retain the above copyright notice, "
+         "this list of conditions and the following disclaimer.", 2, ""),
     ]
     docs = [(i, text) for i, (text, _, _) in enumerate(rows)]
     found = scan_licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()

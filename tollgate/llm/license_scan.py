@@ -1,9 +1,11 @@
 """Licence scan by sentence rules, in SQL functions only.
 
 Texts are cut into sentences and lines, and each is normalised and looked up among known
-licence sentences. The identifiers found, in text order, are matched against ordered
-licence rules: sequences of identifiers. The first rule that finds its sequence takes
-the identifiers, so longer rules stand before the ones that they contain.
+licence sentences. The identifiers found keep their places in the text: any other
+sentence between two of them stays as a gap. They are matched against ordered licence
+rules, sequences of identifiers next to each other. The first rule that finds its sequence
+takes the identifiers and leaves a gap, so longer rules stand before the ones that they
+contain and no rule joins what stood apart.
 """
 
 from __future__ import annotations
@@ -22,12 +24,27 @@ _LATER = "either version {} of the License, or (at your option) any later versio
 _SPDX = {
     "MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "ISC": "ISC",
     "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Unlicense": "Unlicense", "CC-BY-4.0": "CC-BY-4.0",
-    "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0",
+    "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "EPL-1.0": "EPL-1.0", "EPL-2.0": "EPL-2.0",
+    "MPL-1.1": "MPL-1.1", "0BSD": "0BSD", "Zlib": "Zlib", "BSL-1.0": "BSL-1.0", "Artistic-2.0": "Artistic-2.0",
+    "EUPL-1.2": "EUPL-1.2", "CDDL-1.0": "CDDL-1.0", "PostgreSQL": "PostgreSQL", "NCSA": "NCSA", "WTFPL": "WTFPL",
 } | {
     f"{name}{end}": f"{name}-{'or-later' if end == '-or-later' else 'only'}"
-    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
     for end in ("", "-only", "-or-later")
 }
+# Names of licences and their versions.
+_NAMED = (
+    ("Apache-2.0", "Apache License", "2.0"), ("Apache-2.0", "Apache Software License", "2.0"),
+    ("EPL-1.0", "Eclipse Public License", "1.0"), ("EPL-2.0", "Eclipse Public License", "2.0"),
+    ("MPL-1.1", "Mozilla Public License", "1.1"), ("MPL-2.0", "Mozilla Public License", "2.0"),
+    ("BSL-1.0", "Boost Software License", "1.0"), ("Artistic-2.0", "Artistic License", "2.0"),
+    ("EUPL-1.2", "European Union Public Licence", "1.2"), ("CDDL-1.0", "Common Development and Distribution License", "1.0"),
+    ("ISC", "ISC License", ""), ("Zlib", "zlib License", ""), ("BSD-2-Clause", "BSD 2-Clause License", ""),
+    ("BSD-3-Clause", "BSD 3-Clause License", ""), ("PostgreSQL", "PostgreSQL License", ""),
+)
+_VERSION = ("{} {}", "{}, Version {}", "{} v{}", "{} - v {}")
+_SAID = ("{}", "The {}", "Licensed under the {}", "Released under the {}", "Distributed under the {}",
+         "This work is licensed under the {}", "This project is licensed under the {}", "This software is licensed under the {}")
 _CC_SHORT = ("cc-by-short", "cc-by-sa-short", "cc-by-nc-short")
 
 # Sentences of public licences and notices, by identifier.
@@ -37,6 +54,8 @@ SENTENCES = {
     "apache-under-the": 'Licensed under the Apache License, Version 2.0 (the "License")',
     "apache-comply": "you may not use this file except in compliance with the License",
     "apache-copy": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-url-s": "https://www.apache.org/licenses/LICENSE-2.0",
     "apache-basis": (
         "Unless required by applicable law or agreed to in writing, software distributed under the License is "
         'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'
@@ -91,6 +110,7 @@ SENTENCES = {
     "cc-by-sa-short": "Licensed under CC BY-SA 4.0",
     "cc-by-nc-short": "Licensed under CC BY-NC 4.0",
     "rights-reserved": "All rights reserved",
+    "rights-reserved-worldwide": "All rights reserved worldwide",
     "bsd-name-2": "BSD 2-Clause License",
     "bsd-name-3": "BSD 3-Clause License",
     "gpl-terms": _FREE.format("GNU General Public License") + _PUBLISHED,
@@ -141,9 +161,20 @@ SENTENCES = {
     )
 }
 
+# Other ways to name a licence, one identifier for all of a licence's: said as name and version.
+SAID: dict[str, list[str]] = {}
+for _licence, _name, _number in _NAMED:
+    _versions = [v.format(_name, _number) for v in _VERSION] if _number else [_name]
+    _forms = [form.format(v) for form in _SAID for v in _versions]
+    _new = {" ".join(re.findall("[a-z0-9]+", s.lower())) for s in SENTENCES.values()}
+    SAID.setdefault(f"said-{_licence}", []).extend(
+        s for s in _forms if " ".join(re.findall("[a-z0-9]+", s.lower())) not in _new
+    )
+
 # Ordered rules, a licence and the identifiers that must follow each other.
 RULES = (
-    ("Apache-2.0", ("apache-under-the", "apache-comply", "apache-copy", "apache-basis")),
+    ("Apache-2.0", ("apache-under-the", "apache-comply", "apache-copy", "apache-url", "apache-basis")),
+    ("Apache-2.0", ("apache-under-the", "apache-comply", "apache-copy", "apache-url-s", "apache-basis")),
     ("Apache-2.0", ("apache-under-the", "apache-comply")),
     ("Apache-2.0", ("apache-under-the",)),
     ("Apache-2.0", ("apache-under",)),
@@ -196,8 +227,10 @@ RULES = (
     *((licence, ("spdx", f"spdx-{name}")) for name, licence in _SPDX.items()),
     *((f"CC-{i[3:-5]}-4.0", (i,)) for i in SENTENCES if re.fullmatch("cc-BY.*-(work|long)", i)),
     *((f"CC-{i[3:-9]}-4.0", (i,)) for i in SENTENCES if re.fullmatch("cc-BY.*-licensed", i)),
+    *((i.removeprefix("said-"), (i,)) for i in SAID),
     # Named as found, also beside a licence that grants some of the rights.
     ("LicenseRef-all-rights-reserved", ("rights-reserved",)),
+    ("LicenseRef-all-rights-reserved", ("rights-reserved-worldwide",)),
 )
 
 # Where a sentence ends: stops before white space or the end, or an empty line.
@@ -206,6 +239,12 @@ SENTENCE_END = r"[.!?;:]+([ \t\r\f\n]|\z)|\n[ \t\r\f]*\n"
 LINE_END = r"[.!?;:]+([ \t\r\f\n]|\z)|\n"
 # Numbers that lists put before their sentences, and comment signs, go with the rest.
 OTHER = r"[^a-z0-9]+"
+# A sentence is a piece with a word in it; list numbers and comment signs alone are none.
+WORD = "[A-Za-z]{2}"
+# Operators of SPDX expressions, in capitals, and the brackets around their parts.
+OPERATOR = r"[ \t]+(OR|AND)[ \t]+"
+# Place of a sentence that is not known.
+GAP = "~"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -230,29 +269,46 @@ def cue(sentences: Iterable[str]) -> str:
     return "(?i)" + "|".join(words + ([f"(?<![a-z0-9])(?:{'|'.join(first)})(?![a-z0-9])"] if first else []))
 
 
+def variants() -> list[tuple[str, str]]:
+    """Identifier and sentence of all that is known."""
+    return [*SENTENCES.items(), *((name, s) for name, some in SAID.items() for s in some)]
+
+
 # Every known sentence holds one of these; other sentences need no normalising.
-CUE = cue(SENTENCES.values())
+CUE = cue(s for _, s in variants())
 
 
 def known_sentences() -> dict[str, str]:
     """Identifier by normalised sentence; a sentence that itself holds a stop is refused."""
-    known = {normalise(s): name for name, s in SENTENCES.items()}
-    if len(known) < len(SENTENCES):
-        raise ValueError("a sentence has two identifiers")
-    for sentence in SENTENCES.values():
+    known: dict[str, str] = {}
+    for name, sentence in variants():
+        if known.setdefault(normalise(sentence), name) != name:
+            raise ValueError(f"a sentence has two identifiers: {sentence}")
         if re.search(r"[.!?;:](\s|$)", sentence):
             raise ValueError(f"a stop within: {sentence}")
     return known
 
 
 def _identifiers(text: Column, end: str, known: Column) -> Column:
-    """Identifiers of a text's known sentences in order, as ``|a|b|c|``."""
-    sentences = F.filter(F.split(text, end), lambda s: s.rlike(CUE))
-    clean = F.transform(
-        sentences, lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), OTHER, " "))
-    )
-    found = F.filter(F.transform(clean, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
-    return F.concat(F.lit("|"), F.array_join(found, "||"), F.lit("|"))
+    """Identifiers of a text's sentences in order, ``GAP`` for every sentence that is not known.
+
+    An SPDX expression is known if all its parts are SPDX identifiers; the tag is said again
+    before every part but the first.
+    """
+
+    def named(part: Column) -> Column:
+        return F.element_at(known, F.trim(F.regexp_replace(F.translate(part, _UPPER, _LOWER), OTHER, " ")))
+
+    def expression(sentence: Column) -> Column:
+        parts = F.transform(F.split(sentence, OPERATOR), named)
+        whole = F.forall(parts, lambda i: F.coalesce(i.startswith("spdx-"), F.lit(False)))
+        return F.when(whole, F.array_join(parts, "||spdx||"))
+
+    def identifier(sentence: Column) -> Column:
+        found = F.when(sentence.rlike(OPERATOR), expression(sentence)).otherwise(named(sentence))
+        return F.coalesce(F.when(sentence.rlike(CUE), found), F.lit(GAP))
+
+    return F.transform(F.filter(F.split(text, end), lambda s: s.rlike(WORD)), identifier)
 
 
 def _licences(identifiers: Column) -> Column:
@@ -260,18 +316,20 @@ def _licences(identifiers: Column) -> Column:
     rules = F.array(
         *[F.struct(F.lit(name).alias("name"), F.lit("".join(f"|{i}|" for i in ids)).alias("ids")) for name, ids in RULES]
     )
-    start = F.struct(identifiers.alias("left"), F.expr("cast(array() as array<string>)").alias("names"))
+    joined = F.concat(F.lit("|"), F.array_join(identifiers, "||"), F.lit("|"))
+    start = F.struct(joined.alias("left"), F.expr("cast(array() as array<string>)").alias("names"))
     names = F.aggregate(
         rules,
         start,
         lambda state, rule: F.struct(
-            F.replace(state["left"], rule["ids"], F.lit("")).alias("left"),
+            F.replace(state["left"], rule["ids"], F.lit(f"|{GAP}|")).alias("left"),
             F.when(F.contains(state["left"], rule["ids"]), F.array_union(state["names"], F.array(rule["name"])))
             .otherwise(state["names"]).alias("names"),
         ),
         lambda state: state["names"],
     )
-    return F.when(identifiers == "||", F.expr("cast(array() as array<string>)")).otherwise(names)
+    some = F.exists(identifiers, lambda i: i != GAP)
+    return F.when(some, names).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -281,7 +339,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     holds the names found there or on single lines, sorted and joined by commas, empty if
     none. Null and empty texts have none. A notice that all rights are reserved is named
     as such, whatever else the text holds; an SPDX identifier counts as known wherever it
-    is a sentence, and names its licence behind the SPDX tag. One pass without a shuffle; the rules are part
+    is a sentence, and names its licence right behind the SPDX tag, alone or in an expression
+    of AND and OR. One pass without a shuffle; the rules are part
     of the plan. Repeated rows give repeated rows, other columns are not looked at.
     """
     pairs = [F.lit(x) for item in known_sentences().items() for x in item]
@@ -296,7 +355,6 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     names = F.array_sort(F.array_union(_licences(F.col("sentences")), _licences(F.col("lines"))))
     return cut.select(
         "doc_id",
-        F.when(F.col("sentences").isNull() | (F.col("sentences") == "||"), F.lit(0))
-        .otherwise(F.size(F.split("sentences", r"\|\|"))).cast("long").alias("n_known"),
+        F.coalesce(F.size(F.filter("sentences", lambda i: i != GAP)), F.lit(0)).cast("long").alias("n_known"),
         F.coalesce(F.array_join(names, ","), F.lit("")).alias("licences"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.llm.ball_topk import quantised, top_products
 from tollgate.llm.common import table
-from tollgate.llm.license_scan import LINE_END, RULES, SENTENCE_END, SENTENCES, scan_licences
+from tollgate.llm.license_scan import GAP, LINE_END, OPERATOR, RULES, SENTENCE_END, WORD, scan_licences, variants
 from tollgate.llm.norm_search import ranked_documents
 from tollgate.llm.orc_tokens import read_tokens, token_checksums, write_tokens
 from tollgate.llm.pivotal_mix import copies_by_row, mix_sources
@@ -118,22 +118,34 @@ def _licence_sql() -> str:
         return "'" + text.replace("'", "''") + "'"
 
     known = ", ".join(
-        f"({quoted(name)}, trim(regexp_replace(lower({quoted(s)}), '[^a-z0-9]+', ' ', 'g')))" for name, s in SENTENCES.items()
+        f"({quoted(name)}, trim(regexp_replace(lower({quoted(s)}), '[^a-z0-9]+', ' ', 'g')))" for name, s in variants()
     )
     steps = []
     for kind, end in (("sentence", SENTENCE_END), ("line", LINE_END)):
         steps.append(f"""{kind}_cut as (select doc_id, string_split_regex(coalesce(text, ''), {quoted(end)}) x from documents),
             {kind}_parts as (select doc_id, unnest(x) s, unnest(range(1, len(x) + 1)) pos from {kind}_cut),
-            {kind}_0 as (
-                select doc_id, string_agg('|' || id || '|', '' order by pos) seq, count(*) n, cast([] as varchar[]) names
-                from {kind}_parts join known
-                  on trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            {kind}_places as (
+                select doc_id, pos, unnest(string_split_regex(s, {quoted(OPERATOR)})) part,
+                       unnest(range(len(string_split_regex(s, {quoted(OPERATOR)})))) n
+                from {kind}_parts where regexp_matches(s, {quoted(WORD)})),
+            {kind}_known as (
+                select doc_id, pos, count(*) parts, count(id) found, count(*) filter (id like 'spdx-%') tags,
+                       string_agg(id, '||spdx||' order by n) ids
+                from {kind}_places left join known
+                  on trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                          '[^a-z0-9]+', ' ', 'g')) = sentence
-                group by doc_id)""")
+                group by doc_id, pos),
+            {kind}_ids as (
+                select doc_id, pos, case when found = 1 and parts = 1 or tags = parts then ids else '{GAP}' end id
+                from {kind}_known),
+            {kind}_0 as (
+                select doc_id, string_agg('|' || id || '|', '' order by pos) seq, count(*) filter (id <> '{GAP}') n,
+                       cast([] as varchar[]) names
+                from {kind}_ids group by doc_id having n > 0)""")
         for i, (name, ids) in enumerate(RULES):
             rule = quoted("".join(f"|{x}|" for x in ids))
             steps.append(f"""{kind}_{i + 1} as (
-                select doc_id, replace(seq, {rule}, '') seq, n,
+                select doc_id, replace(seq, {rule}, '|{GAP}|') seq, n,
                        case when contains(seq, {rule}) then list_append(names, {quoted(name)}) else names end names
                 from {kind}_{i})""")
     last = len(RULES)
