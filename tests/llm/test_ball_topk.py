@@ -72,3 +72,35 @@ def test_large_components(spark, size):
 def test_quantised_floors_doubles(spark):
     df = spark.createDataFrame([([0.1, -0.1, 1.0, -1.0, 0.00390625, None],)], "e array<float>")
     assert df.select(bt.quantised("e").alias("q")).first().q == [25, -26, 256, -256, 1, None]
+
+
+def test_inner_nodes_are_pruned(monkeypatch):
+    """Far groups: whole branches lie below the k-th score and are never opened."""
+    monkeypatch.setattr(bt, "LEAF_ROWS", 8)
+    draw = np.random.default_rng(4)
+    centres = draw.integers(-4_000, 4_000, (32, 6))
+    vectors = (centres[:, None, :] + draw.integers(-20, 20, (32, 32, 6))).reshape(-1, 6)
+    tree = bt.ball_tree(vectors.astype("f8"))
+    assert sorted(tree["order"]) == list(range(1024))
+    for node, (start, end) in enumerate(zip(tree["starts"], tree["ends"])):
+        far = np.sqrt(((vectors[tree["order"][start:end]] - tree["centres"][node]) ** 2).sum(axis=1)).max()
+        assert far <= tree["radii"][node] + 1e-9
+    shard, seen = {"ids": np.arange(1024), "vectors": vectors, **tree}, {}
+    queries = {"ids": np.arange(0, 1024, 64), "vectors": vectors[::64]}
+    query, point, score = bt.search_shard(queries, shard, 3, np.full(16, -bt.LONG - 1), seen)
+    for q in range(16):
+        mine = [(int(s), int(p)) for s, p in zip(score[query == q], point[query == q])]
+        all_ = sorted(((-int(queries["vectors"][q] @ v), i) for i, v in enumerate(vectors) if i != queries["ids"][q]))
+        assert sorted((-s, p) for s, p in mine) == all_[:3]
+    inner, leaves = (tree["children"][:, 0] >= 0).sum(), (tree["children"][:, 0] < 0).sum()
+    assert seen["inner"] < 0.5 * 16 * inner and seen["leaf"] < 0.25 * 16 * leaves
+
+
+def test_repeated_rows_are_dealt_over_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(bt, "SHARD_ROWS", 20)
+    largest = []
+    monkeypatch.setattr(bt, "written", lambda df, name, real=bt.written: largest.append((name, df)) or real(df, name))
+    rows = [(1, [3, 4])] * 200 + [(2, [1, 1])]
+    assert found(spark, rows, rows[-1:]) == expected(rows, rows[-1:], 5)
+    trees = dict(largest)["ball_trees"]
+    assert trees.count() >= 8

@@ -1,12 +1,12 @@
-"""Exact top-k by integer inner product: the leaf balls of a tree per shard, by bound.
-
-Candidates are dealt into shards of bounded size; each shard is packed once with the
-leaves of its ball tree (centres, radii, ranges of points) and written; inner nodes are
-not kept, one product bounds all of a shard's leaves for a block of queries. Queries come in blocks of
-bounded size and meet every shard. Within a shard the leaves are taken in the order of
-the largest inner product that any of the block's queries can reach in them, and a leaf
-is left out for a query whose k-th score it cannot reach. The k-th score starts from
-the first shard's results, and is handed on from shard to shard of a task.
+"""Exact top-k by integer inner product: branch and bound over a ball tree per shard.
+
+Candidates are dealt into shards of bounded size; each shard is packed once with its ball
+tree (centre, radius, range of points and children of every node) and written. Queries
+come in blocks of bounded size and meet every shard. A block descends a shard's tree best
+first: the next node is the one in which any of its open queries can reach the largest
+inner product, and a query goes no deeper where its bound is below its k-th score. That
+score starts from the first shard's results, is shared by all nodes of a shard, and is
+handed on from shard to shard of a task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush
 from operator import or_
 
 import numpy as np
@@ -35,30 +36,33 @@ def quantised(vector: str, scale: int = 256):
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 
-def ball_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the points, and centre, radius and end of every leaf.
+def ball_tree(points: np.ndarray) -> dict[str, np.ndarray]:
+    """Order of the points; centre, radius, range in that order and children of every node.
 
-    A node is halved at the median of its projection on the line through two far points.
+    A node is halved at the median of its projection on the line through two far points;
+    leaves have children -1, the root is node 0.
     """
-    order, ends, stack = [], [], [np.arange(len(points))]
+    order, nodes, stack = np.arange(len(points)), [], [(0, len(points), None)]
     while stack:
-        members = stack.pop()
-        if len(members) <= LEAF_ROWS:
-            order.append(members)
-            ends.append(len(members))
-            continue
+        start, end, hook = stack.pop()
+        members = order[start:end].copy()
         some = points[members]
-        far = some[np.argmax(((some - some.mean(axis=0)) ** 2).sum(axis=1))]
+        centre = some.mean(axis=0)
+        distance = ((some - centre) ** 2).sum(axis=1)
+        children = [-1, -1]
+        if hook:
+            parent, side = hook
+            nodes[parent][4][side] = len(nodes)
+        nodes.append((centre, np.sqrt(distance.max()), start, end, children))
+        if end - start <= LEAF_ROWS:
+            continue
+        far = some[np.argmax(distance)]
         other = some[np.argmax(((some - far) ** 2).sum(axis=1))]
-        rank = np.argsort(some @ (other - far), kind="stable")
-        half = len(members) // 2
-        stack += [members[rank[half:]], members[rank[:half]]]
-    order, ends = np.concatenate(order), np.cumsum(ends)
-    starts = np.concatenate([[0], ends[:-1]])
-    centres = np.add.reduceat(points[order], starts) / (ends - starts)[:, None]
-    leaf = np.repeat(np.arange(len(ends)), ends - starts)
-    distance = np.sqrt(((points[order] - centres[leaf]) ** 2).sum(axis=1))
-    return order, centres, np.maximum.reduceat(distance, starts), ends
+        order[start:end] = members[np.argsort(some @ (other - far), kind="stable")]
+        half, me = (start + end) // 2, len(nodes) - 1
+        stack += [(half, end, (me, 1)), (start, half, (me, 0))]
+    centres, radii, starts, ends, children = (np.array(x) for x in zip(*nodes))
+    return {"order": order, "centres": centres, "radii": radii, "starts": starts, "ends": ends, "children": children}
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
@@ -81,8 +85,7 @@ def _pack_shard(rows: pa.Table) -> pa.Table:
     ids = np.asarray(rows.column("vec_id"), "i8")
     by_id = np.argsort(ids, kind="stable")
     ids, vectors = ids[by_id], _matrix(rows, width)[by_id]
-    order, centres, radii, ends = ball_tree(vectors.astype("f8"))
-    packed = _packed(ids=ids, vectors=vectors, order=order, centres=centres, radii=radii, ends=ends)
+    packed = _packed(ids=ids, vectors=vectors, **ball_tree(vectors.astype("f8")))
     return pa.table({"width": [width], "shard": [shard], "tree": [packed]})
 
 
@@ -107,34 +110,58 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(wide, -LONG - 1, LONG).astype("i8")
 
 
-def search_shard(queries: dict, shard: dict, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(
+    queries: dict, shard: dict, k: int, floor: np.ndarray, seen: dict[str, int] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best ``k`` of one shard for every query: query place, point place and score.
 
     ``floor`` are k-th scores known so far; it is raised in place. Ties go to smaller
-    ids: points are numbered by id, and a leaf is only left out when it cannot tie.
+    ids: points are numbered by id, and a node is only left out when it cannot tie.
+    ``seen`` counts the (query, node) pairs opened, ``inner`` and ``leaf``.
     """
     points, vectors = shard["vectors"], queries["vectors"]
     first = np.searchsorted(shard["ids"], queries["ids"], "left")
     last = np.searchsorted(shard["ids"], queries["ids"], "right")
-    norms = np.sqrt((vectors.astype("f8") ** 2).sum(axis=1))
-    reach = vectors.astype("f8") @ shard["centres"].T + norms[:, None] * shard["radii"][None, :]
-    reach += 1e-6 * (1.0 + np.abs(reach))  # rounding of centres and radii may only keep more
+    exact = vectors.astype("f8")
+    norms = np.sqrt((exact**2).sum(axis=1))
     best = np.full((len(vectors), k), -LONG - 1, "i8")
     place = np.full((len(vectors), k), len(points), "i8")
-    starts = np.concatenate([[0], shard["ends"][:-1]])
-    for leaf in np.argsort(-reach.max(axis=0), kind="stable"):
-        open_ = np.flatnonzero(reach[:, leaf] >= floor)
-        if not len(open_):
-            continue
-        members = shard["order"][starts[leaf] : shard["ends"][leaf]]
-        score = products(vectors[open_], points[members])
-        itself = (members[None, :] >= first[open_, None]) & (members[None, :] < last[open_, None])
+
+    def reach(some: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        bound = exact[some] @ shard["centres"][nodes].T + norms[some, None] * shard["radii"][nodes]
+        return bound + 1e-6 * (1.0 + np.abs(bound))  # rounding of centres and radii may only keep more
+
+    def look_at(members: np.ndarray, some: np.ndarray) -> None:
+        score = products(vectors[some], points[members])
+        itself = (members[None, :] >= first[some, None]) & (members[None, :] < last[some, None])
         score = np.where(itself, -LONG - 1, score)
         at = np.where(itself, len(points), np.broadcast_to(members, score.shape))
-        score, at = np.hstack([best[open_], score]), np.hstack([place[open_], at])
+        score, at = np.hstack([best[some], score]), np.hstack([place[some], at])
         rank = np.lexsort((at, ~score), axis=1)[:, :k]  # ~ turns the order without overflow
-        best[open_], place[open_] = np.take_along_axis(score, rank, 1), np.take_along_axis(at, rank, 1)
-        floor[open_] = np.maximum(floor[open_], best[open_, k - 1])
+        best[some], place[some] = np.take_along_axis(score, rank, 1), np.take_along_axis(at, rank, 1)
+        floor[some] = np.maximum(floor[some], best[some, k - 1])
+
+    everyone = np.arange(len(vectors))
+    bound = reach(everyone, np.array([0]))[:, 0]
+    heap = [(-bound.max(initial=-np.inf), 0, everyone, bound)]
+    while heap:
+        _, node, some, bound = heappop(heap)
+        open_ = bound >= floor[some]
+        some, bound = some[open_], bound[open_]
+        if not len(some):
+            continue
+        children = shard["children"][node]
+        if seen is not None:
+            kind = "leaf" if children[0] < 0 else "inner"
+            seen[kind] = seen.get(kind, 0) + len(some)
+        if children[0] < 0:
+            look_at(shard["order"][shard["starts"][node] : shard["ends"][node]], some)
+            continue
+        below = np.minimum(reach(some, children), bound[:, None])
+        for side, child in enumerate(children):
+            keep = below[:, side] >= floor[some]
+            if keep.any():
+                heappush(heap, (-below[keep, side].max(), int(child), some[keep], below[keep, side]))
     query, column = np.nonzero(place < len(points))
     return query, place[query, column], best[query, column]
 
@@ -142,12 +169,16 @@ def search_shard(queries: dict, shard: dict, k: int, floor: np.ndarray) -> tuple
 def _search(k: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[tuple, dict] = {}
+        at, shard = None, {}
         for batch in batches:
-            for width, block, packed, tree in zip(*(batch.column(c) for c in ("width", "block", "queries", "tree"))):
+            names = ("width", "block", "shard", "queries", "tree")
+            for width, block, number, packed, tree in zip(*(batch.column(c) for c in names)):
                 key = (width.as_py(), block.as_py())
+                if at != (width.as_py(), number.as_py()):  # a shard meets its blocks one after the other
+                    at, shard = (width.as_py(), number.as_py()), _unpacked(tree.as_py())
                 if key not in blocks:
                     blocks = {key: _unpacked(packed.as_py())} if len(blocks) > 8 else blocks | {key: _unpacked(packed.as_py())}
-                queries, shard = blocks[key], _unpacked(tree.as_py())
+                queries = blocks[key]
                 query, point, score = search_shard(queries, shard, k, queries["floor"])
                 if len(query):
                     yield pa.RecordBatch.from_pydict(
@@ -174,7 +205,7 @@ def _meet(blocks: DataFrame, shards: DataFrame, k: int) -> DataFrame:
             by_width.setdefault(width, []).append(block)
         parts = [(F.col("width") == width) & F.col("block").isin(some) for width, some in by_width.items()]
         some = F.broadcast(blocks.where(reduce(or_, parts, F.lit(False))))
-        met = shards.join(some, "width").select("width", "block", "queries", "tree")
+        met = shards.join(some, "width").select("width", "block", "shard", "queries", "tree")
         found = met.mapInArrow(_search(k), "query long, query_id long, vec_id long, score long")
         out = found if out is None else out.unionByName(found)
     return out
@@ -197,8 +228,10 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     """
     rows = vectors.where("vector is not null and vec_id is not null and size(vector) > 0")
     rows = rows.select("vec_id", "vector", F.size("vector").cast("long").alias("width"))
+    # numbered, so that rows that repeat each other are dealt over the shards
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     packed = rows.groupBy("width", "shard").applyInArrow(_pack_shard, "width long, shard long, tree binary")
     packed = written(packed, "ball_trees")
     asked = queries.where("vector is not null and vec_id is not null and size(vector) > 0")
