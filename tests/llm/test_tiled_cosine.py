@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tollgate.llm import tiled_cosine as tc
 from tests_llm_helpers import least_of_components
@@ -87,3 +88,13 @@ def test_early_stop_loses_no_pair():
     x, y = tc.near_pairs(a, a, 0.9, True)
     true = {(i, j) for i, j in zip(*np.nonzero(np.triu(a @ a.T >= 0.9, 1)))}
     assert true <= set(zip(x.tolist(), y.tolist()))
+
+
+@pytest.mark.parametrize("size", [1e160, 1.0, 1e-170])
+def test_squares_beyond_doubles(spark, size):
+    rows = spark.createDataFrame(
+        [(0, [size, 0.0], 1), (1, [size, size / 100], 1), (2, [0.0, size], 1)],
+        "vec_id long, embedding array<double>, label int",
+    )
+    links = {r.vec_id: (r.n_links, r.component_id) for r in tc.cosine_links(rows).collect()}
+    assert links == {0: (1, 0), 1: (1, 0), 2: (0, 2)}

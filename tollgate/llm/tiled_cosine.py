@@ -116,10 +116,11 @@ def _compare(axes, least: float):
         x, y = near_pairs(points[left], points[right], least, itself)
         x, y = left[x], right[y]
         exact = np.zeros(len(x), bool)
-        norms = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+        scaled = raw / np.abs(raw).max(axis=1, keepdims=True)  # else squares of large or small components overflow
+        norms = np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
         for i in range(0, len(x), 65_536):
             p, q = x[i : i + 65_536], y[i : i + 65_536]
-            exact[i : i + 65_536] = np.einsum("ij,ij->i", raw[p], raw[q]) / (norms[p] * norms[q]) >= least
+            exact[i : i + 65_536] = np.einsum("ij,ij->i", scaled[p], scaled[q]) / (norms[p] * norms[q]) >= least
         x, y = x[exact], y[exact]
         links = np.bincount(x, weight[y], len(names)) + np.bincount(y, weight[x], len(names))
         some = np.flatnonzero(links)
@@ -144,7 +145,13 @@ def _tiles(classes: DataFrame, axes, reach: float) -> tuple[DataFrame, DataFrame
     def leading(vectors):
         import pandas as pd
 
-        return pd.Series([rotated(np.asarray([v], "f8"), shared.value)[0, :BOX_AXES] for v in vectors], dtype=object)
+        widths, out = np.fromiter(map(len, vectors), int, len(vectors)), np.empty(len(vectors), object)
+        for width in np.unique(widths):  # rows of one width are multiplied at once
+            at = np.flatnonzero(widths == width)
+            turned = rotated(np.array(vectors.iloc[at].tolist(), "f8"), shared.value)[:, :BOX_AXES]
+            for i, row in zip(at, turned):
+                out[i] = row
+        return pd.Series(out)
 
     groups = classes.groupBy("label", "width").agg(F.count("*").alias("rows"))
     total = classes.count()
