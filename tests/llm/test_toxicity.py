@@ -93,3 +93,13 @@ def test_features():
     assert found["insult_hits"] == 1 and found["learned_hits"] == 1 and found["learned_weight"] > 0
     assert found["near_second_person"] > 0 and found["exclaimed_rate"] > 0 and found["asked_rate"] > 0
     assert dict(zip(FEATURES, known.features("you m0ron")))["obfuscated_hits"] == 1
+
+
+def test_one_text_per_document_whatever_the_order(spark):
+    from tollgate.llm.toxicity import _sample
+
+    rows = [(i, t) for i in range(40) for t in ("b", None, "a", "c")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+        assert {r.text for r in _sample(docs, labels).collect()} == {"a"}

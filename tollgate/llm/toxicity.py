@@ -140,7 +140,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Held-out rows take no part. Rows are taken by a hash of their id; weights bring the
     classes back to their shares. Of a doc_id with several labels the highest counts, of
-    several texts one.
+    several texts the least, nulls last.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", fold()).where(F.col("fold") != HELD_OUT)
@@ -149,7 +149,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = known.join(F.broadcast(counts), "toxic").where(place < F.col("share"))  # a row per class
     chosen = chosen.select("doc_id", "toxic", "fold", (1.0 / F.col("share")).alias("weight"))
     # bounded by ROWS_PER_CLASS, so it may be sent to the texts
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", "fold", "weight").agg(F.min("text").alias("text"))
     return written(rows, "toxicity_sample")
 
 
