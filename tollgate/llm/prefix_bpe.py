@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollgate.llm.common import map_batches, texts
 
-# Entries of a worker's caches before they are emptied; results do not depend on it.
+# Entries of a worker's caches before they are emptied, and the longest text that goes into
+# them: together they bound their bytes. Results do not depend on them.
 CACHE_ENTRIES = 300_000
+CACHED_LENGTH = 64
 # Libraries differ on whether 0x1C-0x1F are white space; Unicode says they are not.
 SPACE = r"\p{White_Space}"
 
@@ -153,7 +155,9 @@ class PrefixCodec:
         if ids is None:
             if len(self._pieces) > CACHE_ENTRIES:
                 self._pieces.clear()
-            ids = self._pieces[piece] = " ".join(map(str, self.encode_piece(piece.encode())))
+            ids = " ".join(map(str, self.encode_piece(piece.encode())))
+            if len(piece) <= CACHED_LENGTH:
+                self._pieces[piece] = ids
         return ids
 
     def _chunk(self, chunk: str) -> str:
@@ -161,7 +165,9 @@ class PrefixCodec:
         if ids is None:
             if len(self._chunks) > CACHE_ENTRIES:
                 self._chunks.clear()
-            ids = self._chunks[chunk] = " ".join(map(self._piece, self.pattern.findall(chunk)))
+            ids = " ".join(map(self._piece, self.pattern.findall(chunk)))
+            if len(chunk) <= CACHED_LENGTH:
+                self._chunks[chunk] = ids
         return ids
 
     def encode(self, text: str) -> str:

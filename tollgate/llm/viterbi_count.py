@@ -9,6 +9,7 @@ one piece per byte where the vocabulary has all bytes, else one per run.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -18,8 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tollgate.llm.common import map_batches, texts
 
-# Entries of a worker's cache before it is emptied; results do not depend on it.
+# Entries of a worker's cache before it is emptied, and the longest unit that goes into it:
+# together they bound its bytes. Results do not depend on them.
 CACHE_ENTRIES = 1_000_000
+CACHED_LENGTH = 64
 BLANK = "▁"
 # Fixed value: what an unknown character costs below the least score.
 UNKNOWN_PENALTY = 10.0
@@ -54,14 +57,16 @@ class UnigramCounter:
         if text in self.pieces and len(text) == 1:
             return 1
         n = len(text)
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for end, found in self.find.iter(text):
-            ending[end + 1].append(found)
-        score, count, lost = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        # plain numbers, 17 bytes a character, for units of any length
+        score, count, lost = array("d", bytes(8 * n + 8)), array("q", bytes(8 * n + 8)), bytearray(n + 1)
+        matches = self.find.iter(text)  # in order of their ends
+        end_at, found = next(matches, (n, None))
         for end in range(1, n + 1):
             best, at = None, 0
             single = False
-            for size, value in ending[end]:  # longest first
+            while end_at < end:  # longest first
+                size, value = found
+                end_at, found = next(matches, (n, None))
                 total = score[end - size] + value
                 if best is None or total > best:
                     best, at = total, end - size
@@ -100,7 +105,8 @@ class UnigramCounter:
                 found = self.unit(BLANK + first) + len(rest) + sum(self.unit(r) for r in rest if r)
             else:
                 found = self.unit(BLANK + unit)
-            self.known[unit] = found
+            if len(unit) <= CACHED_LENGTH:
+                self.known[unit] = found
         return found
 
 
