@@ -119,6 +119,25 @@ def test_hot_ids_and_large_k(spark):
         NeighbourIndex(train, 3, "manhattan")
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_pivots_spare_most_blocks(spark, metric):
+    """Groups on a sphere, copies and zero vectors: the broadcast answer with few rows sent."""
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(30, 6)), 40, axis=0) + 0.02 * rng.normal(size=(1200, 6))
+    x[rng.permutation(1200)[:60]] = 0.0
+    x[rng.permutation(1200)[:200]] = x[3]
+    x = x[rng.permutation(1200)]
+    rows = (x, np.ones((1200, 1)), np.ones((1200, 1)))
+    train, test = items(spark, *(a[:900] for a in rows)), items(spark, *(a[900:] for a in rows))
+    found = {}
+    for broadcast in (True, False):
+        index = NeighbourIndex(train, 5, metric, broadcast=broadcast, block_rows=50)
+        found[broadcast] = [tuple(r) for r in index.neighbours(test).orderBy("item_id", "rank").collect()]
+    assert len(found[True]) == 1500 and found[True] == found[False]
+    all_blocks = 900 * (300 // 50)
+    assert index.sent["train"] < all_blocks / 2 and index.sent["test"] < 300 * (900 // 50) / 2
+
+
 def test_large_train_side_is_not_broadcast(spark, monkeypatch):
     from tollgate import session
 

@@ -20,6 +20,16 @@ DECIMALS = 12
 # Largest number of distances held at once by a task.
 _MATRIX_CELLS = 4_000_000
 
+# Most pivots of the shuffled search, and pivots per block of train rows.
+PIVOTS = 1_024
+PIVOTS_PER_BLOCK = 8
+
+# Test rows that a task compares with all pivots at once.
+ROUTED_ROWS = 1_024
+
+# What rounding may take from a bound, relative to the lengths involved; only makes cells stay.
+SLACK = 1e-6
+
 # Size of a block in the shuffled search.
 BLOCK_ROWS = 50_000
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -65,9 +75,74 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
 
 
-def _block(row: str, blocks: int) -> Column:
+def _placed(x: np.ndarray, metric: str, side: int) -> np.ndarray:
+    """Points whose straight distances bound the metric: unit vectors for cosine.
+
+    A zero vector is at cosine distance 1 from all others, hence on an axis of its side.
+    """
+    if metric != "cosine":
+        return x
+    x = _unit(x)
+    own = np.zeros((len(x), 2))
+    own[~x.any(axis=1), side] = 1.0
+    return np.hstack([x, own])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _nearest(points: np.ndarray, pivots: np.ndarray) -> pd.DataFrame:
+    """Number and distance of the nearest pivot."""
+    away = _apart(points, pivots)
+    return pd.DataFrame({"cell": away.argmin(axis=1).astype("i4"), "away": away.min(axis=1)})
+
+
+def _in_slices(of, *columns: np.ndarray) -> list:
+    """Results of ``of`` on slices of the rows, which bounds its matrices."""
+    starts = range(0, len(columns[0]), ROUTED_ROWS)
+    return [of(*(c[i : i + ROUTED_ROWS] for c in columns)) for i in starts]
+
+
+class Cells:
+    """Voronoi cells of train rows around pivots: how many rows, and how far they reach."""
+
+    def __init__(self, pivots: np.ndarray, metric: str, count: np.ndarray, reach: np.ndarray):
+        self.metric, self.count, self.reach = metric, count, reach
+        self.pivots = _placed(pivots, metric, 0)
+        self.between = _apart(self.pivots, self.pivots)
+
+    def first(self, x: np.ndarray, k: int) -> list[np.ndarray]:
+        """Per test row the nearest cells that together hold ``k`` train rows."""
+        order = np.argsort(_apart(_placed(x, self.metric, 1), self.pivots), axis=1, kind="stable")
+        upto = (np.cumsum(self.count[order], axis=1) < k).sum(axis=1) + 1
+        return [row[:n][self.count[row[:n]] > 0] for row, n in zip(order, upto)]
+
+    def other(self, x: np.ndarray, k: int, bound: np.ndarray) -> list[np.ndarray]:
+        """Per test row the cells beyond the first that may hold a row within ``bound``.
+
+        A row of a cell is at least as far as the pivot less the cell's reach, and at least
+        as far as the plane between the cell's pivot and the one nearest to the test row.
+        """
+        points = _placed(x, self.metric, 1)
+        away = _apart(points, self.pivots)
+        home = away.argmin(axis=1)
+        least = away - self.reach
+        between = self.between[home]
+        square = away**2 - away.min(axis=1)[:, None] ** 2
+        plane = np.divide(square, 2 * between, out=np.zeros_like(square), where=between > SLACK)
+        scale = 1.0 + np.abs(points).max(axis=1, initial=0.0) + np.abs(self.pivots).max(initial=0.0)
+        limit = np.sqrt(2 * (bound + 1e-11)) if self.metric == "cosine" else bound + 1e-11
+        near = ~(np.maximum(least, plane) > (limit + SLACK * scale)[:, None]) & (self.count > 0)
+        for row, done in zip(near, self.first(x, k)):
+            row[done] = False
+        return [np.flatnonzero(row) for row in near]
+
+
+def _block(row: str, blocks: Column) -> Column:
     # an integer like the exploded block numbers: both sides must hash alike
-    return F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(row), blocks).cast("int")
 
 
 def _check_metric(metric: str) -> None:
@@ -79,9 +154,11 @@ class NeighbourIndex:
     """Train vectors with their outcomes, ready for searches.
 
     A train side whose counted size fits the broadcast limit goes to the workers
-    whole and the test side is not shuffled at all. A larger one is cut into
-    blocks by id; each pair of a test and a train block is one task that hands on
-    k candidates per test row, never the pairs.
+    whole and the test side is not shuffled at all. A larger one is dealt into cells
+    around pivots. Every distinct test vector is searched in the nearest cells that hold
+    k rows; its k-th distance then tells which other cells can matter, by the triangle
+    inequality. Both sides of a cell are cut into blocks of bounded size, each pair of
+    which hands on k candidates per test vector. ``sent`` counts the rows that went to blocks.
     """
 
     def __init__(
@@ -114,6 +191,9 @@ class NeighbourIndex:
         fits = fits_broadcast(self.rows, row_bytes)
         self.broadcast = fits if broadcast is None else broadcast
         self._shared = None
+        self._cells = None
+        self.width = size[1]
+        self.sent = {"train": 0, "test": 0}
 
     def _side(self):
         if self._shared is None:
@@ -129,7 +209,8 @@ class NeighbourIndex:
     def neighbours(self, test: DataFrame) -> DataFrame:
         """``(item_id, rank, train_id, distance)``, nearest first."""
         if not self.broadcast:
-            return self._candidates(test)[1].select("item_id", "rank", "train_id", "distance")
+            rows, best = self._candidates(test)
+            return rows.select("item_id", "_q").join(best, "_q").select("item_id", "rank", "train_id", "distance")
         side, k, metric = self._side(), self.k, self.metric
 
         @F.pandas_udf("struct<train_id:array<bigint>,distance:array<double>>")
@@ -184,64 +265,106 @@ class NeighbourIndex:
             .drop("_means")
         )
 
-    def _candidates(self, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-        # the row id is written with the row, hence the same in every later pass
-        rows = written(test.withColumn("_row", F.monotonically_increasing_id()), "knn-test")
-        test_blocks = max(1, math.ceil(rows.count() / self.block_rows))
-        train_blocks = max(1, math.ceil(self.rows / self.block_rows))
-        left = rows.select(
-            "_row",
-            "item_id",
-            F.col("x").cast("array<double>").alias("x"),
-            _block("_row", test_blocks).alias("test_block"),
-            F.explode(F.sequence(F.lit(0), F.lit(train_blocks - 1))).alias("train_block"),
-        )
-        # salted by the whole row: copies of one id must not fill one block
-        right = written(
-            self.train.withColumn("_row", F.monotonically_increasing_id()), "knn-train-rows"
-        ).select(
-            "train_id",
-            "x",
-            "perf",
-            "cost",
-            _block("_row", train_blocks).alias("train_block"),
-            F.explode(F.sequence(F.lit(0), F.lit(test_blocks - 1))).alias("test_block"),
+    def _pivots(self) -> np.ndarray:
+        """Distinct train vectors, the first by a hash among a sample by the same hash."""
+        wanted = min(PIVOTS, PIVOTS_PER_BLOCK * math.ceil(self.rows / self.block_rows), BLOCK_BYTES // (8 * self.width + 8))
+        space = 1 << 40
+        share = math.ceil(space * min(1.0, 16 * wanted / self.rows))
+        keyed = self.train.select("x", F.xxhash64("x").alias("key"))
+        some = keyed.where(F.pmod("key", F.lit(space)) < share).groupBy("key").agg(F.first("x").alias("x"))
+        rows = some.orderBy("key").limit(max(1, wanted)).collect() or self.train.select("x").limit(1).collect()
+        return np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), -1)
+
+    def _by_cell(self) -> tuple[DataFrame, Cells]:
+        """Train rows with their cell, and the cells."""
+        if self._cells is None:
+            pivots, metric = self._pivots(), self.metric
+            shared = self.train.sparkSession.sparkContext.broadcast(_placed(pivots, metric, 0))
+
+            @F.pandas_udf("struct<cell:int,away:double>")
+            def nearest(x: pd.Series) -> pd.DataFrame:
+                parts = _in_slices(lambda some: _nearest(_placed(some, metric, 0), shared.value), _matrix(x))
+                return pd.concat(parts) if parts else pd.DataFrame({"cell": [], "away": []})
+
+            rows = self.train.withColumn("_row", F.monotonically_increasing_id())
+            rows = rows.withColumn("at", once(nearest)("x")).select("*", "at.cell", "at.away").drop("at")
+            rows = written(rows, "knn-train-cells")
+            count, reach = np.zeros(len(pivots), int), np.zeros(len(pivots))
+            sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach"))
+            for row in sizes.collect():  # one row per pivot
+                count[row["cell"]], reach[row["cell"]] = row["n"], row["reach"]
+            self._cells = rows, Cells(pivots, metric, count, reach)
+        return self._cells
+
+    def _found(self, routed: DataFrame) -> DataFrame:
+        """``k`` candidates of every cell for ``routed(_q, x, cell)``, block by block."""
+        rows, cells = self._by_cell()
+        k, metric, size = self.k, self.metric, self.block_rows
+        asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}  # one row per pivot
+        blocks = [(c, math.ceil(n / size), math.ceil(int(cells.count[c]) / size)) for c, n in asked.items()]
+        self.sent["test"] += sum(asked[c] * train for c, _, train in blocks)
+        self.sent["train"] += sum(int(cells.count[c]) * test for c, test, _ in blocks)
+        table = routed.sparkSession.createDataFrame(blocks, "cell int, test_blocks int, train_blocks int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = routed.join(F.broadcast(table), "cell").select(
+            "_q", "x", "cell", _block("_q", F.col("test_blocks")).alias("test_block"), every("train_blocks").alias("train_block")
         )
-        k, metric = self.k, self.metric
+        # salted by the row: copies must not fill one block
+        right = rows.join(F.broadcast(table), "cell").select(
+            "train_id", "_row", "x", "cell",
+            _block("_row", F.col("train_blocks")).alias("train_block"), every("test_blocks").alias("test_block"),
+        )
 
         def search(test_pdf: pd.DataFrame, train_pdf: pd.DataFrame) -> pd.DataFrame:
-            columns = ["_row", "item_id", "train_id", "distance", "perf", "cost"]
             if test_pdf.empty or train_pdf.empty:
-                return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
-            train_pdf = train_pdf.sort_values("train_id", kind="stable")
+                return pd.DataFrame({c: pd.Series(dtype=object) for c in ("_q", "_row", "train_id", "distance")})
+            train_pdf = train_pdf.sort_values(["train_id", "_row"], kind="stable")
             found = list(top_k(_matrix(test_pdf["x"]), _matrix(train_pdf["x"]), k, metric))
             near = np.vstack([n for n, _ in found])
-            dist = np.vstack([d for _, d in found])
-            picked = train_pdf.iloc[near.ravel()]
             return pd.DataFrame(
                 {
-                    "_row": np.repeat(test_pdf["_row"].to_numpy(), near.shape[1]),
-                    "item_id": np.repeat(test_pdf["item_id"].to_numpy(), near.shape[1]),
-                    "train_id": picked["train_id"].to_numpy(),
-                    "distance": dist.ravel(),
-                    "perf": picked["perf"].to_numpy(),
-                    "cost": picked["cost"].to_numpy(),
+                    "_q": np.repeat(test_pdf["_q"].to_numpy(), near.shape[1]),
+                    "_row": train_pdf["_row"].to_numpy()[near.ravel()],
+                    "train_id": train_pdf["train_id"].to_numpy()[near.ravel()],
+                    "distance": np.vstack([d for _, d in found]).ravel(),
                 }
             )
 
-        keys = ["test_block", "train_block"]
-        found = (
-            left.groupBy(*keys)
-            .cogroup(right.groupBy(*keys))
-            .applyInPandas(
-                search,
-                "_row bigint, item_id bigint, train_id bigint, distance double, "
-                "perf array<double>, cost array<double>",
-            )
-        )
-        order = Window.partitionBy("_row").orderBy("distance", "train_id")
-        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        return rows, best
+        keys = ["cell", "test_block", "train_block"]
+        grouped = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+        return grouped.applyInPandas(search, "_q bigint, _row bigint, train_id bigint, distance double")
+
+    def _candidates(self, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Test rows with the number ``_q`` of their vector, and the k nearest of every number."""
+        _, cells = self._by_cell()
+        shared, k = test.sparkSession.sparkContext.broadcast(cells), self.k
+        rows = test.withColumn("_x", F.col("x").cast("array<double>"))
+        # copies of a vector share their neighbours; the number is written, hence the same in every pass
+        asked = written(rows.groupBy("_x").agg(F.lit(1)).select("_x").withColumn("_q", F.monotonically_increasing_id()), "knn-asked")
+        rows = written(rows.join(asked, "_x").drop("_x"), "knn-test")
+        asked = asked.withColumnRenamed("_x", "x")
+
+        @F.pandas_udf("array<int>")
+        def first(x: pd.Series) -> pd.Series:
+            parts = _in_slices(lambda some: shared.value.first(some, k), _matrix(x))
+            return pd.Series([row for part in parts for row in part], dtype=object)
+
+        @F.pandas_udf("array<int>")
+        def other(x: pd.Series, bound: pd.Series) -> pd.Series:
+            parts = _in_slices(lambda some, b: shared.value.other(some, k, b), _matrix(x), bound.to_numpy(float))
+            return pd.Series([row for part in parts for row in part], dtype=object)
+
+        order = Window.partitionBy("_q").orderBy("distance", "train_id", "_row")
+
+        def best(found: DataFrame) -> DataFrame:
+            return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+        routed = written(asked.select("_q", "x", F.explode(once(first)("x")).alias("cell")), "knn-first")
+        begun = written(best(self._found(routed)), "knn-begun")
+        bounds = begun.where(F.col("rank") == k).select("_q", F.col("distance").alias("bound"))
+        more = asked.join(bounds, "_q").select("_q", "x", F.explode(once(other)("x", "bound")).alias("cell"))
+        more = self._found(written(more, "knn-more"))
+        return rows, written(best(begun.drop("rank").unionByName(more)), "knn-nearest")
 
     def _predict_blocks(self, test: DataFrame) -> DataFrame:
         rows, best = self._candidates(test)
@@ -250,8 +373,9 @@ class NeighbourIndex:
             value = F.get(name, F.lit(j))
             return F.avg(F.when(~F.isnan(value), value))
 
-        means = best.groupBy("_row").agg(
+        outcomes = self._by_cell()[0].select("_row", "perf", "cost")
+        means = best.join(outcomes, "_row").groupBy("_q").agg(
             F.array(*[mean("perf", j) for j in range(self.models)]).alias("perf_pred"),
             F.array(*[mean("cost", j) for j in range(self.models)]).alias("cost_pred"),
         )
-        return rows.join(means, "_row").drop("_row")
+        return rows.join(means, "_q").drop("_q")
