@@ -3,11 +3,12 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from tollgate.llm.prefix_bpe import PrefixCodec, encode_documents, read_ranks
+from tollgate.llm.prefix_bpe import PrefixCodec, encode_documents, read_ranks, unit_starts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -66,3 +67,23 @@ def test_odd_rows(odd_docs, odd_texts, library):
 
 def test_no_rows(no_docs):
     assert encode_documents(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_units_are_cut_only_behind_other_characters():
+    draw = random.Random(3)
+    signs = ["a", "é", "語", "’", " ", "\n", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2029", "\u202f", "\u3000"]
+    blank = set(" \n\x85\xa0\u1680\u2003\u2029\u202f\u3000")
+    for _ in range(500):
+        text = "".join(draw.choice(signs) for _ in range(draw.randrange(40)))
+        expected = [
+            len(text[:i].encode()) for i in range(1, len(text)) if text[i] in " \n" and text[i - 1] not in blank
+        ]
+        assert unit_starts(np.frombuffer(text.encode(), "u1")).tolist() == expected
+
+
+def test_texts_share_a_buffer(codec, library):
+    some = ["", "a b", "", " the  end\n", "x" * 200 + " y", "語　 語"]
+    data = "".join(some).encode()
+    offsets = np.cumsum([0] + [len(x.encode()) for x in some])
+    found, begin = codec.encode_texts(np.frombuffer(data, "u1"), offsets)
+    assert [found[a:b].tolist() for a, b in zip(begin, begin[1:])] == [ids(library, x) for x in some]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -20,7 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollgate.llm.common import map_batches, texts
+from tollgate.llm.common import map_batches
+from tollgate.llm.shingles import chunks, text_buffer
 
 # Entries of a worker's caches before they are emptied, and the longest text that goes into
 # them: together they bound their bytes. Results do not depend on them.
@@ -28,6 +30,12 @@ CACHE_ENTRIES = 300_000
 CACHED_LENGTH = 64
 # Libraries differ on whether 0x1C-0x1F are white space; Unicode says they are not.
 SPACE = r"\p{White_Space}"
+# The code points of that property, those within ASCII and the others in UTF-8.
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_WIDE_BLANKS = np.asarray([
+    int.from_bytes(chr(c).encode())
+    for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+])
 
 
 def read_ranks(path: str) -> tuple[bytes, ...]:
@@ -46,10 +54,9 @@ class PrefixCodec:
     def __init__(self, tokens: tuple[bytes, ...], pattern: str):
         self.tokens = tokens
         self.rank = {token: i for i, token in enumerate(tokens)}
-        self.by_decimal = {str(i): token for i, token in enumerate(tokens)}
         self.parts: list[tuple[int, int]] = []
         self.merged: dict[tuple[int, int], int] = {}
-        self.valid: dict[tuple[int, int], bool] = {}
+        self.valid: dict[int, bool] = {}  # by left token * number of tokens + right token
         self.longest = max(map(len, tokens))
         self.find = ahocorasick.Automaton()
         for i, token in enumerate(tokens):
@@ -59,9 +66,10 @@ class PrefixCodec:
         self.valid.clear()  # filled while later merges were unknown
         inside = pattern.replace(r"[^\s", f"[^{SPACE}")
         self.pattern = regex.compile(inside.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-        self.adjacent = regex.compile(rf" [{SPACE}]|[{SPACE}] ")
-        self._pieces: dict[str, str] = {}
-        self._chunks: dict[str, str] = {}
+        self.words = pa.array(tokens, pa.large_binary())
+        self.digits = pa.array([f"{i} ".encode() for i in range(len(tokens))], pa.large_binary())
+        self._pieces: dict[str, bytes] = {}
+        self._units: dict[bytes, bytes] = {}
 
     def _parts(self, i: int, token: bytes) -> tuple[int, int]:
         """The two tokens whose merge makes ``token``; itself twice for a byte."""
@@ -94,18 +102,16 @@ class PrefixCodec:
                 # undoing b on the right: the leftmost of equal merges goes first
                 limit, b = b + 1, second
 
-    def _apart(self, pair: tuple[int, int]) -> bool:
-        known = self.valid.get(pair)
-        if known is None:
-            if len(self.valid) > CACHE_ENTRIES:
-                self.valid.clear()
-            known = self.valid[pair] = self._stay_apart(*pair)
-        return known
+    def _learn(self, a: int, b: int) -> bool:
+        if len(self.valid) > CACHE_ENTRIES:
+            self.valid.clear()
+        apart = self.valid[a * len(self.tokens) + b] = self._stay_apart(a, b)
+        return apart
 
     def state(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """Last token of every prefix of ``data``; goes on from ``last`` if given."""
         last = list(last or ())
-        done, apart = len(last), self._apart
+        done, known, tokens = len(last), self.valid.get, len(self.tokens)
         start = max(0, done - self.longest)
         last += [-1] * (len(data) - done)
         for end, (token, size) in self.find.iter(data[start:].decode("latin-1")):
@@ -113,8 +119,12 @@ class PrefixCodec:
             if end < done or last[end] >= 0:
                 continue
             before = end - size
-            if before < 0 or (last[before] >= 0 and apart((last[before], token))):
-                last[end] = token
+            if before >= 0:
+                left = last[before]
+                apart = known(left * tokens + token)
+                if left < 0 or not (self._learn(left, token) if apart is None else apart):
+                    continue
+            last[end] = token
         return last
 
     def edited(self, data: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
@@ -150,40 +160,90 @@ class PrefixCodec:
         known = self.rank.get(data)
         return [known] if known is not None else self.read_off(self.state(data))
 
-    def _piece(self, piece: str) -> str:
-        ids = self._pieces.get(piece)
+    def _unit(self, unit: bytes) -> bytes:
+        """Ids of a stretch of text as packed 32-bit numbers, remembered if it is short."""
+        ids = self._units.get(unit)
         if ids is None:
-            if len(self._pieces) > CACHE_ENTRIES:
-                self._pieces.clear()
-            ids = " ".join(map(str, self.encode_piece(piece.encode())))
-            if len(piece) <= CACHED_LENGTH:
-                self._pieces[piece] = ids
+            ids = b"".join(map(self._piece, self.pattern.findall(unit.decode())))
+            if len(unit) <= CACHED_LENGTH:
+                if len(self._units) > CACHE_ENTRIES:
+                    self._units.clear()
+                self._units[unit] = ids
         return ids
 
-    def _chunk(self, chunk: str) -> str:
-        ids = self._chunks.get(chunk)
+    def _piece(self, piece: str) -> bytes:
+        ids = self._pieces.get(piece)
         if ids is None:
-            if len(self._chunks) > CACHE_ENTRIES:
-                self._chunks.clear()
-            ids = " ".join(map(self._piece, self.pattern.findall(chunk)))
-            if len(chunk) <= CACHED_LENGTH:
-                self._chunks[chunk] = ids
+            ids = array("i", self.encode_piece(piece.encode())).tobytes()
+            if len(piece) <= CACHED_LENGTH:
+                if len(self._pieces) > CACHE_ENTRIES:
+                    self._pieces.clear()
+                self._pieces[piece] = ids
         return ids
 
-    def encode(self, text: str) -> str:
-        """Ids of a whole text in decimal, joined by single spaces.
+    def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that ``offsets`` cut out of UTF-8 ``data``, and where each begins.
 
-        A blank between two other characters always begins a match of the pattern,
-        so such texts are cut there and the chunks remembered; others go whole.
+        A run of white space behind another character always begins a match of the
+        pattern, whose look-ahead never sees past the character that ends the run. So
+        texts are cut there, every distinct unit is encoded once, and the units' ids
+        are put in the place of the units. Texts without white space go whole.
         """
-        if self.adjacent.search(text):
-            return " ".join(map(self._piece, self.pattern.findall(text)))
-        first, *rest = text.split(" ")
-        head = [self._chunk(first)] if first else []
-        return " ".join([*head, *[self._chunk(" " + word) for word in rest]])
+        first = np.zeros(len(data), bool)
+        first[unit_starts(data)] = True
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(first)
+        bounds = pa.py_buffer(np.append(starts, len(data)).astype("i8"))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)])
+        coded = units.dictionary_encode()
+        packed = [self._unit(unit) for unit in coded.dictionary.to_pylist()]
+        ids = np.frombuffer(b"".join(packed), "i4")
+        sizes = np.asarray([len(p) // 4 for p in packed], "i8")
+        unit = coded.indices.to_numpy()
+        begin = np.concatenate([[0], np.cumsum(sizes[unit])]).astype("i8")
+        from_ = (np.cumsum(sizes) - sizes)[unit] if len(unit) else np.zeros(0, "i8")
+        at = np.repeat(from_ - begin[:-1], sizes[unit]) + np.arange(begin[-1])
+        return ids[at], begin[np.searchsorted(starts, offsets)]
+
+    def encode(self, text: str) -> str:
+        """Ids of a whole text in decimal, joined by single spaces."""
+        data = np.frombuffer(text.encode(), "u1")
+        return " ".join(map(str, self.encode_texts(data, np.asarray([0, len(data)]))[0]))
 
     def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.by_decimal.__getitem__, ids.split(" "))) if ids else b""
+        return self.spelled(np.fromstring(ids, "i4", sep=" "))[0].tobytes() if ids else b""
+
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, end to end, and where each id's begin."""
+        return _laid_out(self.words, ids)
+
+    def decimals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The decimal digits of ids, a blank behind each, and where each id's begin."""
+        return _laid_out(self.digits, ids)
+
+
+def _laid_out(table: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    taken = table.take(pa.array(at))
+    _, offsets, data = taken.buffers()
+    if data is None or not len(taken):
+        return np.zeros(0, "u1"), np.zeros(1, "i8")
+    return np.frombuffer(data, "u1"), np.frombuffer(offsets, "i8")[: len(taken) + 1]
+
+
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Places of ASCII white space behind a character that is none, in UTF-8 bytes.
+
+    What lies before ``data`` does not count: its first byte begins no unit here.
+    """
+    blank = _BLANK[data]
+    at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    wide = at[data[at - 1] >= 0x80]
+    if not len(wide):
+        return at
+    # the character before has several bytes: is it one of the wide kinds of white space?
+    before = lambda n: data[np.maximum(wide - n, 0)].astype("u4")
+    two, three = before(2) << 8 | before(1), before(3) << 16 | before(2) << 8 | before(1)
+    return np.setdiff1d(at, wide[np.isin(two, _WIDE_BLANKS) | np.isin(three, _WIDE_BLANKS)], assume_unique=True)
 
 
 @lru_cache(maxsize=2)
@@ -191,10 +251,20 @@ def _codec(tokens: tuple[bytes, ...], pattern: str) -> PrefixCodec:
     return PrefixCodec(tokens, pattern)
 
 
-def _digest(data: bytes) -> str:
+def _digest(data: np.ndarray) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def _encoded(codec: PrefixCodec, data: np.ndarray, offsets: np.ndarray, keep_ids: bool):
+    """Numbers of ids, both digests and, if asked for, the ids of some texts."""
+    ids, begin = codec.encode_texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+    of_ids, of_bytes = [], []
+    for digests, (letters, at), left in ((of_ids, codec.decimals(ids), 1), (of_bytes, codec.spelled(ids), 0)):
+        for a, b in zip(at[begin[:-1]], at[begin[1:]]):
+            digests.append(_digest(letters[a : max(a, b - left)]))
+    return np.diff(begin), of_ids, of_bytes, ids if keep_ids else None
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and decode the ids again, one row per row.
 
@@ -210,17 +280,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 
     def encode(batch: pa.RecordBatch) -> dict:
         codec = _codec(shared.value, pattern)
-        ids = [codec.encode(text) for text in texts(batch)]
+        data, offsets = text_buffer(batch.column("text"))
+        parts = [_encoded(codec, data, offsets[a : b + 1], keep_ids) for a, b in chunks(offsets)]
+        n, of_ids, of_bytes, ids = zip(*parts)
         out = {
             "doc_id": batch.column("doc_id"),
-            "n_tokens": pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
-            "ids_sha256": [_digest(x.encode()) for x in ids],
-            "decoded_sha256": [_digest(codec.decode(x)) for x in ids],
+            "n_tokens": np.concatenate(n),
+            "ids_sha256": [x for part in of_ids for x in part],
+            "decoded_sha256": [x for part in of_bytes for x in part],
         }
         if keep_ids:
-            parts = [np.fromstring(x, "i4", sep=" ") for x in ids]
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("i4")
-            out["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+            bounds = np.concatenate([[0], np.cumsum(out["n_tokens"])]).astype("i4")
+            out["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
