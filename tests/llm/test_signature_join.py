@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tollgate.llm import signature_join as sj
@@ -136,3 +138,22 @@ def test_components(spark, shape):
     nodes = {n for a, b in edges if a != b for n in (a, b)}
     assert {r.node: r.root for r in found} == least_of_components(nodes, [e for e in edges if e[0] != e[1]])
     assert len(found) == len(nodes)
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 64, 5000])
+def test_shared_counts_of_chunks_in_any_number_of_buckets(buckets):
+    draw = np.random.default_rng(1)
+    pool = draw.integers(0, 1 << 63, 4000).astype("u8")
+    parts = [[np.unique(draw.choice(pool, 60)) for _ in range(100)] for _ in range(6)]
+    packets = pa.Table.from_batches([batch for sets in parts for batch in sj._packets(sets, buckets)])
+    bucket = np.asarray(packets["bucket"])
+    found, entries = Counter(), []
+    for number in np.unique(bucket):
+        here = packets.filter(pa.array(bucket == number))
+        names, counts, _, _ = sj._shared_in_bucket(here)
+        found.update(dict(zip(names.tolist(), counts.tolist())))
+        entries.append(sum(map(len, here["classes"].to_pylist())) // 8)
+    everywhere = [s.tolist() for sets in parts for s in sets]
+    holders = Counter(x for s in everywhere for x in s)
+    assert sorted(found.values()) == sorted(sum(holders[x] > 1 for x in s) for s in everywhere)
+    assert max(entries) <= 4 * np.mean(entries) + 20

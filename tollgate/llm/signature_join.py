@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tollgate.llm.common import components, forest, map_batches, row_key
-from tollgate.llm.shingles import chunks, set_digests, shingle_sets, text_buffer
+from tollgate.llm.shingles import chunks, mix, set_digests, shingle_sets, text_buffer
 from tollgate.llm.signature_tree import links
 from tollgate.session import shuffle_partitions, small_side, written
 
@@ -118,21 +118,25 @@ def _packets(sets: list[np.ndarray], buckets: int):
     hashes = flat[starts]
     who = np.where(lengths > 1, _SHARED | lengths.astype("u4"), owner[starts])
     rows = {"bucket": [], "classes": [], "own": [], "who": [], "hashes": []}
-    for n, (bucket, at) in enumerate(_by_bucket(_bucket(hashes, buckets))):
-        w = who[at]
+
+    def add(bucket: int, classes, counts, who, hashes) -> None:
+        values = (bucket, classes.astype("i8").tobytes(), counts.astype("u4").tobytes(), who.tobytes(), hashes.tobytes())
+        for column, value in zip(rows, values):
+            rows[column].append(value)
+
+    for bucket, at in _by_bucket(_bucket(hashes, buckets)):
+        w = who[at].astype("u4")
         alone = (w & _SHARED) == 0
-        if n:
-            mine, place = np.unique(w[alone], return_inverse=True)
-            w = w.copy()
-            w[alone] = place
-            local, counts = names[mine], np.zeros(len(mine), "u4")
-        else:  # the chunk's own counts travel with its first packet
-            local, counts = names, own
-        rows["bucket"].append(bucket)
-        rows["classes"].append(local.astype("i8").tobytes())
-        rows["own"].append(counts.tobytes())
-        rows["who"].append(w.astype("u4").tobytes())
-        rows["hashes"].append((hashes[at] & np.uint64(0xFFFFFFFF)).astype("u4").tobytes())
+        mine, w[alone] = np.unique(w[alone], return_inverse=True)
+        add(bucket, names[mine], np.zeros(len(mine)), w, (hashes[at] & np.uint64(0xFFFFFFFF)).astype("u4"))
+    # the chunk's own counts go to buckets picked by class, so that none gets those of all chunks
+    counted = np.flatnonzero(own)
+    target = _bucket(mix(names[counted].astype("i8").view("u8")), buckets)
+    order = np.argsort(target, kind="stable")
+    none = np.zeros(0, "u4")
+    for bucket, at in _by_bucket(target[order]):
+        mine = counted[order[at]]
+        add(bucket, names[mine], own[mine], none, none)
     yield pa.RecordBatch.from_pydict(rows)
 
 
@@ -413,8 +417,10 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
     found = island_links(sets, written(islands(sets, _frequent(frequent), buckets, similarity), "island_of"), similarity)
     joined = components(found, "document_links").select(F.col("node").alias("class"), "root")
     named = classes.join(joined, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(named.join(least, "root").select("class", "check", "n", "root", "component_id"), "class_components")
+    # both sides written: a root of very many classes is broadcast to or split, not one task's
+    named = written(named, "named_classes")
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least_documents")
+    of = written(named.join(small_side(least, least.count(), 16), "root").select("class", "check", "n", "root", "component_id"), "class_components")
     return digests.join(of, ["class", "check", "n"], "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
