@@ -90,6 +90,25 @@ def test_buckets_and_rows_are_pruned():
     ns.search_bucket(short, packed, roots, best)
 
 
+def test_parts_that_follow_each_other_in_a_batch(spark):
+    """Long vectors behind the short ones of another part are searched all the same."""
+    queries = ns.PackedQueries([1], {}, [np.array([0])], [np.array([1])], np.array([400]))
+    parts = [(i, 20.0 * x, [0], [x]) for i, x in enumerate([9, 8, 7, 100, 90, 3])]
+    rows = spark.createDataFrame(parts, "doc_id long, norm double, terms array<int>, impacts array<int>").coalesce(1)
+    found = ns.search(rows, queries, np.array([400 * 50]), 2).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 3, 40_000), (1, 4, 36_000)]
+
+
+def test_length_of_a_short_vector_behind_long_ones(spark):
+    """Lengths bound from above whatever lies before them in the batch."""
+    rows = [(i, 1, [0], [10**6]) for i in range(500)] + [(900 + i, 10**11, [1], [1]) for i in range(5)]
+    vectors = spark.createDataFrame(rows, "doc_id long, n long, terms array<int>, tfs array<int>").coalesce(1)
+    weights = np.array([9_000, 1], "i8")
+    out = ns.impact_vectors(vectors, 505, 10**8, weights).collect()
+    for r in out:
+        assert r.norm**2 >= sum(int(weights[t]) * x * x for t, x in zip(r.terms, r.impacts))
+
+
 def test_empty_tables(spark, no_docs):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert ns.ranked_documents(no_docs, items).count() == 0

@@ -160,11 +160,12 @@ def impact_vectors(vectors: DataFrame, n_docs: int, length: int, weights: np.nda
         ends = ends - ends[0]
         m = np.array([75 + 25 * n * n_docs // length for n in batch.column("n").to_pylist()], "i8")
         impact = 1_000_000_000 * tf // (1000 * tf + 12 * np.repeat(m, np.diff(ends)))
-        squares = np.concatenate([[0.0], np.cumsum(weight[terms] * impact.astype("f8") ** 2)])
+        # each row on its own: a short vector must not lose its digits to the long ones before it
+        squares = np.add.reduceat(weight[terms] * impact.astype("f8") ** 2, ends[:-1])
         return {
             "doc_id": batch.column("doc_id"),
             # sums of a few million squares: the slack covers their rounding
-            "norm": np.sqrt(np.maximum(squares[ends[1:]] - squares[ends[:-1]], 0.0)) * (1 + 1e-7) + 1e-3,
+            "norm": np.sqrt(squares) * (1 + 1e-7) + 1e-3,
             "terms": pa.ListArray.from_arrays(pa.array(ends, "i4"), pa.array(terms, "i4")),
             "impacts": pa.ListArray.from_arrays(pa.array(ends, "i4"), pa.array(impact, "i4")),
         }
@@ -236,7 +237,10 @@ def search_bucket(bucket: Bucket, queries: PackedQueries, roots: np.ndarray, bes
 
 
 def search(vectors: DataFrame, queries: PackedQueries, floor: np.ndarray, k: int) -> DataFrame:
-    """``(item_id, doc_id, score)``: the k best of every task that reach ``floor``."""
+    """``(item_id, doc_id, score)``: the k best of every task that reach ``floor``.
+
+    The vectors may come in any order; longest first lets whole buckets go.
+    """
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(pickle.dumps((queries, floor)))
 
@@ -246,6 +250,8 @@ def search(vectors: DataFrame, queries: PackedQueries, floor: np.ndarray, k: int
         roots = np.sqrt(packed.weights.astype("f8"))
         best = Best(len(packed.items), k, least)
         for batch in batches:
+            # a batch may run over several parts, of which each is sorted by itself
+            batch = batch.take(np.argsort(-batch.column("norm").to_numpy(), kind="stable"))
             missing = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             ids = np.column_stack([batch.column("doc_id").fill_null(NO_ID).to_numpy(), missing]).astype("i8")
             norms = batch.column("norm").to_numpy()
