@@ -111,6 +111,38 @@ def test_policies_on_sparse_rows_and_wide_arrays(spark, monkeypatch):
                 assert all(got[i] == pytest.approx(expected[i], abs=1e-6) for i in expected)
 
 
+def test_chunks_with_frequent_and_rare_columns():
+    """Frequent columns are multiplied as a dense matrix, the others entry by entry; both ways add up."""
+    x, _ = matrix(80, 120, 9)
+    x[:, 40:] *= np.random.default_rng(1).random((80, 80)) < 0.1
+    rows, indices = np.nonzero(x)
+    ends = np.searchsorted(rows, np.arange(81))
+    chunk = sparse._Chunk(ends, indices, x[rows, indices])
+    assert 0 < len(chunk.often) < 120 and len(chunk.indices)
+    chunk = sparse._Chunk.restored(dict(vars(chunk)))
+    v, p, out = np.random.default_rng(2).standard_normal((120, 3)), np.ones((80, 2)), np.zeros((120, 2))
+    chunk.add_back(p, out)
+    assert np.allclose(chunk.times(v), x @ v) and np.allclose(out, x.T @ p)
+
+
+def test_projection_is_kept_up_to_date():
+    a = np.random.default_rng(3).standard_normal((30, 30))
+    a = a @ a.T
+    space = sparse.GramSpace(lambda v: a @ v, 30)
+    for seed in range(3):
+        assert space.grow(np.random.default_rng(seed).standard_normal((30, 4)))
+        assert np.allclose(space.h, space.v.T @ a @ space.v)
+    space.keep(np.linalg.qr(np.random.default_rng(9).standard_normal((12, 5)))[0])
+    assert np.allclose(space.projected(), space.v.T @ a @ space.v)
+
+
+def test_given_targets_are_not_mended(spark):
+    x, y = matrix(20, 10, 10)
+    df, _ = frame(spark, x, y)
+    sums = WideRows.of(df, sparse.F.array(sparse.F.lit(float("nan")))).sums()[3]
+    assert np.isnan(sums).any()
+
+
 def test_no_rows(spark):
     with pytest.raises(ValueError, match="no train rows"):
         WideRows.of(spark.createDataFrame([], SCHEMA))
