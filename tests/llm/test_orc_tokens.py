@@ -55,6 +55,24 @@ def test_emptied_cache(library, monkeypatch):
         assert encoded(cache, batch, [1]) == [ids(library, t) for t in batch]
 
 
+def test_few_encodings_are_held_at_once(library, monkeypatch):
+    monkeypatch.setattr(orc_tokens, "JOINED", 2)
+    cache, asked = WordCache(library.to_str()), []
+
+    class Watched:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(len(texts))
+            return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    cache.tokenizer = Watched()
+    texts = [" ".join(f"{i}x{i * 7}" for i in range(at, at + 60)) for at in (0, 60)]
+    assert encoded(cache, texts, [1]) == [ids(library, t) for t in texts]
+    assert len(asked) > 1 and max(asked) <= 16
+
+
 @pytest.mark.parametrize("without", ["normalizer", "added_tokens", "pre_tokenizer"])
 def test_tokenizers_with_other_rules(library, without):
     """What the usual rules do not hold for is given to the tokenizer as it stands, or refused."""

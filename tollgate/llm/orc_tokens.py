@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Encoding, Tokenizer
 
 from tollgate.llm.common import map_batches
 
@@ -28,9 +28,11 @@ CACHE_IDS = 6_000_000
 CACHED_LENGTH = 64
 # Texts and bytes that are encoded at once.
 BATCH_TEXTS = 4_000
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 3_000_000
 # Words that are given to the tokenizer as one text.
 JOINED = 256
+# Texts of joined words whose encodings are held at once.
+AT_ONCE = 16
 STRIPE_BYTES = 16 * 1024 * 1024
 # Rows of a row group, the unit that row indexes and Bloom filters prune.
 INDEX_ROWS = 1_000
@@ -105,14 +107,19 @@ class WordCache:
         self.starts = np.zeros(1 << 14, "i8")
         self.again = np.zeros(1 << 14, bool)  # words met in a later batch
 
+    def _encodings(self, texts: list[str]) -> Iterator[Encoding]:
+        """Encodings hold far more than ids: only some texts' are kept at a time."""
+        for at in range(0, len(texts), AT_ONCE):
+            yield from self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)
+
     def _tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
         if self.mark is None:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            found = [e.ids for e in self._encodings(words)]
             return np.fromiter(chain.from_iterable(found), "<u4"), np.array([len(x) for x in found], "i8")
         texts = [self.joint.join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
         ids, sizes = [], []
-        for done in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+        for done in self._encodings(texts):
             found = np.array(done.ids, "<u4")
             marks = np.flatnonzero(found == self.mark)
             ids.append(np.delete(found, marks))
@@ -209,9 +216,13 @@ class WordCache:
         pool, start, size = np.append(pool, np.array(end, "<u4")), np.append(start, len(pool)), np.append(size, len(end))
         ends = lists.offsets.to_numpy()
         each = np.insert(words.indices.to_numpy(), ends[1:], len(names))
-        lengths = size[each]
-        upto = np.concatenate([[0], np.cumsum(lengths)])[ends + np.arange(len(ends))]
-        return _gathered(pool, start[each], lengths), np.diff(upto)
+        del lists, words
+        # a batch's ids are few enough for narrow numbers, of which there are several per word
+        narrow = "i4" if len(pool) < 1 << 31 else "i8"
+        lengths = size.astype(narrow)[each]
+        upto = np.cumsum(lengths, dtype="i8")
+        upto = np.concatenate([[0], upto])[ends + np.arange(len(ends))]
+        return _gathered(pool, start.astype(narrow)[each], lengths), np.diff(upto)
 
 
 @lru_cache(maxsize=2)
