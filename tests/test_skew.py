@@ -52,3 +52,26 @@ def folder(tmp_path_factory):
 def test_query(spark, folder, name):
     rows, found = differences(spark, folder, name)
     assert rows > 0 and not found
+
+
+def test_straight_distances_by_bounds_are_those_of_all_pairs(monkeypatch):
+    """Copies, near copies, far and equal rows: the product rules out rows, the distances stay."""
+    import numpy as np
+
+    from tollgate.operators import neighbours as nb
+
+    draw = np.random.default_rng(5)
+    train = draw.standard_normal((400, 9)) * 10.0 ** draw.integers(-3, 6, (400, 1))
+    train[50:120] = train[7]
+    train[120:140] = train[8] * (1 + 1e-13 * np.arange(20))[:, None]
+    test = np.vstack([train[::9], draw.standard_normal((30, 9)), np.zeros((2, 9)), draw.integers(0, 2, (20, 9))])
+    exact = nb._distances(test, train, "euclidean")
+    whole = []
+    monkeypatch.setattr(nb, "_distances", lambda *args: whole.append(args))
+    for k in (1, 5, 60, 400):
+        found = list(nb.top_k(test, train, k, "euclidean"))
+        near, dist = np.vstack([n for n, _ in found]), np.vstack([d for _, d in found])
+        expected = np.argsort(exact, axis=1, kind="stable")[:, :k]
+        assert np.array_equal(near, expected)
+        assert np.array_equal(dist, np.take_along_axis(exact, expected, axis=1))
+    assert not whole

@@ -51,6 +51,28 @@ def _distances(test: np.ndarray, train: np.ndarray, metric: str) -> np.ndarray:
     return np.round(out, DECIMALS)
 
 
+def _nearest_straight(test: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and distances of the k nearest by straight distance.
+
+    One product bounds all squared distances; only rows that may be among the k by that
+    bound get their exact distance, summed as in ``_distances``.
+    """
+    a, b = (test * test).sum(axis=1), (train * train).sum(axis=1)
+    square = a[:, None] + b - 2 * test @ train.T
+    off = 8 * np.finfo(float).eps * (train.shape[1] + 4) * (np.sqrt(a) + np.sqrt(b.max())) ** 2
+    kth = np.partition(square, k - 1, axis=1)[:, k - 1]
+    most = (np.sqrt(np.maximum(kth + off, 0.0)) + 4 * 10.0**-DECIMALS) ** 2 + off
+    row, at = np.nonzero(~(square > most[:, None]))
+    exact = np.zeros(len(row))
+    for j in range(train.shape[1]):
+        exact += (test[row, j] - train[at, j]) ** 2
+    exact = np.round(np.sqrt(exact), DECIMALS)
+    order = np.lexsort((at, exact, row))
+    first = np.searchsorted(row, np.arange(len(test)))
+    picked = order[first[:, None] + np.arange(k)]
+    return at[picked], exact[picked]
+
+
 def top_k(test: np.ndarray, train: np.ndarray, k: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per slice of test rows: positions and distances of the k nearest.
 
@@ -59,6 +81,9 @@ def top_k(test: np.ndarray, train: np.ndarray, k: int, metric: str) -> Iterator[
     k = min(k, len(train))
     step = max(1, _MATRIX_CELLS // max(1, len(train)))
     for start in range(0, len(test), step):
+        if metric == "euclidean" and np.isfinite(test).all() and np.isfinite(train).all():
+            yield _nearest_straight(test[start : start + step], train, k)
+            continue
         dist = _distances(test[start : start + step], train, metric)
         near = np.argpartition(dist, k - 1, axis=1)[:, :k]
         limit = np.take_along_axis(dist, near, axis=1).max(axis=1)
