@@ -73,6 +73,16 @@ def test_few_encodings_are_held_at_once(library, monkeypatch):
     assert len(asked) > 1 and max(asked) <= 16
 
 
+def test_marks_behind_a_word_make_no_new_word(library):
+    cache, asked = WordCache(library.to_str()), []
+    real = cache._model_ids
+    cache._model_ids = lambda word: asked.append(word) or real(word)
+    cache._tokenized = lambda words: asked.extend(words) or WordCache._tokenized(cache, words)
+    texts = ["Zqabk### zqabk$$$ zqabk.,% zqabk", "7### <|endoftext|>!! it's?! zqabk'### é*** ǆ### ### x_y"]
+    assert encoded(cache, texts, [1]) == [ids(library, t) for t in texts]
+    assert [w for w in asked if w.startswith("zqabk") and "'" not in w] == ["zqabk"]
+
+
 @pytest.mark.parametrize("without", ["normalizer", "added_tokens", "pre_tokenizer"])
 def test_tokenizers_with_other_rules(library, without):
     """What the usual rules do not hold for is given to the tokenizer as it stands, or refused."""

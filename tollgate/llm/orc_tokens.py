@@ -7,6 +7,7 @@ Part and offset columns make the place of every document known without a sort.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -43,6 +44,10 @@ FILES = "part int, first long, doc_id long, ids array<int>"
 _ODD = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
 
 
+# Marks of ASCII that may follow a word; the apostrophe joins what stands behind it.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
+
 def _latin(word: str) -> bool:
     return word.isascii() or not _ODD.search(word)
 
@@ -74,7 +79,7 @@ class WordCache:
     the ids of a text are those of its words in a row. Words are numbered by Arrow; each is
     given to the tokenizer once per worker, many joined by a special token; words of Latin
     letters alone, which it neither changes nor parts, go to its model directly. Where the
-    tokenizer lowers letters and splits off a last stop or comma, the word is looked up
+    tokenizer lowers letters and splits off the marks at the end, the word is looked up
     without them. Whether all this holds is tried out at the start.
     """
 
@@ -84,7 +89,7 @@ class WordCache:
         if self._ids("a b\nc") != self._ids("a") + self._ids("b") + self._ids("c"):
             raise ValueError("this tokenizer keeps white space: it cannot be used word by word")
         self.lowers = all(self._ids(w) == self._ids(w.lower()) for w in ("AbC", "ÀÉÎ", "ÇŁŽ", "X1Y"))
-        self.parts = all(self._ids(w + s) == self._ids(w) + self._ids(s) for w in ("ab", "Q", "é", "7", "x1") for s in ".,")
+        self.parts = all(self._ids(w + s) == self._ids(w) + self._ids(s) for w in ("ab", "Q", "é", "7", "x1") for s in (*MARKS, "###", ".,!?"))
         letters = [c for c in map(chr, range(0x250)) if c.isalpha() and not _ODD.search(c)]
         tried = {c.lower() for c in letters} | {(a + b + "ab").lower() for a, b in zip(letters, letters[7:])} | {"words", "naïveté"}
         self.bare = self.lowers and all(self._model_ids(w) == self._ids(w) for w in sorted(tried))
@@ -99,7 +104,9 @@ class WordCache:
 
     def _model_ids(self, word: str) -> list[int]:
         """Ids of a word that is one piece for the tokenizer, as bytes for its model."""
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        if not (word.isascii() and word.isalnum()):
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.model.tokenize(word)]
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {"": 0}
@@ -127,24 +134,29 @@ class WordCache:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _core(self, word: str) -> tuple[str, str]:
-        """The word as it is looked up, and the stop that follows it."""
-        stop = ""
-        if self.parts and word[-1:] in (".", ",") and word[-2:-1].isalnum() and _latin(word[-2]):
-            word, stop = word[:-1], word[-1]
-        return (word.lower() if self.lowers and _latin(word) else word), stop
+        """The word as it is looked up, and the marks that follow it."""
+        marks = ""
+        bare = word.rstrip(MARKS) if self.parts else word
+        if len(bare) < len(word) and bare[-1:].isalnum() and _latin(bare[-1]) and not self.special.search(word):
+            word, marks = bare, word[len(bare) :]
+        return (word.lower() if self.lowers and _latin(word) else word), marks
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, in a row, and how many each has; the tokenizer sees every core once."""
-        cores = [self._core(w) for w in words]
-        names = list({x for pair in cores for x in pair if x not in self.number})
+        both = list(chain.from_iterable(map(self._core, words)))
+        names = list({x for x in both if x not in self.number})
         plain, alone, joined = [], [], []
         for name in names:
             if self.bare and name.isalpha() and _latin(name):
                 plain.append(name)
             else:
                 (alone if self.special.search(name) else joined).append(name)
-        own = [self._model_ids(n) for n in plain] + [self._ids(n) for n in alone]
-        ids, sizes = np.fromiter(chain.from_iterable(own), "<u4"), np.array([len(x) for x in own], "i8")
+        # ids in one row: a list kept for every word is what the collector goes through again and again
+        flat_ids, flat_sizes = [], []
+        for found in chain(map(self._model_ids, plain), map(self._ids, alone)):
+            flat_ids += found
+            flat_sizes.append(len(found))
+        ids, sizes = np.array(flat_ids, "<u4"), np.array(flat_sizes, "i8")
         if joined:
             more, more_sizes = self._tokenized(joined)
             ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
@@ -159,7 +171,6 @@ class WordCache:
             flat = np.concatenate([self.flat[: self.used], ids[np.repeat(~short, sizes)]])
         else:
             tail, tail_size, flat = {}, {}, self.flat
-        both = [x for pair in cores for x in pair]
         number = np.fromiter(map(self.number.get, both, repeat(-1)), "i8", len(both))
         start, size = self.starts[number], self.starts[number + 1] - self.starts[number]
         for i in np.flatnonzero(number < 0).tolist() if tail else ():
@@ -195,7 +206,7 @@ class WordCache:
             self._thin()
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         numbers = np.fromiter(map(self.number.get, names, repeat(-1)), "i8", len(names))
         unknown = np.flatnonzero(numbers < 0)
         fresh = [names[i] for i in unknown.tolist()]
@@ -227,6 +238,7 @@ class WordCache:
 
 @lru_cache(maxsize=2)
 def _cache(spec: str) -> WordCache:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks keep the cores busy
     return WordCache(spec)
 
 
