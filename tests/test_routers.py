@@ -138,6 +138,19 @@ def test_pivots_spare_most_blocks(spark, metric):
     assert index.sent["train"] < all_blocks / 2 and index.sent["test"] < 300 * (900 // 50) / 2
 
 
+def test_small_blocks_do_not_multiply_the_rows_sent(spark):
+    """Scattered vectors, of which no cell can be ruled out: rows are sent a few times, not once per small block."""
+    x = np.random.default_rng(12).normal(size=(700, 24))
+    rows = (x, np.ones((700, 1)), np.ones((700, 1)))
+    train, test = items(spark, *(a[:400] for a in rows)), items(spark, *(a[400:] for a in rows))
+    index = NeighbourIndex(train, 7, broadcast=False, block_rows=2)
+    found = index.neighbours(test).orderBy("item_id", "rank").collect()
+    assert found == NeighbourIndex(train, 7, broadcast=True).neighbours(test).orderBy("item_id", "rank").collect()
+    bundles = len(index._by_cell()[1].load)
+    assert bundles <= 2 * nb.BUNDLES
+    assert index.sent["test"] <= 300 * bundles and index.sent["train"] <= 400 * 2 * 8
+
+
 def test_large_train_side_is_not_broadcast(spark, monkeypatch):
     from tollgate import session
 

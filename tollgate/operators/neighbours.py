@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tollgate.session import fits_broadcast, once, written
+from tollgate.session import fits_broadcast, once, shuffle_partitions, written
 
 log = logging.getLogger(__name__)
 
@@ -30,6 +30,9 @@ ROUTED_ROWS = 1_024
 # What rounding may take from a bound, relative to the lengths involved; only makes cells stay.
 SLACK = 1e-6
 
+# Bundles of cells that a train side is dealt into, unless memory asks for more.
+BUNDLES = 4
+
 # Size of a block in the shuffled search.
 BLOCK_ROWS = 50_000
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -131,21 +134,39 @@ def _in_slices(of, *columns: np.ndarray) -> list:
 
 
 class Cells:
-    """Voronoi cells of train rows around pivots: how many rows, and how far they reach."""
+    """Voronoi cells of train rows around pivots: how many rows, and how far they reach.
+
+    Neighbouring cells make up bundles of at most ``most`` rows, or of one larger cell: a
+    test row goes to a bundle once, however many of its cells may matter.
+    """
 
-    def __init__(self, pivots: np.ndarray, metric: str, count: np.ndarray, reach: np.ndarray):
+    def __init__(self, pivots: np.ndarray, metric: str, count: np.ndarray, reach: np.ndarray, most: int):
         self.metric, self.count, self.reach = metric, count, reach
         self.pivots = _placed(pivots, metric, 0)
         self.between = _apart(self.pivots, self.pivots)
+        self.bundle = self._bundles(most)
+        self.load = np.bincount(self.bundle, weights=count).astype(int)
+
+    def _bundles(self, most: int) -> np.ndarray:
+        """The bundle of every cell: the first free one with the nearest free ones that fit in."""
+        bundle, number = np.full(len(self.count), -1), 0
+        while (bundle < 0).any():
+            start = int((bundle < 0).argmax())
+            near = np.argsort(self.between[start], kind="stable")
+            near = np.concatenate([[start], near[(bundle[near] < 0) & (near != start)]])
+            fit = max(1, int((np.cumsum(self.count[near]) <= most).sum()))
+            bundle[near[:fit]] = number
+            number += 1
+        return bundle
 
     def first(self, x: np.ndarray, k: int) -> list[np.ndarray]:
-        """Per test row the nearest cells that together hold ``k`` train rows."""
+        """Per test row the bundles of the nearest cells that together hold ``k`` train rows."""
         order = np.argsort(_apart(_placed(x, self.metric, 1), self.pivots), axis=1, kind="stable")
         upto = (np.cumsum(self.count[order], axis=1) < k).sum(axis=1) + 1
-        return [row[:n][self.count[row[:n]] > 0] for row, n in zip(order, upto)]
+        return [np.unique(self.bundle[row[:n][self.count[row[:n]] > 0]]) for row, n in zip(order, upto)]
 
     def other(self, x: np.ndarray, k: int, bound: np.ndarray) -> list[np.ndarray]:
-        """Per test row the cells beyond the first that may hold a row within ``bound``.
+        """Per test row the bundles beyond the first with a cell that may hold a row within ``bound``.
 
         A row of a cell is at least as far as the pivot less the cell's reach, and at least
         as far as the plane between the cell's pivot and the one nearest to the test row.
@@ -160,9 +181,7 @@ class Cells:
         scale = 1.0 + np.abs(points).max(axis=1, initial=0.0) + np.abs(self.pivots).max(initial=0.0)
         limit = np.sqrt(2 * (bound + 1e-11)) if self.metric == "cosine" else bound + 1e-11
         near = ~(np.maximum(least, plane) > (limit + SLACK * scale)[:, None]) & (self.count > 0)
-        for row, done in zip(near, self.first(x, k)):
-            row[done] = False
-        return [np.flatnonzero(row) for row in near]
+        return [np.setdiff1d(self.bundle[row], done) for row, done in zip(near, self.first(x, k))]
 
 
 def _block(row: str, blocks: Column) -> Column:
@@ -180,10 +199,12 @@ class NeighbourIndex:
 
     A train side whose counted size fits the broadcast limit goes to the workers
     whole and the test side is not shuffled at all. A larger one is dealt into cells
-    around pivots. Every distinct test vector is searched in the nearest cells that hold
-    k rows; its k-th distance then tells which other cells can matter, by the triangle
-    inequality. Both sides of a cell are cut into blocks of bounded size, each pair of
-    which hands on k candidates per test vector. ``sent`` counts the rows that went to blocks.
+    around pivots, neighbouring cells into bundles. Every distinct test vector is searched in
+    the bundles of the nearest cells that hold k rows; its k-th distance then tells which other
+    cells can matter, by the triangle inequality. A bundle holds ``block_rows`` rows, or the
+    part of ``BUNDLES`` of the train side if that is more and fits a block: small blocks must
+    not make pairs of blocks, and k candidates of each, grow with the square of the rows. Both sides of
+    a bundle are cut into blocks of bounded size. ``sent`` counts the rows that went to blocks.
     """
 
     def __init__(
@@ -212,7 +233,9 @@ class NeighbourIndex:
             log.warning("k=%d is more than the %d train rows; all of them are taken", k, self.rows)
         self.k, self.metric = min(k, self.rows), metric
         row_bytes = 8 * (size[1] + 2 * size[2] + 1)
+        self.most_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
         self.block_rows = max(1, min(block_rows, BLOCK_BYTES // row_bytes))
+        self.bundle_rows = max(self.block_rows, min(self.most_rows, math.ceil(self.rows / BUNDLES)))
         fits = fits_broadcast(self.rows, row_bytes)
         self.broadcast = fits if broadcast is None else broadcast
         self._shared = None
@@ -318,25 +341,29 @@ class NeighbourIndex:
             sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach"))
             for row in sizes.collect():  # one row per pivot
                 count[row["cell"]], reach[row["cell"]] = row["n"], row["reach"]
-            self._cells = rows, Cells(pivots, metric, count, reach)
+            self._cells = rows, Cells(pivots, metric, count, reach, self.bundle_rows)
         return self._cells
 
     def _found(self, routed: DataFrame) -> DataFrame:
-        """``k`` candidates of every cell for ``routed(_q, x, cell)``, block by block."""
+        """``k`` candidates of every bundle for ``routed(_q, x, bundle)``, block by block."""
         rows, cells = self._by_cell()
-        k, metric, size = self.k, self.metric, self.block_rows
-        asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}  # one row per pivot
-        blocks = [(c, math.ceil(n / size), math.ceil(int(cells.count[c]) / size)) for c, n in asked.items()]
-        self.sent["test"] += sum(asked[c] * train for c, _, train in blocks)
-        self.sent["train"] += sum(int(cells.count[c]) * test for c, test, _ in blocks)
-        table = routed.sparkSession.createDataFrame(blocks, "cell int, test_blocks int, train_blocks int")
+        spark, k, metric, size = routed.sparkSession, self.k, self.metric, self.bundle_rows
+        asked = {r["bundle"]: r["count"] for r in routed.groupBy("bundle").count().collect()}  # at most one row per pivot
+        # enough blocks of test rows for all tasks, but train rows are not sent much more often than test rows
+        wanted = math.ceil(shuffle_partitions(spark) / max(1, len(asked)))
+        cut = lambda n: max(math.ceil(n / max(size, self.most_rows)), min(wanted, math.ceil(2 * n / size)))
+        blocks = [(b, cut(n), math.ceil(int(cells.load[b]) / size)) for b, n in asked.items()]
+        self.sent["test"] += sum(asked[b] * train for b, _, train in blocks)
+        self.sent["train"] += sum(int(cells.load[b]) * test for b, test, _ in blocks)
+        table = spark.createDataFrame(blocks, "bundle int, test_blocks int, train_blocks int")
+        member = spark.createDataFrame(list(enumerate(cells.bundle.tolist())), "cell int, bundle int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = routed.join(F.broadcast(table), "cell").select(
-            "_q", "x", "cell", _block("_q", F.col("test_blocks")).alias("test_block"), every("train_blocks").alias("train_block")
+        left = routed.join(F.broadcast(table), "bundle").select(
+            "_q", "x", "bundle", _block("_q", F.col("test_blocks")).alias("test_block"), every("train_blocks").alias("train_block")
         )
         # salted by the row: copies must not fill one block
-        right = rows.join(F.broadcast(table), "cell").select(
-            "train_id", "_row", "x", "cell",
+        right = rows.join(F.broadcast(member.join(table, "bundle")), "cell").select(
+            "train_id", "_row", "x", "bundle",
             _block("_row", F.col("train_blocks")).alias("train_block"), every("test_blocks").alias("test_block"),
         )
 
@@ -355,7 +382,7 @@ class NeighbourIndex:
                 }
             )
 
-        keys = ["cell", "test_block", "train_block"]
+        keys = ["bundle", "test_block", "train_block"]
         grouped = left.groupBy(*keys).cogroup(right.groupBy(*keys))
         return grouped.applyInPandas(search, "_q bigint, _row bigint, train_id bigint, distance double")
 
@@ -384,10 +411,10 @@ class NeighbourIndex:
         def best(found: DataFrame) -> DataFrame:
             return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-        routed = written(asked.select("_q", "x", F.explode(once(first)("x")).alias("cell")), "knn-first")
+        routed = written(asked.select("_q", "x", F.explode(once(first)("x")).alias("bundle")), "knn-first")
         begun = written(best(self._found(routed)), "knn-begun")
         bounds = begun.where(F.col("rank") == k).select("_q", F.col("distance").alias("bound"))
-        more = asked.join(bounds, "_q").select("_q", "x", F.explode(once(other)("x", "bound")).alias("cell"))
+        more = asked.join(bounds, "_q").select("_q", "x", F.explode(once(other)("x", "bound")).alias("bundle"))
         more = self._found(written(more, "knn-more"))
         return rows, written(best(begun.drop("rank").unionByName(more)), "knn-nearest")
 
