@@ -227,6 +227,27 @@ def test_tfidf_query_takes_what_run_takes(spark, monkeypatch):
     assert row.size > 4096 and list(row.indices) == sorted(row.indices)
 
 
+def test_parts_are_counted_by_one_sort(monkeypatch):
+    """Counts as by hand; no place of every word is worked out, which takes several times as long."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from tollgate.operators import terms
+
+    def refused(*_, **__):
+        raise AssertionError("words are sorted with their places")
+
+    monkeypatch.setattr(terms.np, "unique", refused)
+    texts = [["a", "b", "a", "b"], [], None, ["b"], ["a", "a", "a"], ["c", "a", "b"]]
+    batch = pa.RecordBatch.from_pydict({"id": [0] * 6, "tokens": pa.array(texts, pa.list_(pa.string()))})
+    listed = [(t or []) + [f"{x} {y}" for x, y in zip(t or [], (t or [])[1:])] for t in texts]
+    frequency, docs = Counter(x for t in listed for x in t), Counter(x for t in listed for x in set(t))
+    got = [r for part in terms._counted([batch]) for r in part.to_pylist()]
+    assert len(got) == len(frequency)
+    assert {r["term"]: (r["frequency"], r["docs"]) for r in got} == {x: (frequency[x], docs[x]) for x in frequency}
+
+
 def test_terms_in_small_parts(spark, monkeypatch):
     """Parts of a batch, null and empty texts, and texts longer than a part."""
     from tollgate.operators import terms
