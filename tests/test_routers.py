@@ -138,6 +138,15 @@ def test_pivots_spare_most_blocks(spark, metric):
     assert index.sent["train"] < all_blocks / 2 and index.sent["test"] < 300 * (900 // 50) / 2
 
 
+def test_train_rows_are_scaled_once(monkeypatch):
+    x, _, _ = case(5, 60)
+    whole, scaled, real = np.vstack([n for n, _ in nb.top_k(x, x[:40], 5, "cosine")]), [], nb._unit
+    monkeypatch.setattr(nb, "_MATRIX_CELLS", 100)
+    monkeypatch.setattr(nb, "_unit", lambda a: scaled.append(len(a)) or real(a))
+    assert (np.vstack([n for n, _ in nb.top_k(x, x[:40], 5, "cosine")]) == whole).all()
+    assert sum(scaled) <= 60 + 40
+
+
 def test_small_blocks_do_not_multiply_the_rows_sent(spark):
     """Scattered vectors, of which no cell can be ruled out: rows are sent a few times, not once per small block."""
     x = np.random.default_rng(12).normal(size=(700, 24))

@@ -44,8 +44,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _distances(test: np.ndarray, train: np.ndarray, metric: str) -> np.ndarray:
+    """Rounded distances; for cosine both sides are of unit length."""
     if metric == "cosine":
-        out = 1.0 - _unit(test) @ _unit(train).T
+        out = 1.0 - test @ train.T
     else:
         out = np.zeros((len(test), len(train)))
         for j in range(train.shape[1]):
@@ -83,6 +84,8 @@ def top_k(test: np.ndarray, train: np.ndarray, k: int, metric: str) -> Iterator[
     """
     k = min(k, len(train))
     step = max(1, _MATRIX_CELLS // max(1, len(train)))
+    if metric == "cosine":  # once, not for every slice
+        test, train = _unit(test), _unit(train)
     for start in range(0, len(test), step):
         if metric == "euclidean" and np.isfinite(test).all() and np.isfinite(train).all():
             yield _nearest_straight(test[start : start + step], train, k)
