@@ -137,3 +137,40 @@ def test_no_rows(spark, no_docs):
     path = scratch_path(spark, "no_tokens")
     write_tokens(no_docs, VOCABULARY, 1, path)
     assert token_checksums(read_tokens(spark, path)).count() == 0
+
+
+def test_words_are_cut_between_letters_and_marks(library):
+    cache, asked = WordCache(library.to_str()), []
+    cache._tokenized = lambda words: asked.extend(words) or WordCache._tokenized(cache, words)
+    texts = ["zqabk,ÉQXYZ (zqabk)", "Éqxyz/zqabk_zqabk <ZQABK>", "zqabk×a Éqxyz÷,"]
+    assert encoded(cache, texts, [1]) == [ids(library, t) for t in texts]
+    assert [w for w in asked if "zqabk" in w] == ["zqabk", "zqabk×a"]
+
+
+def test_capitals_do_not_make_a_special_token(library):
+    texts = ["x<|ENDOFTEXT|>y", "x<|ENDOFTEXT|>7 a<|endoftext|>,b!", "<|EndOfText|>'s"]
+    assert encoded(WordCache(library.to_str()), texts, [1]) == [ids(library, t) for t in texts]
+
+
+def test_texts_cut_one_by_one(library, monkeypatch):
+    monkeypatch.setattr(orc_tokens, "CUT_BYTES", 1)
+    cache = WordCache(library.to_str())
+    texts = [*TEXTS, "ab", "cd", "", ",", "ef."]
+    assert encoded(cache, texts, [1]) == [ids(library, t) for t in texts]
+    odd = pa.array(["skipped", *texts], pa.large_string())[1:]
+    assert encoded(cache, odd, [1]) == [ids(library, t) for t in texts]
+
+
+def test_known_words_are_not_given_to_the_tokenizer_again(library):
+    cache, asked = WordCache(library.to_str()), []
+    cache._tokenized = lambda words: asked.extend(words) or WordCache._tokenized(cache, words)
+    for texts in (["one two, 3x", "É"], ["3x four two", "é É one"], ["four é one."]):
+        assert encoded(cache, texts, [1]) == [ids(library, t) for t in texts]
+    assert len(asked) == len(set(asked))
+
+
+def test_offsets_are_found_without_the_ids(spark, odd_docs):
+    path = scratch_path(spark, "offset_tokens")
+    write_tokens(odd_docs, VOCABULARY, 1, path)
+    plan = read_tokens(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<part:int,first:bigint,size:int>" in plan
