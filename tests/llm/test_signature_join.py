@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -157,3 +159,64 @@ def test_shared_counts_of_chunks_in_any_number_of_buckets(buckets):
     holders = Counter(x for s in everywhere for x in s)
     assert sorted(found.values()) == sorted(sum(holders[x] > 1 for x in s) for s in everywhere)
     assert max(entries) <= 4 * np.mean(entries) + 20
+
+
+def test_bytes_a_shingle_hardly_follow_the_buckets():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 1 << 63, 300).astype("u8")) for _ in range(600)]
+
+    def size(buckets):
+        batches = list(sj._packets(sets, buckets))
+        return sum(len(x) for b in batches for c in ("classes", "own", "who", "hashes") for x in b.column(c).to_pylist())
+
+    shingles = sum(map(len, sets))
+    assert size(20) < 6.5 * shingles
+    assert size(300) < 11.5 * shingles
+
+
+def test_ranges_of_a_bucket(monkeypatch):
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 1 << 63, 40).astype("u8")) for _ in range(50)]
+    sets = [np.unique(np.concatenate([s, sets[i // 2][:20]])) for i, s in enumerate(sets)]
+    packets = pa.Table.from_batches([b for at in (0, 25) for b in sj._packets(sets[at : at + 25], 1)])
+    whole = [x.tolist() for x in sj._shared_in_bucket(packets)]
+    monkeypatch.setattr(sj, "BUCKET_RANGE", 100)
+    assert [x.tolist() for x in sj._shared_in_bucket(packets)] == whole
+
+
+def test_exact_counts_part_what_passages_join(spark, monkeypatch, tmp_path):
+    """Families with a passage that few others have: no tiles of the whole island are paired."""
+    monkeypatch.setattr(sj, "TILE_SETS", 8)
+    made, write = [], sj.written
+
+    def written(df, name):
+        made.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(sj, "written", written)
+    draw = random.Random(4)
+    rows = []
+    for family in range(20):
+        own = " ".join(f"f{family}x{j}" for j in range(30))
+        passages = [" ".join(f"p{p}y{j}" for j in range(20)) for p in (family, (family + 1) % 20)]
+        rows += [" ".join([own, *passages, f"end{family}z{copy}"]) for copy in range(3)]
+    draw.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert joined(spark, rows) == expected(rows)
+    assert "finer_islands" in made and "tile_pairs" not in made
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    java = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x.getName() for x in (java.getAllFiles().apply(i) for i in range(java.getAllFiles().size()))}
+    before = held()
+    df = sj.written(spark.range(1000).repartition(7, "id").groupBy((sj.F.col("id") % 5).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not (left := {x for x in held() - before if x.startswith("shuffle_")}):
+            break
+        time.sleep(0.1)
+    assert not left and df.count() == 5
+    folder = Path(df.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    assert folder.exists()
+    sj.drop_written(df)
+    assert not folder.exists()

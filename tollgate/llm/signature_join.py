@@ -6,7 +6,8 @@
    shared, the counts are added up by class, and the other classes drop out.
 3. The remaining sets meet on their prefixes (the least shingles of one global order,
    rare ones first): sets that link share one there. Connected meetings make islands,
-   so that no link leaves an island.
+   so that no link leaves an island. Sets of large islands meet again in the order of
+   the exact number of sets that have a shingle, which parts what a passage had joined.
 4. Islands are cut into tiles of bounded size. Signature trees find the links within
    tiles; tiles of one island are then compared with each other unless all their
    members are one component already.
@@ -19,18 +20,22 @@ packed numbers, and texts only of the classes that remain.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tollgate.llm.common import components, forest, map_batches, row_key
+from tollgate.llm.common import BATCH_ROWS, components, forest, map_batches, row_key
 from tollgate.llm.shingles import chunks, mix, set_digests, shingle_sets, text_buffer
 from tollgate.llm.signature_tree import links
-from tollgate.session import shuffle_partitions, small_side, written
+from tollgate.session import drop_written, shuffle_partitions, small_side, written
 
-# Text bytes per bucket of the shingle exchange, about as many shingles as fit a task.
-BUCKET_BYTES = 16 * 1024 * 1024
+# Text bytes per bucket of the shingle exchange, about as many shingles as fit a task. Every
+# bucket names the classes it has shingles of, so fewer buckets move less.
+BUCKET_BYTES = 32 * 1024 * 1024
+# Shingles of a bucket that are compared at once.
+BUCKET_RANGE = 2_000_000
 # Sets compared within one task at a time.
 TILE_SETS = 512
 # A shingle in so many classes is told to the prefix order as frequent.
@@ -38,7 +43,28 @@ FREQUENT = 32
 # Frequent shingles broadcast; with more, the bar is raised. Only the order follows them.
 FREQUENT_ROWS = 1_000_000
 
-_SHARED = np.uint32(1 << 31)
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the narrowest type."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """An array's bytes, place by place, compressed; behind their number and width."""
+    width, n = values.dtype.itemsize, len(values)
+    if not n:
+        return b""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view("u1").reshape(n, width).T)
+    return n.to_bytes(4, "little") + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _opened(data: bytes) -> np.ndarray:
+    """The array that ``_squeezed`` took, unsigned."""
+    if not data:
+        return np.zeros(0, "u4")
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    planes = np.frombuffer(pa.decompress(data[5:], n * width, "zstd", asbytes=True), "u1").reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"u{width}")
 
 
 def shingle_digests(docs: DataFrame) -> DataFrame:
@@ -115,39 +141,43 @@ def _packets(sets: list[np.ndarray], buckets: int):
     flat, owner = flat[order], owner[order]
     starts, lengths = _runs(flat)
     own = np.bincount(owner[np.repeat(lengths > 1, lengths)], minlength=len(sets)).astype("u4")
-    hashes = flat[starts]
-    who = np.where(lengths > 1, _SHARED | lengths.astype("u4"), owner[starts])
+    hashes, alone, owner = flat[starts], lengths == 1, owner[starts]
     rows = {"bucket": [], "classes": [], "own": [], "who": [], "hashes": []}
 
-    def add(bucket: int, classes, counts, who, hashes) -> None:
-        values = (bucket, classes.astype("i8").tobytes(), counts.astype("u4").tobytes(), who.tobytes(), hashes.tobytes())
-        for column, value in zip(rows, values):
+    def add(bucket: int, classes, own: bytes, who: bytes, hashes: bytes) -> None:
+        for column, value in zip(rows, (bucket, classes.astype("i8").tobytes(), own, who, hashes)):
             rows[column].append(value)
 
     for bucket, at in _by_bucket(_bucket(hashes, buckets)):
-        w = who[at].astype("u4")
-        alone = (w & _SHARED) == 0
-        mine, w[alone] = np.unique(w[alone], return_inverse=True)
-        add(bucket, names[mine], np.zeros(len(mine)), w, (hashes[at] & np.uint64(0xFFFFFFFF)).astype("u4"))
+        low = (hashes[at] & np.uint64(0xFFFFFFFF)).astype("u4")
+        order = np.argsort(low)
+        low, one, whose = low[order], alone[at][order], owner[at][order]
+        mine, place = np.unique(whose[one], return_inverse=True)
+        who = 2 * lengths[at][order].astype("u4") + 1
+        who[one] = 2 * place
+        # shingles of one class that the bucket can't tell apart
+        same = np.flatnonzero((low[1:] == low[:-1]) & one[1:] & one[:-1] & (whose[1:] == whose[:-1]))
+        np.add.at(own, whose[same], np.uint32(1))
+        add(bucket, names[mine], b"", _squeezed(_narrow(who)), _squeezed(np.diff(low, prepend=np.uint32(0))))
     # the chunk's own counts go to buckets picked by class, so that none gets those of all chunks
     counted = np.flatnonzero(own)
     target = _bucket(mix(names[counted].astype("i8").view("u8")), buckets)
     order = np.argsort(target, kind="stable")
-    none = np.zeros(0, "u4")
     for bucket, at in _by_bucket(target[order]):
         mine = counted[order[at]]
-        add(bucket, names[mine], own[mine], none, none)
+        add(bucket, names[mine], _squeezed(_narrow(own[mine])), b"", b"")
     yield pa.RecordBatch.from_pydict(rows)
 
 
-def _each(packets: pa.Table, name: str, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in packets.column(name).to_pylist()]
+def _each(packets: pa.Table, name: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, "i8") for x in packets.column(name).to_pylist()]
 
 
 def _add_counts(packets: pa.Table) -> pa.Table:
     """Counts of all buckets added up by class."""
-    names, place = np.unique(np.concatenate(_each(packets, "names", "i8")), return_inverse=True)
-    counts = np.bincount(place, np.concatenate(_each(packets, "counts", "i8")), len(names))
+    names, place = np.unique(np.concatenate(_each(packets, "names")), return_inverse=True)
+    counts = np.concatenate([_opened(x) for x in packets.column("counts").to_pylist()])
+    counts = np.bincount(place, counts, len(names))
     return pa.table({"class": names, "shared": counts.astype("i8")})
 
 
@@ -163,7 +193,7 @@ def _count_shared(parts: int):
         order = np.argsort(part, kind="stable")
         for number, at in _by_bucket(part[order]):
             here = order[at]
-            for column, value in zip(rows, (number, names[here].tobytes(), counts[here].tobytes(), None, None)):
+            for column, value in zip(rows, (number, names[here].tobytes(), _squeezed(_narrow(counts[here])), None, None)):
                 rows[column].append(value)
         for shingle, n in zip(((np.uint64(bucket) << np.uint64(32)) | shingles).tolist(), classes_of.tolist()):
             for column, value in zip(rows, (None, None, None, shingle, n)):
@@ -175,28 +205,44 @@ def _count_shared(parts: int):
 
 
 def _shared_in_bucket(packets: pa.Table):
-    """Classes with shared shingles and their number, frequent shingles and theirs."""
-    each = lambda name, kind: _each(packets, name, kind)
+    """Classes with shared shingles and their number, frequent shingles and theirs.
 
-    classes, who, hashes = each("classes", "i8"), each("who", "u4"), np.concatenate(each("hashes", "u4"))
-    before = np.concatenate([[0], np.cumsum([len(c) for c in classes])[:-1]])
+    The bucket's shingles are compared range by range, so that memory does not follow them.
+    """
+    classes = _each(packets, "classes")
     names, number = np.unique(np.concatenate(classes), return_inverse=True)
-    counts = np.bincount(number, np.concatenate(each("own", "u4")), minlength=len(names)).astype("i8")
-    marked = np.concatenate([(w & _SHARED) != 0 for w in who])
-    value = np.concatenate([np.where((w & _SHARED) != 0, w & ~_SHARED, w + np.uint32(b)) for w, b in zip(who, before)])
-    alone = ~marked
-    owner = np.zeros(len(value), "u8")
-    owner[alone] = number[value[alone]]
-    entries = np.unique((hashes[alone].astype("u8") << np.uint64(32)) | owner[alone])
-    shingles, place = np.unique(
-        np.concatenate([(entries >> np.uint64(32)).astype("u4"), hashes[marked]]), return_inverse=True
-    )
-    classes_of = np.bincount(place[: len(entries)], minlength=len(shingles))
-    classes_of = classes_of + np.bincount(place[len(entries) :], value[marked], minlength=len(shingles)).astype("i8")
-    shared = classes_of[place[: len(entries)]] > 1
-    counts += np.bincount((entries[shared] & np.uint64(0xFFFFFFFF)).astype("i8"), minlength=len(names))
-    hit, often = np.flatnonzero(counts), np.flatnonzero(classes_of >= FREQUENT)
-    return names[hit], counts[hit], shingles[often].astype("u8"), classes_of[often]
+    number = np.split(_narrow(number), np.cumsum([len(c) for c in classes])[:-1])
+    counts = np.zeros(len(names), "i8")
+    sorted_ = []
+    for whose, own, who, hashes in zip(number, *(packets.column(c).to_pylist() for c in ("own", "who", "hashes"))):
+        if own:
+            np.add.at(counts, whose, _opened(own))
+        if hashes:
+            sorted_.append((np.cumsum(_opened(hashes), dtype="u4"), _opened(who), whose))
+    total = sum(len(hashes) for hashes, _, _ in sorted_)
+    bounds = np.linspace(0, 1 << 32, max(1, -(-total // BUCKET_RANGE)) + 1).astype("u8")
+    often, classes_often = [np.zeros(0, "u4")], [np.zeros(0, "i8")]
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        entries, told, numbers = [np.zeros(0, "u8")], [np.zeros(0, "u4")], [np.zeros(0, "i8")]
+        for hashes, who, whose in sorted_:
+            a, b = np.searchsorted(hashes, low), np.searchsorted(hashes, high)
+            here, w = hashes[a:b], who[a:b]
+            marked = (w & 1) == 1
+            told.append(here[marked])
+            numbers.append((w[marked] >> 1).astype("i8"))
+            entries.append((here[~marked].astype("u8") << np.uint64(32)) | whose[w[~marked] >> 1])
+        entries = np.unique(np.concatenate(entries))
+        told, numbers = np.concatenate(told), np.concatenate(numbers)
+        shingles, place = np.unique(np.concatenate([(entries >> np.uint64(32)).astype("u4"), told]), return_inverse=True)
+        classes_of = np.bincount(place[: len(entries)], minlength=len(shingles))
+        classes_of = classes_of + np.bincount(place[len(entries) :], numbers, minlength=len(shingles)).astype("i8")
+        shared = classes_of[place[: len(entries)]] > 1
+        counts += np.bincount((entries[shared] & np.uint64(0xFFFFFFFF)).astype("i8"), minlength=len(names))
+        many = classes_of >= FREQUENT
+        often.append(shingles[many])
+        classes_often.append(classes_of[many])
+    hit = np.flatnonzero(counts)
+    return names[hit], counts[hit], np.concatenate(often).astype("u8"), np.concatenate(classes_often)
 
 
 def _frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -235,29 +281,44 @@ def islands(sets: DataFrame, frequent, buckets: int, similarity: int) -> DataFra
             flat, who = [], []
             for i, packed in enumerate(batch.column("hashes")):
                 s = np.frombuffer(packed.as_buffer(), "u8")
-                n = len(s)
-                keep = n - -(-similarity * n // 100) + 1
-                flat.append(_rare_first(s, known.value, buckets)[:keep])
+                flat.append(_rare_first(s, known.value, buckets)[: _prefix(len(s), similarity)])
                 who.append(np.full(len(flat[-1]), i))
-            if not flat:
-                continue
-            hashes, holder = np.concatenate(flat), np.concatenate(who)
-            order = np.lexsort((names[holder], hashes))
-            hashes, holder = hashes[order], holder[order]
-            starts, lengths = _runs(hashes)
-            least = names[holder[starts]]
-            pairs = np.stack(list(_stars(names[holder], np.repeat(least, lengths)).values()))
-            rows = {"bucket": [-1], "hashes": [b""], "classes": [pairs.T.astype("i8").tobytes()]}
-            hashes = hashes[starts]
-            for bucket, at in _by_bucket(_bucket(hashes, buckets)):
-                rows["bucket"].append(bucket)
-                rows["hashes"].append(hashes[at].tobytes())
-                rows["classes"].append(least[at].astype("i8").tobytes())
-            yield pa.RecordBatch.from_pydict(rows)
+            if flat:
+                yield pa.RecordBatch.from_pydict(_meetings(names, np.concatenate(who), np.concatenate(flat), buckets))
+
+    return _connected(sets.mapInArrow(meet, MEETINGS))
+
+
+def _prefix(n, similarity: int):
+    """So many of a set's least shingles have one of every set that links with it."""
+    return n - -(-similarity * n // 100) + 1
+
+
+MEETINGS = "bucket long, hashes binary, classes binary"
+
+
+def _meetings(names: np.ndarray, holder: np.ndarray, hashes: np.ndarray, buckets: int) -> dict[str, list]:
+    """Who of these sets meets whom, and by bucket the least of those that have a shingle."""
+    order = np.lexsort((names[holder], hashes))
+    hashes, holder = hashes[order], holder[order]
+    starts, lengths = _runs(hashes)
+    least = names[holder[starts]]
+    pairs = np.stack(list(_stars(names[holder], np.repeat(least, lengths)).values()))
+    rows = {"bucket": [-1], "hashes": [b""], "classes": [pairs.T.astype("i8").tobytes()]}
+    hashes = hashes[starts]
+    for bucket, at in _by_bucket(_bucket(hashes, buckets)):
+        rows["bucket"].append(bucket)
+        rows["hashes"].append(hashes[at].tobytes())
+        rows["classes"].append(least[at].astype("i8").tobytes())
+    return rows
+
+
+def _connected(meetings: DataFrame) -> DataFrame:
+    """``(class, island)`` of sets that meet, from rows of ``_meetings``."""
 
     def join(packets: pa.Table) -> pa.Table:
         hashes = np.concatenate([np.frombuffer(x, "u8") for x in packets.column("hashes").to_pylist()])
-        classes = np.concatenate([np.frombuffer(x, "i8") for x in packets.column("classes").to_pylist()])
+        classes = np.concatenate(_each(packets, "classes"))
         order = np.lexsort((classes, hashes))
         hashes, classes = hashes[order], classes[order]
         starts, lengths = _runs(hashes)
@@ -267,12 +328,71 @@ def islands(sets: DataFrame, frequent, buckets: int, similarity: int) -> DataFra
         flat = np.concatenate([np.frombuffer(x, "i8") for x in batch.column("classes").to_pylist()]).reshape(-1, 2)
         return {"a": flat[:, 0], "b": flat[:, 1]}
 
-    packets = written(sets.mapInArrow(meet, "bucket long, hashes binary, classes binary"), "prefixes")
+    packets = written(meetings, "prefixes")
     across = packets.where("bucket >= 0").groupBy("bucket").applyInArrow(join, "a long, b long")
     within = map_batches(packets.where("bucket < 0").select("classes"), "a long, b long", own)
-    return components(across.unionByName(within), "islands").select(
-        F.col("node").alias("class"), F.col("root").alias("island")
-    )
+    found = components(across.unionByName(within), "islands")
+    drop_written(packets)
+    return found.select(F.col("node").alias("class"), F.col("root").alias("island"))
+
+
+def finer_islands(sets: DataFrame, buckets: int, similarity: int) -> DataFrame:
+    """``islands`` of ``sets(class, hashes)`` in the order of how many of them have a shingle.
+
+    Chunks of sets tell each bucket their shingles and get back how many sets have them.
+    """
+
+    def tell(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                packed = part.column("hashes").to_pylist()
+                hashes, counts = np.unique(np.frombuffer(b"".join(packed), "u8"), return_counts=True)
+                sizes = np.asarray([len(x) // 8 for x in packed], "i8")
+                rows = {"chunk": [], "bucket": [-1], "hashes": [b"".join(packed)], "counts": [sizes.tobytes()],
+                        "classes": [np.asarray(part.column("class"), "i8").tobytes()]}
+                for bucket, of in _by_bucket(_bucket(hashes, buckets)):
+                    low = _squeezed((hashes[of] & np.uint64(0xFFFFFFFF)).astype("u4"))
+                    for column, value in zip(list(rows)[1:], (bucket, low, _squeezed(_narrow(counts[of])), b"")):
+                        rows[column].append(value)
+                rows["chunk"] = [uuid.uuid4().bytes] * len(rows["bucket"])
+                yield pa.RecordBatch.from_pydict(rows)
+
+    def count(packets: pa.Table) -> pa.Table:
+        hashes = [_opened(x) for x in packets.column("hashes").to_pylist()]
+        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.concatenate([_opened(x) for x in packets.column("counts").to_pylist()])
+        level = _level(np.bincount(place, counts))[place]
+        levels = np.split(level, np.cumsum([len(h) for h in hashes])[:-1])
+        return pa.table({"chunk": packets.column("chunk"), "bucket": packets.column("bucket"),
+                         "hashes": pa.array([_squeezed(x) for x in levels], pa.binary()),
+                         "counts": pa.nulls(len(levels), pa.binary()), "classes": pa.nulls(len(levels), pa.binary())})
+
+    def meet(chunk: pa.Table) -> pa.Table:
+        rows = chunk.sort_by("bucket").to_pydict()  # the sets are first
+        hashes, sizes = np.frombuffer(rows["hashes"][0], "u8"), np.frombuffer(rows["counts"][0], "i8")
+        level = np.concatenate([_opened(x) for x in rows["hashes"][1:]])
+        holder = np.repeat(np.arange(len(sizes)), sizes)
+        level = level[np.unique(hashes, return_inverse=True)[1]]
+        order = np.lexsort((hashes, level, holder))
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = order[place < np.repeat(_prefix(sizes, similarity), sizes)]
+        names = np.frombuffer(rows["classes"][0], "i8")
+        return pa.table(_meetings(names, holder[order], hashes[order], buckets))
+
+    kinds = "chunk binary, bucket long, hashes binary, counts binary, classes binary"
+    told = written(sets.select("class", "hashes").mapInArrow(tell, kinds), "told_shingles")
+    counted = told.where("bucket >= 0").groupBy("bucket").applyInArrow(count, kinds)
+    again = told.where("bucket < 0").unionByName(counted)
+    found = _connected(again.groupBy("chunk").applyInArrow(meet, MEETINGS))
+    drop_written(told)
+    return found
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Numbers of sets in a byte: as they are up to 128, then by doublings."""
+    high = 128 + 4 * np.log2(np.maximum(counts, 128) / 128)
+    return np.where(counts < 128, counts, np.minimum(high, 255)).astype("u1")
 
 
 def _rare_first(s: np.ndarray, frequent, buckets: int) -> np.ndarray:
@@ -325,26 +445,38 @@ def _link_tiles(work: DataFrame, unit: Column, similarity: int) -> DataFrame:
     )
 
 
-def island_links(sets: DataFrame, of: DataFrame, similarity: int) -> DataFrame:
-    """Links that join the components of ``sets(class, n, hashes)``, as ``(a, b)``.
+def _small_islands(sets: DataFrame, of: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the islands within ``TILE_SETS``, done whole, many to a task; and the sets of the larger ones."""
+    sizes = of.groupBy("island").agg(F.count("*").alias("members"))
+    total = of.count()
+    placed = of.join(small_side(sizes, total, 24), "island")
+    placed = sets.select("class", "n", "hashes").join(small_side(placed, total, 32), "class")
+    placed = written(placed.withColumn("component", F.col("class")).withColumn("side", F.lit(0)), "placed")
+    units = max(shuffle_partitions(sets.sparkSession), math.ceil(total / (4 * TILE_SETS)))
+    small = placed.where(F.col("members") <= TILE_SETS).withColumn("tile", F.col("island"))
+    found = written(_link_tiles(small, F.pmod(F.xxhash64("island"), F.lit(units)), similarity), "island_links")
+    return found, placed.where(F.col("members") > TILE_SETS)
+
+
+def island_links(sets: DataFrame, of: DataFrame, buckets: int, similarity: int) -> DataFrame:
+    """Links that join the components of ``sets(class, n, hashes)``, as ``(a, b)``; drops ``sets``.
 
     ``of(class, island)`` says which sets can link. Islands within ``TILE_SETS`` are
-    done whole, many to a task. Larger ones are dealt into tiles by size, first by
+    done whole, many to a task. Larger ones are parted by exact counts; what is still larger is dealt into tiles by size, first by
     themselves; what this has not joined is dealt anew by component, and tiles are
     compared pairwise where their sizes allow a link and they are not one component.
     """
-    spark = sets.sparkSession
-    sizes = of.groupBy("island").agg(F.count("*").alias("members"))
-    total = of.agg(F.count("*")).first()[0]
-    placed = of.join(small_side(sizes, total, 24), "island")
-    placed = sets.join(small_side(placed, total, 32), "class")
-    placed = written(placed.withColumn("component", F.col("class")).withColumn("side", F.lit(0)), "placed")
-    units = max(shuffle_partitions(spark), math.ceil(total / (4 * TILE_SETS)))
-    small = placed.where(F.col("members") <= TILE_SETS).withColumn("tile", F.col("island"))
-    found = _link_tiles(small, F.pmod(F.xxhash64("island"), F.lit(units)), similarity)
-    large = placed.where(F.col("members") > TILE_SETS)
+    found, large = _small_islands(sets, of, similarity)
+    drop_written(sets)
+    if large.isEmpty():
+        return found
+    finer = written(finer_islands(large, buckets, similarity), "finer_islands")
+    parted, left = _small_islands(large, finer, similarity)
+    drop_written(large)
+    found, large = found.unionByName(parted), left
     if large.isEmpty():
         return found
+    total = finer.count()
     tiles = F.ceil(2 * F.col("members") / TILE_SETS)
     dealt = large.withColumn("tile", F.xxhash64("island", _salt(tiles)))
     first = written(_link_tiles(dealt, F.col("tile"), similarity), "tile_links")
@@ -409,12 +541,14 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
     )
     classes = written(classes, "classes")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(size / BUCKET_BYTES))
+    least = min(shuffle_partitions(docs.sparkSession), 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    buckets = max(least, math.ceil(size / BUCKET_BYTES))
     counts, frequent = shared_counts(docs, buckets)
     open_ = classes.join(counts, "class").where(F.col("shared") * 100 >= F.col("n") * similarity)
     open_ = written(open_.select("class", "row", "n"), "open_classes")
     sets = written(_sets(docs, open_), "sets")
-    found = island_links(sets, written(islands(sets, _frequent(frequent), buckets, similarity), "island_of"), similarity)
+    of = written(islands(sets, _frequent(frequent), buckets, similarity), "island_of")
+    found = island_links(sets, of, buckets, similarity)
     joined = components(found, "document_links").select(F.col("node").alias("class"), "root")
     named = classes.join(joined, "class", "left").withColumn("root", F.coalesce("root", "class"))
     # both sides written: a root of very many classes is broadcast to or split, not one task's
