@@ -220,3 +220,13 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
     assert folder.exists()
     sj.drop_written(df)
     assert not folder.exists()
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_texts_of_rows_that_are_alone_are_not_shuffled(spark, repeated):
+    rows = [(i, f"text {i % 8} of some words that copies share") for i in range(12)]
+    rows += [rows[0], rows[0], (99, None), (99, None)] if repeated else []
+    kept = sj.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(8)) + [99, 99] * repeated
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Aggregate" in plan) == repeated

@@ -585,12 +585,19 @@ def keep_one_of_each(docs: DataFrame, similarity: int = 75) -> DataFrame:
     Rows without shingles are all kept. Of rows that share the least ``doc_id`` the
     one with the least key stays. Columns of ``docs`` are unchanged, whatever their names.
     """
-    found = near_duplicates(docs, similarity)
-    chosen = found.where("n_shingles > 0").groupBy("group").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")
+    found = near_duplicates(docs, similarity).where("n_shingles > 0")
+    rows = found.groupBy("group", "doc_id", "row").agg(F.count("*").alias("rows"))
+    chosen = rows.groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"), F.col("rows"))).alias("first")
     )
-    kept = written(chosen.select(F.col("first.row").alias("__row")), "kept_rows")
+    kept = chosen.groupBy(F.col("first.row").alias("__row")).agg((F.sum("first.rows") > 1).alias("__again"))
+    kept = written(kept, "kept_rows")
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.where(words).withColumn("__row", row_key("doc_id", "text"))
-    rows = rows.join(small_side(kept, kept.count(), 16), "__row", "left_semi")
-    return rows.dropDuplicates(["__row"]).drop("__row").unionByName(docs.where(~words))
+    rows = rows.join(small_side(kept, kept.count(), 16), "__row")
+    out = rows.where(~F.col("__again")).select(docs.columns).unionByName(docs.where(~words))
+    if kept.where("__again").isEmpty():
+        return out
+    # only texts of rows that repeat each other are shuffled
+    again = rows.where("__again").dropDuplicates(["__row"])
+    return out.unionByName(again.select(docs.columns))
