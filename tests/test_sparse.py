@@ -146,3 +146,23 @@ def test_given_targets_are_not_mended(spark):
 def test_no_rows(spark):
     with pytest.raises(ValueError, match="no train rows"):
         WideRows.of(spark.createDataFrame([], SCHEMA))
+
+
+def test_directions_take_few_columns():
+    """A slowly falling spectrum in a space that fills up: products are counted, not timed."""
+    draw = np.random.default_rng(8)
+    left = np.linalg.qr(draw.standard_normal((1200, 1000)))[0]
+    x = left * (30 / (1 + np.arange(1000)) ** 0.35)
+
+    class Rows:
+        width, columns = 1000, 0
+
+        def gram_times(self, v):
+            self.columns += v.shape[1]
+            return x.T @ (x @ v)
+
+    rows = Rows()
+    values, vectors = leading_directions(rows, 128)
+    assert np.allclose(values, np.linalg.svd(x, compute_uv=False)[:128] ** 2, rtol=1e-8)
+    assert np.allclose(vectors.T @ vectors, np.eye(128), atol=1e-9)
+    assert rows.columns < 850

@@ -34,8 +34,8 @@ PIECE = 8_192
 # Columns that a space may hold before it is restarted from what it has found.
 MOST_COLUMNS = 640
 MOST_PASSES = 600
-# Columns by which the search for directions grows.
-GROWTH = 64
+# Columns by which the search for directions grows: fewer follow the residuals better.
+GROWTH = 32
 DIRECTION_TOLERANCE = 1e-9
 SOLUTION_TOLERANCE = 1e-11
 
@@ -262,11 +262,14 @@ def leading_directions(rows: WideRows, rank: int, seed: int = 42) -> tuple[np.nd
 
     A block Krylov search with random start (Musco and Musco 2015), each time grown by the
     residuals of the directions that are least settled, and cut back to the best found when
-    it is full. Fewer come back only if the rows have fewer directions.
+    it is full, beyond the wanted ones to three fifths. Fewer come back only if the rows
+    have fewer directions.
     """
     draw = np.random.default_rng(seed)
     space = GramSpace(rows.gram_times, rows.width)
     growth = min(GROWTH, rows.width)
+    most = max(MOST_COLUMNS, 2 * (rank + growth))
+    kept = max(rank + growth, min(3 * most // 5, most - growth))
     going = space.grow(rows.gram_times(draw.standard_normal((rows.width, growth))))
     while True:
         values, mix = np.linalg.eigh(space.projected())
@@ -279,8 +282,8 @@ def leading_directions(rows: WideRows, rank: int, seed: int = 42) -> tuple[np.nd
         if settled or not going:
             found = values[:k] > DIRECTION_TOLERANCE * max(values[0], 0) if k else np.zeros(0, bool)
             return values[:k][found], vectors[:, found]
-        if space.v.shape[1] + growth > max(MOST_COLUMNS, 2 * (rank + growth)):
-            space.keep(mix[:, : rank + growth])
+        if space.v.shape[1] + growth > most:
+            space.keep(mix[:, :kept])
         going = space.grow(left[:, np.argsort(-error)[:growth]])
 
 
