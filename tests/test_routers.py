@@ -452,3 +452,35 @@ def test_summary_and_comparison(spark, outcomes):
     compared = ev.compare(["oracle", "random", "linear"], outcomes, is_train).collect()
     assert [r.router for r in compared] == ["oracle", "random", "linear"]
     assert compared[0].ps >= compared[2].ps and compared[0].nauc == pytest.approx(row.metrics.nauc)
+
+
+@pytest.mark.parametrize(("heads", "decay"), [(1, 0.0), (2, 1e-2)])
+def test_local_epochs_are_adam_bit_by_bit(heads, decay):
+    draw = np.random.default_rng(0)
+    x, y = draw.standard_normal((70, 9)), draw.standard_normal((70, 4))
+    y[draw.random(y.shape) < 0.2] = np.nan
+    net, how = neural.Net((9, 16, 4), (True, False), heads=heads), neural.Training(weight_decay=decay)
+    made = []
+
+    class Layers(neural.Net):
+        def layers(self, flat):
+            made.append(flat)
+            return super().layers(flat)
+
+    start = net.initial(draw)
+    w, m1, m2, step = start.copy(), 0 * start, 0 * start, 0
+    for epoch in range(3):
+        order = np.random.default_rng((how.seed, 5, epoch)).permutation(70)
+        for at in range(0, 70, how.batch_size):
+            _, grad = net.loss_gradient(w, x[order[at : at + how.batch_size]], y[order[at : at + how.batch_size]])
+            step += 1
+            m1 += (1 - neural.BETA1) * (grad - m1)
+            m2 += (1 - neural.BETA2) * (grad * grad - m2)
+            w -= how.lr * how.weight_decay * w
+            scale = np.sqrt(m2 / (1 - neural.BETA2**step)) + neural.ADAM_EPS
+            w -= how.lr * (m1 / (1 - neural.BETA1**step)) / scale
+    state = np.concatenate([start, np.zeros(2 * net.size), [0.0]])
+    layered = Layers((9, 16, 4), (True, False), heads=heads)
+    done = neural._local_epochs(layered, state, x, y, how, range(3), 5)
+    assert np.array_equal(done, np.concatenate([w, m1, m2, [step]]))
+    assert len(made) == 3 * step  # forward, and weights and gradient of the way back: written in place

@@ -92,14 +92,16 @@ class Net:
         weight = np.repeat(np.where(counts > 0, 1.0 / np.maximum(counts, 1), 0.0), width)
         loss = float((diff**2 * weight).sum())
         grad = 2.0 * diff * weight
-        parts = []
-        layers = self.layers(flat)
+        out = np.empty(self.size)
+        layers, into = self.layers(flat), self.layers(out)
         for i in range(len(layers) - 1, -1, -1):
             if self.relu[i]:
                 grad = grad * (values[i + 1] > 0)
-            parts.append(np.concatenate([(values[i].T @ grad).ravel(), grad.sum(axis=0)]))
-            grad = grad @ layers[i][0].T
-        return loss, np.concatenate(parts[::-1])
+            np.matmul(values[i].T, grad, out=into[i][0])
+            grad.sum(axis=0, out=into[i][1])
+            if i:  # nothing asks for the input's gradient
+                grad = grad @ layers[i][0].T
+        return loss, out
 
 
 @dataclass(frozen=True)
@@ -117,6 +119,7 @@ def _local_epochs(net: Net, state: np.ndarray, x, y, how: Training, epochs: rang
     """Adam on one shard; the state holds weights, both moments and the step count."""
     p = net.size
     w, m1, m2, step = state[:p].copy(), state[p : 2 * p].copy(), state[2 * p : 3 * p].copy(), state[-1]
+    a, b = np.empty(p), np.empty(p)  # every step works in these: new arrays of this size cost more than the sums
     for epoch in epochs:
         order = np.random.default_rng((how.seed, shard, epoch)).permutation(len(x))
         for start in range(0, len(x), how.batch_size):
@@ -125,11 +128,23 @@ def _local_epochs(net: Net, state: np.ndarray, x, y, how: Training, epochs: rang
                 continue
             _, grad = net.loss_gradient(w, x[pick], y[pick])
             step += 1
-            m1 += (1 - BETA1) * (grad - m1)
-            m2 += (1 - BETA2) * (grad * grad - m2)
-            w -= how.lr * how.weight_decay * w
-            scale = np.sqrt(m2 / (1 - BETA2**step)) + ADAM_EPS
-            w -= how.lr * (m1 / (1 - BETA1**step)) / scale
+            np.subtract(grad, m1, out=a)
+            a *= 1 - BETA1
+            m1 += a
+            np.multiply(grad, grad, out=a)
+            a -= m2
+            a *= 1 - BETA2
+            m2 += a
+            if how.weight_decay:
+                np.multiply(w, how.lr * how.weight_decay, out=a)
+                w -= a
+            np.divide(m2, 1 - BETA2**step, out=b)
+            np.sqrt(b, out=b)
+            b += ADAM_EPS
+            np.divide(m1, 1 - BETA1**step, out=a)
+            a *= how.lr
+            a /= b
+            w -= a
     return np.concatenate([w, m1, m2, [step]])
 
 
